@@ -117,23 +117,40 @@ def compare(sketches: DataFrame, keys: Sequence[str], member: str, s: Sketch = S
     members.sort()
     if len(members) < 2:
         return sketches.sparkSession.createDataFrame([], f"{', '.join(f'`{n}` {t}' for n, t in sketches.select(*keys).dtypes) or '_none int'}, a string, b string, count_a double, count_b double, union double, intersection double, jaccard double, jaccard_error double")
-    wide = sketches.groupBy(*keys, "register").agg(*[F.coalesce(F.max(F.when(F.col(member) == x, F.col("value"))), F.lit(0)).alias(f"_{i}") for i, x in enumerate(members)])
-    u = lambda c: F.sum(F.when(F.col(c) > 0, s.fraction(F.col(c))).otherwise(0.0))
-    aggs = []
-    for i in range(len(members)):
-        aggs += [F.count_if(F.col(f"_{i}") > 0).alias(f"v{i}"), u(f"_{i}").alias(f"u{i}")]
-    pairs = list(combinations(range(len(members)), 2))
-    for i, j in pairs:
-        a, b = F.col(f"_{i}"), F.col(f"_{j}")
-        aggs += [F.count_if(a > b).alias(f"p{i}_{j}"), F.count_if(a < b).alias(f"q{i}_{j}"), F.count_if((a == b) & (a > 0)).alias(f"e{i}_{j}")]
-    sums = wide.groupBy(*keys).agg(*aggs)
-    m = s.registers
-    count = lambda i: F.col(f"v{i}") / ((F.col(f"u{i}") + m - F.col(f"v{i}")) / m)
-    structs = [
-        F.struct(F.lit(str(members[i])).alias("a"), F.lit(str(members[j])).alias("b"), count(i).alias("count_a"), count(j).alias("count_b"), F.col(f"p{i}_{j}").alias("above"), F.col(f"q{i}_{j}").alias("below"), F.col(f"e{i}_{j}").alias("equal"))
-        for i, j in pairs
-    ]
-    long = sums.select(*keys, F.explode(F.array(*structs)).alias("_x")).select(*keys, "_x.*").where("count_a > 0 and count_b > 0")
+    keys = list(keys)
+    wide = sketches.where(F.col(member).isNotNull()).groupBy(*keys, "register").agg(F.sort_array(F.collect_list(F.struct(member, F.col("value").alias("v")))).alias("_x"))
+    wide = wide.select(*keys, F.col(f"_x.{member}").alias("_m"), F.col("_x.v").alias("_v"))
+    place = {x: i for i, x in enumerate(members)}
+
+    def tally(batches):
+        """Per batch and key: for every two members the registers where the first, the second or neither is greater."""
+        for batch in batches:
+            groups = batch.groupby(keys, dropna=False, sort=False) if keys else [((), batch)]
+            for key, rows in groups:
+                grid = np.zeros((len(rows), len(place)), dtype=np.int32)
+                for r, (ms, vs) in enumerate(zip(rows["_m"], rows["_v"], strict=True)):
+                    grid[r, [place[m] for m in ms]] = vs
+                out = {"_a": [], "_b": [], "above": [], "below": [], "equal": []}
+                for i, j in combinations(range(len(place)), 2):
+                    a, b = grid[:, i], grid[:, j]
+                    for name, x in zip(out, (i, j, int((a > b).sum()), int((a < b).sum()), int(((a == b) & (a > 0)).sum())), strict=True):
+                        out[name].append(x)
+                yield pd.DataFrame({**{k: [v] * len(out["_a"]) for k, v in zip(keys, key if isinstance(key, tuple) else (key,), strict=True)}, **out})
+
+    key_types = ", ".join(f"`{n}` {t}" for n, t in wide.select(*keys).dtypes)
+    parts = wide.mapInPandas(tally, f"{key_types + ', ' if keys else ''}_a int, _b int, above long, below long, equal long")
+    sums = parts.groupBy(*keys, "_a", "_b").agg(*[F.sum(c).alias(c) for c in ("above", "below", "equal")])
+    names = F.array(*[F.lit(str(x)) for x in members])
+    sums = sums.select(*keys, names[F.col("_a")].alias("a"), names[F.col("_b")].alias("b"), "above", "below", "equal")
+    counts = estimate(sketches.withColumn("_s", F.col(member).cast("string")), [*keys, "_s"], s).drop("standard_error")
+    side = lambda x: counts.withColumnsRenamed({"_s": x, "estimate": f"count_{x}", **{k: f"_{x}_{k}" for k in keys}})
+    long = sums
+    for x in ("a", "b"):
+        c = side(x).withColumnRenamed(x, "_name")
+        match = F.col(x) == F.col("_name")
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_{x}_{k}"))
+        long = long.join(c, match).drop("_name", *[f"_{x}_{k}" for k in keys])
     base = s.base
 
     @F.pandas_udf("double")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import deliveries, late_events, raw_lines
+from tidemark.model import ACTIONS, EVENT_TYPES
+from tidemark.operators import deliveries, late_events, raw_lines, small_files
 from tidemark.operators import distinct_sketch as ds
+from tidemark.operators import feature_table as ft
+from tidemark.operators import heavy_results as hr
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import table
 
@@ -146,3 +149,122 @@ def p3_active_repositories(spark, folder):
 def p3_type_overlap(spark, folder):
     """Union, intersection and Jaccard index of the accounts of every two event types, per day."""
     return ds.compare(ds.sketch(table(spark, folder, "silver_events"), ["event_date", "event_type"], "actor_id"), ["event_date"], "event_type")
+
+
+# ---------------------------------------------------------------- p4: features per entity
+
+_ONCE = "with once as (select distinct event_id, repo_id, actor_id, event_type, payload_action, event_time from silver_events)"
+
+
+@PIPELINE.add(
+    "p4_found",
+    _ONCE
+    + """, truth as (
+  select f.repo_id, f.as_of_utc, count(*) filter (event_type = 'WatchEvent' and payload_action = 'started') as stars,
+    count(*) filter (event_type = 'PushEvent') as pushes, count(distinct actor_id) as accounts
+  from (select distinct repo_id, as_of_utc from forecast_context) f join once o
+    on o.repo_id = f.repo_id and o.event_time >= f.as_of_utc - interval 7 day and o.event_time < f.as_of_utc group by 1, 2)
+select f.repo_id, strftime(f.as_of_utc at time zone 'UTC', '%Y-%m-%d') as as_of_day from forecast_context f left join truth t using (repo_id, as_of_utc)
+where (f.recent_stars, f.recent_pushes, f.active_accounts) is distinct from (coalesce(t.stars, 0), coalesce(t.pushes, 0), coalesce(t.accounts, 0))""",
+)
+def p4_found(spark, folder):
+    stale = ft.stale_features(table(spark, folder, "silver_events"), table(spark, folder, "forecast_context"))
+    return stale.select("repo_id", F.date_format("as_of_utc", "yyyy-MM-dd").alias("as_of_day"))
+
+
+def _p4_columns(alias: str) -> str:
+    columns = ["count(*) as total_events", "count(distinct actor_id) as active_accounts", f"{alias} - max(epoch(event_time))::bigint as recency_any"]
+    for t in EVENT_TYPES:
+        mine, name = f"event_type = '{t}'", ft.snake(t)
+        columns += [f"count(*) filter ({mine}) as n_{name}", f"{alias} - max(epoch(event_time)::bigint) filter ({mine}) as recency_{name}"]
+        columns += [f"count(*) filter ({mine} and payload_action = '{a}') as n_{name}_{a}" for a in ACTIONS]
+    columns += [f"count(*) filter (event_type not in ({', '.join(map(repr, EVENT_TYPES))})) as n_other", *[f"count(*) filter (payload_action = '{a}') as n_action_{a}" for a in ACTIONS]]
+    return ", ".join(columns)
+
+
+@PIPELINE.add(
+    "p4_features",
+    _ONCE.replace("event_time from", "date_trunc('second', event_time) as event_time from")
+    + f", points as (select distinct as_of_utc from forecast_context) select repo_id, strftime(as_of_utc at time zone 'UTC', '%Y-%m-%d') as as_of_day, {_p4_columns('any_value(epoch(as_of_utc)::bigint)')} "
+    + "from once join points on event_time >= as_of_utc - interval 7 day and event_time < as_of_utc group by repo_id, as_of_utc",
+)
+def p4_features(spark, folder):
+    wide = ft.entity_features(table(spark, folder, "silver_events"), table(spark, folder, "forecast_context"))
+    return wide.withColumn("as_of_day", F.date_format("as_of_utc", "yyyy-MM-dd")).drop("as_of_utc")
+
+
+# ---------------------------------------------------------------- p6: few keys with most rows
+
+_ONCE_ALL = "with once as (select distinct event_id, event_type, payload_action, repo_id, actor_id, event_time, event_date from silver_events)"
+
+
+@PIPELINE.add(
+    "p6_found",
+    """
+select 'repo_id' as key_field, repo_id as key_value from silver_events where repo_id is not null group by repo_id
+having count(*) >= 0.02 * (select count(*) from silver_events)
+union all
+select 'actor_id', actor_id from silver_events where actor_id is not null group by actor_id having count(*) >= 0.02 * (select count(*) from silver_events)""",
+)
+def p6_found(spark, folder):
+    return hr.dominant_keys(table(spark, folder, "silver_events"), ["repo_id", "actor_id"], 0.02)
+
+
+@PIPELINE.add(
+    "p6_repository_metrics",
+    _ONCE_ALL
+    + """ select repo_id, count(*) as total_events, count(distinct actor_id) as active_accounts, count(*) filter (event_type = 'PushEvent') as push_events,
+  count(*) filter (event_type = 'WatchEvent' and payload_action = 'started') as star_events, count(*) filter (event_type = 'ForkEvent') as fork_events,
+  count(*) filter (event_type = 'PullRequestEvent' and payload_action = 'opened') as pull_requests_opened,
+  epoch_us(min(event_time)) as first_event_us, epoch_us(max(event_time)) as last_event_us from once group by repo_id""",
+)
+def p6_repository_metrics(spark, folder):
+    out = hr.repository_results(table(spark, folder, "silver_events"))
+    return out.withColumns({"first_event_us": F.unix_micros("first_event_time"), "last_event_us": F.unix_micros("last_event_time")}).drop("first_event_time", "last_event_time")
+
+
+@PIPELINE.add(
+    "p6_account_metrics",
+    _ONCE_ALL
+    + """ select actor_id, count(*) as total_events, count(distinct repo_id) as active_repositories, count(distinct event_date) as active_days,
+  count(*) filter (event_type = 'PushEvent') as push_events, count(*) filter (event_type = 'PullRequestEvent' and payload_action = 'opened') as pull_requests_opened,
+  count(*) filter (dayofweek(event_date) in (0, 6)) as weekend_events from once group by actor_id""",
+)
+def p6_account_metrics(spark, folder):
+    return hr.account_results(table(spark, folder, "silver_events"))
+
+
+@PIPELINE.add(
+    "p6_stored_bytes",
+    "select repo_id, count(*) as joined_rows, sum(n_bytes)::bigint as joined_bytes from silver_events join event_files using (file_id) group by repo_id",
+)
+def p6_stored_bytes(spark, folder):
+    return hr.stored_bytes_by_repository(table(spark, folder, "silver_events"), table(spark, folder, "event_files"))
+
+
+# ---------------------------------------------------------------- p5: small files
+
+
+def _compacted(spark, folder):
+    events = table(spark, folder, "silver_events")
+    place, report = small_files.compact_rows(events, table(spark, folder, "event_files"), small_files.stored_row_bytes(events))
+    return events, place, report
+
+
+@PIPELINE.add("p5_compaction")
+def p5_compaction(spark, folder):
+    """Rows, files before and after and the largest file per date and hour; fails if a row was lost, changed or added."""
+    return _compacted(spark, folder)[2]
+
+
+@PIPELINE.add(
+    "p5_rows",
+    """select event_id, event_type, actor_id, actor_login, repo_id, repo_name, epoch_us(event_time) as event_us, event_date, event_hour, payload_action, org_id, source_filename,
+  epoch_us(source_archive_start) as archive_us, raw_record_sha256, case when quality_warnings is null then 'null' else array_to_string(quality_warnings, ',') end as warnings, file_id from silver_events""",
+)
+def p5_rows(spark, folder):
+    """The compacted table read back: exactly the rows of silver_events."""
+    events, place, _ = _compacted(spark, folder)
+    back = small_files.read_compacted(spark, place, events)
+    warnings = F.when(F.col("quality_warnings").isNull(), "null").otherwise(F.array_join("quality_warnings", ","))
+    return back.withColumns({"event_us": F.unix_micros("event_time"), "archive_us": F.unix_micros("source_archive_start"), "warnings": warnings}).drop("event_time", "source_archive_start", "quality_warnings")

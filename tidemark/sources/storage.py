@@ -11,6 +11,12 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full name of a path, as file listings give it."""
+    fs, where, _ = _fs(spark, path)
+    return fs.makeQualified(where).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, where, _ = _fs(spark, path)
     return fs.exists(where)
