@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing
+from tidemark.llm import mixing, packing, truncation
 from tidemark.llm.tokens import token_count
 from tidemark.plans.registry import Registry
 from tidemark.session import materialize
@@ -67,3 +67,13 @@ def p9_records(spark, folder):
     documents = _sized(spark, folder)
     plan, _ = mixing.mix_plan(documents, table(spark, folder, "mix_targets"), F.col("tokens"))
     return mixing.mixed_records(documents, plan)
+
+
+@LLM.add("p10_found")
+def p10_found(spark, folder):
+    return truncation.judged_documents(table(spark, folder, "documents")).where("cut").select("doc_id")
+
+
+@LLM.add("p10_rates")
+def p10_rates(spark, folder):
+    return truncation.truncation_rates(table(spark, folder, "documents"))
