@@ -219,4 +219,4 @@ def in_windows(events: DataFrame, windows: DataFrame, day: str = "event_date") -
     """
     days = windows.select("window_start", "window_end").distinct().where("window_start < window_end")
     days = days.select("window_start", "window_end", F.explode(F.sequence("window_start", F.date_sub("window_end", 1))).alias(day))
-    return events.join(broadcast_if_small(materialize(days, "windows")), day)
+    return events.drop("window_start", "window_end").join(broadcast_if_small(materialize(days, "windows")), day)

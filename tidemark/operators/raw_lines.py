@@ -129,8 +129,12 @@ def failures(parsed: DataFrame, row_key: list[str], rules: list[tuple[str, str,
 
 
 def _keyed(lines: DataFrame, key: str, text: str) -> tuple[DataFrame, list[str]]:
-    """The key of a row is its own key and a hash of its text, so rows that share a key are still judged apart."""
-    return lines.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(text, F.lit("")), F.col(text).isNull()).alias("_text"), *lines.columns), ["_key", "_text"]
+    """The key of a row is its own key and a hash of its text, so rows that share a key are still judged apart.
+
+    Only the key, the text and the source come along: further columns cannot clash with anything.
+    """
+    source = F.col("source_uri") if "source_uri" in lines.columns else F.lit(None).cast("string")
+    return lines.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(text, F.lit("")), F.col(text).isNull()).alias("_text"), F.col(text).alias(text), source.alias("source_uri")), ["_key", "_text"]
 
 
 def judge_lines(lines: DataFrame, kind: str, key: str = "line_id", text: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -36,19 +36,28 @@ class Packing:
         return max(1, ceil(size / self.target_bytes))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that the table does not have."""
+    name = f"_{name}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 class RowsDiffer(RuntimeError):
     """The staged copy has other rows than the source; nothing was published."""
 
 
-def row_hash(columns: Sequence[str]) -> Column:
+def row_hash(df: DataFrame) -> Column:
     """A hash of the whole row as a decimal, so that sums over any number of rows stay exact; nulls are marked."""
-    marks = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
-    return F.xxhash64(marks, *columns).cast("decimal(20,0)")
+    marks = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in df.columns])
+    values = [F.to_json(F.col(f"`{c}`")) if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in df.dtypes]
+    return F.xxhash64(marks, *values).cast("decimal(20,0)")
 
 
-def digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def digest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, rows, checksum): equal for two tables if and (but for hash collisions) only if they hold the same rows."""
-    return df.select(*keys, row_hash(columns).alias("_h")).groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("_h").cast("decimal(38,0)").alias("checksum"))
+    return df.select(*keys, row_hash(df).alias("_h")).groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("_h").cast("decimal(38,0)").alias("checksum"))
 
 
 def listing_totals(files: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -66,19 +75,24 @@ def compact_rows(table: DataFrame, files: DataFrame, row_bytes: float, keys: Seq
     largest_file_bytes.  Rows with null keys form a group of their own; an empty table gives an empty report.
     """
     spark, keys = table.sparkSession, list(keys)
-    before = materialize(digest(table, keys, table.columns), "rows-before")
+    before = materialize(digest(table, keys), "rows-before")
     packs = before.select(*keys, F.greatest(F.ceil(F.col("rows") * F.lit(row_bytes / packing.target_bytes)), F.lit(1)).cast("int").alias("_packs"))
     several = packs.where("_packs > 1")
+    pack = unused("pack", table)
     if several.isEmpty():
-        packed = table.withColumn("_pack", F.lit(0))
+        packed = table.withColumn(pack, F.lit(0))
     else:
-        packed = table.join(broadcast_if_small(several), keys, "left").withColumn("_pack", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_packs")), F.lit(0))).drop("_packs")
+        many = several.withColumnsRenamed({"_packs": unused("packs", table), **{k: unused(f"of_{k}", table) for k in keys}})
+        match = F.lit(True)
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(unused(f"of_{k}", table)))
+        packed = table.join(broadcast_if_small(many), match, "left").withColumn(pack, F.coalesce(F.pmod(F.xxhash64(*spread), F.col(unused("packs", table))), F.lit(0))).select(*[f"`{c}`" for c in table.columns], pack)
     place = out or scratch(spark, "compacted")
     staged = f"{place}-staged"
     most = max(1, int(packing.target_bytes * 1.25 / max(row_bytes, 1e-3)))
     # Partition columns live in folder names; hidden copies keep their exact values and types.
-    hidden = {k: f"_p_{k}" for k in keys}
-    (packed.withColumns({v: F.col(k) for k, v in hidden.items()}).repartition(*keys, "_pack").drop("_pack").write.option("maxRecordsPerFile", most).partitionBy(*hidden.values()).parquet(staged))
+    hidden = {k: unused(f"p_{k}", table) for k in keys}
+    (packed.withColumns({v: F.col(k) for k, v in hidden.items()}).repartition(*keys, pack).drop(pack).write.option("maxRecordsPerFile", most).partitionBy(*hidden.values()).parquet(staged))
     files_after = _published(spark, staged, table, keys, before)
     storage.rename(spark, staged, place)
     match = F.lit(True)
@@ -97,7 +111,7 @@ def read_compacted(spark: SparkSession, place: str, like: DataFrame) -> DataFram
 def _published(spark: SparkSession, staged: str, source: DataFrame, keys: list[str], before: DataFrame) -> DataFrame:
     """Checks the staged copy; (keys, rows, files_after, largest_file_bytes)."""
     copy = spark.read.schema(source.schema).parquet(staged)
-    by_file = copy.select(*keys, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"), row_hash(source.columns).alias("_h"))
+    by_file = copy.select(*keys, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"), row_hash(source).alias("_h"))
     files = by_file.groupBy(*keys, "_file").agg(F.count("*").alias("rows"), F.sum("_h").alias("_h"), F.max("_size").alias("_size"))
     after = materialize(files.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("_h").cast("decimal(38,0)").alias("checksum"), F.count("*").alias("files_after"), F.max("_size").alias("largest_file_bytes")), "rows-after")
     sides = ["rows", "checksum"]
@@ -130,7 +144,7 @@ def compact_directories(spark: SparkSession, source: str, target: str, packing:
         sizes = by_folder[folder]
         rows = spark.read.parquet(folder)
         rows.coalesce(packing.files(sum(sizes))).write.parquet(staged)
-        there, copied = (digest(spark.read.parquet(p), [], rows.columns).first() for p in (folder, staged))
+        there, copied = (digest(spark.read.parquet(p), []).first() for p in (folder, staged))
         if tuple(there) != tuple(copied):
             storage.delete(spark, staged)
             raise RowsDiffer(folder)
