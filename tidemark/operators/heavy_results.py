@@ -24,11 +24,10 @@ def key_states(events: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def dominant_keys(events: DataFrame, fields: Sequence[str], share: float) -> DataFrame:
-    """(key_field, key_value): keys that hold at least ``share`` of all rows, null keys left out.
+    """(key_field, key_value): keys that hold at least ``share`` of all rows, null keys left out but counted.
 
-    The share of a key is a join of each row with all rows of its field; both sides are reduced first: the left to a
-    count per key, the right to a count per field, and the rows of the join per key are the product of the two.  The
-    key holds the share if that product is at least share times the square of the rows.
+    Both sides of the question are compact before they meet: the rows per key, and the rows per field, which are summed
+    from the states and not from the rows.
     """
     states = key_states(events, fields)
     totals = states.groupBy("key_field").agg(F.sum("n").alias("rows"))
