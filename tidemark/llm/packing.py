@@ -10,7 +10,7 @@ the capacity, not on the data.  The texts find their segment by their rank withi
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,7 +57,12 @@ def patterns(bins: int, most: int = 3) -> list[tuple[int, ...]]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, bins: int = 64, most: int = 3) -> tuple[list[Segment], int]:
+def best_plan(histogram: dict[int, int], capacity: int, grids: tuple[int, ...] = (64, 128)) -> tuple[list[Segment], int]:
+    """The plan with the fewest containers over several grids of quantized lengths."""
+    return min((plan(histogram, capacity, bins) for bins in grids), key=lambda p: p[1])
+
+
+def plan(histogram: dict[int, int], capacity: int, bins: int = 128, most: int = 3) -> tuple[list[Segment], int]:
     """(segments, number of containers) for texts of the given lengths, each from 1 to ``capacity``."""
     if any(not 1 <= length <= capacity for length in histogram):
         raise ValueError("lengths must lie between 1 and the capacity")
@@ -86,11 +91,19 @@ def plan(histogram: dict[int, int], capacity: int, bins: int = 64, most: int = 3
     width = max(1, -(-capacity // bins))
     quanta = -(-capacity // width)
     b = np.zeros(quanta)
-    by_quantum: dict[int, list[int]] = {}
-    for length in sorted(left):
-        q = -(-length // width)
-        b[q - 1] += left[length]
-        by_quantum.setdefault(q, []).append(length)
+    for length in left:
+        b[-(-length // width) - 1] += left[length]
+    there = sorted(left)
+
+    def longest(room: int, picked: list[int]) -> int | None:
+        """The longest length up to ``room`` of which texts are left besides the picked ones."""
+        at = bisect_right(there, room) - 1
+        while at >= 0 and left[there[at]] - picked.count(there[at]) <= 0:
+            if left[there[at]] <= 0:
+                there.pop(at)
+            at -= 1
+        return there[at] if at >= 0 else None
+
     shapes = patterns(quanta, most)
     if b.any():
         a = np.zeros((quanta, len(shapes)))
@@ -105,8 +118,10 @@ def plan(histogram: dict[int, int], capacity: int, bins: int = 64, most: int = 3
             while todo > 0:
                 picked: list[int] = []
                 for q in shapes[k]:
-                    choice = next((x for x in reversed(by_quantum.get(q, [])) if left[x] - picked.count(x) > 0), None)
-                    if choice is None:
+                    # The pattern names the quantum; the last place takes the longest text that really fits.
+                    room = capacity - sum(picked) if len(picked) + 1 == len(shapes[k]) else q * width
+                    choice = longest(room, picked)
+                    if choice is None or -(-choice // width) < q - (0 if len(picked) + 1 < len(shapes[k]) else 1):
                         break
                     picked.append(choice)
                 if len(picked) < len(shapes[k]):
@@ -178,7 +193,7 @@ def place(pieces: DataFrame, segments: list[Segment]) -> DataFrame:
     return pieces.withColumn("container", container_of("length", "rank")).drop("rank")
 
 
-def pack(texts: DataFrame, key: str, tokens: Column, capacity: int, bins: int = 64) -> DataFrame:
+def pack(texts: DataFrame, key: str, tokens: Column, capacity: int) -> DataFrame:
     """(key, piece, piece_start, length, container): every text with tokens, laid into containers of ``capacity``.
 
     Full pieces of cut texts are containers of their own by size; rows with a repeated key are texts of their own as
@@ -190,7 +205,7 @@ def pack(texts: DataFrame, key: str, tokens: Column, capacity: int, bins: int =
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     if not histogram:
         return pieces.withColumn("container", F.lit(None).cast("long"))
-    segments, _ = plan(histogram, capacity, bins)
+    segments, _ = best_plan(histogram, capacity)
     return place(ranked(pieces, key), segments)
 
 
