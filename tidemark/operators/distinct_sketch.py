@@ -26,10 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_if_small, materialize
+from tidemark.operators.skew import lookup_join, salted_join
+from tidemark.session import materialize
 
 A = 20.0  # a variate beyond A (probability e**-20) still gets register value 1
 FRACTION_BITS = 48
+SMALL = 20_000  # rows of a table that may be broadcast
 
 
 @dataclass(frozen=True)
@@ -206,7 +208,12 @@ def wrong_counts(events: DataFrame, published: DataFrame, keys: Sequence[str], i
     guess = estimate(sketch(events, keys, item, s), keys, s)
     guessed = counts.join(guess, list(keys), "left").fillna({"estimate": 0.0, "standard_error": 0.0})
     doubtful = materialize(doubtful_rows(guessed, column, tolerance).select(*keys, column), "doubtful")
-    pairs = events.where(F.col(item).isNotNull()).join(broadcast_if_small(doubtful.select(*keys).distinct()), list(keys), "left_semi").select(*keys, item).distinct()
+    asked = doubtful.select(*keys).distinct()
+    pairs = events.where(F.col(item).isNotNull()).select(*keys, item)
+    if asked.limit(SMALL + 1).count() <= SMALL:
+        pairs = pairs.join(F.broadcast(asked), list(keys), "left_semi").distinct()
+    else:  # too many to broadcast: reduce first, so a hot set is spread by its items
+        pairs = salted_join(pairs.distinct(), asked, keys, [item])
     exact = pairs.groupBy(*keys).agg(F.count("*").alias("true_count"))
     checked = doubtful.join(exact, list(keys), "left").fillna({"true_count": 0})
     return checked.where(F.abs(F.col(column) - F.col("true_count")) > F.lit(tolerance) * F.col("true_count")).select(*keys, column, "true_count")
@@ -219,4 +226,4 @@ def in_windows(events: DataFrame, windows: DataFrame, day: str = "event_date") -
     """
     days = windows.select("window_start", "window_end").distinct().where("window_start < window_end")
     days = days.select("window_start", "window_end", F.explode(F.sequence("window_start", F.date_sub("window_end", 1))).alias(day))
-    return events.drop("window_start", "window_end").join(broadcast_if_small(materialize(days, "windows")), day)
+    return lookup_join(events.drop("window_start", "window_end"), materialize(days, "windows"), [day], events.columns)

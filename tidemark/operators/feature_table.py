@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.model import ACTIONS, EVENT_TYPES
-from tidemark.session import broadcast_if_small, materialize
+from tidemark.operators.skew import lookup_join
+from tidemark.session import materialize
 
 NARROW = ("event_id", "repo_id", "actor_id", "event_type", "payload_action", "event_time")
 DAY = 86_400
@@ -34,7 +35,7 @@ def as_of_points(events: DataFrame, points: DataFrame, days: int = 7, column: st
     bin_of = lambda c: F.floor(F.unix_micros(c) / F.lit(width))
     table = points.select(F.col(column).alias("as_of_utc")).where(F.col("as_of_utc").isNotNull()).distinct().withColumn("_bin", bin_of(F.col("as_of_utc")))
     binned = events.withColumn("_bin", F.explode(F.array(bin_of(F.col("event_time")), bin_of(F.col("event_time")) + 1)))
-    joined = binned.join(broadcast_if_small(materialize(table, "as-of")), "_bin").drop("_bin")
+    joined = lookup_join(binned, materialize(table, "as-of"), ["_bin"], ["event_id"]).drop("_bin")
     back = F.unix_micros("as_of_utc") - F.unix_micros("event_time")
     return joined.where((back > 0) & (back <= width))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.measures import bundle, predicates
+from tidemark.operators.skew import lookup_join
 from tidemark.session import broadcast_if_small
 
 METADATA = "repo_id long, archived_repo_name string, status string, primary_language string, language_bytes map<string, long>, topics array<string>, description string, created_at timestamp"
@@ -64,8 +65,8 @@ def language_shares(metadata: DataFrame) -> DataFrame:
 
 def primary_daily(events: DataFrame, metadata: DataFrame) -> DataFrame:
     """(event_date, primary_language, enrichment_status) with repositories and the measure bundle."""
-    labels = broadcast_if_small(metadata.select("repo_id", primary_label().alias("primary_language"), F.col("status").alias("enrichment_status")))
-    joined = events.join(labels, "repo_id", "left").fillna({"primary_language": NOT_ENRICHED, "enrichment_status": "not_enriched"})
+    labels = metadata.select("repo_id", primary_label().alias("primary_language"), F.col("status").alias("enrichment_status"))
+    joined = lookup_join(events, labels, ["repo_id"], ["event_id"], "left").fillna({"primary_language": NOT_ENRICHED, "enrichment_status": "not_enriched"})
     keys = ["event_date", "primary_language", "enrichment_status"]
     repos = joined.select(*keys, "repo_id").distinct().groupBy(*keys).agg(F.count("*").alias("active_repositories"))
     return bundle(joined, keys).join(repos, keys)
@@ -103,9 +104,9 @@ def language_growth(repos: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def coverage(events: DataFrame, metadata: DataFrame) -> DataFrame:
     """Events, stars and forks of repositories with good metadata, and their share of all events."""
-    good = broadcast_if_small(metadata.where("status = 'ok'").select("repo_id", F.lit(1).alias("_ok")))
+    good = metadata.where("status = 'ok'").select("repo_id", F.lit(1).alias("_ok"))
     p = predicates()
-    joined = events.join(good, "repo_id", "left")
+    joined = lookup_join(events, good, ["repo_id"], ["event_id"], "left")
     ok = F.col("_ok").isNotNull()
     out = joined.agg(F.count("*").alias("total_events"), F.count_if(ok).alias("covered_events"), F.count_if(ok & p["star_events"]).alias("covered_stars"), F.count_if(ok & p["fork_events"]).alias("covered_forks"))
     return out.withColumn("covered_share", F.coalesce(F.try_divide("covered_events", "total_events"), F.lit(0.0)))

@@ -25,6 +25,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Se
     return l.join(r, [*on, "_salt"], how).drop("_salt")
 
 
+def lookup_join(left: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner", max_rows: int = 20_000) -> DataFrame:
+    """Join with a table that is small by nature: broadcast if a count says so, else salted, never trusted to be small."""
+    if table.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(table), list(on), how)
+    return salted_join(left, table, on, spread, how)
+
+
 def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = 1 / 256) -> list[tuple]:
     """Exactly the keys that hold more than ``share`` of the rows: at most 1/share of them, on the driver.
 

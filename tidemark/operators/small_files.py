@@ -164,7 +164,7 @@ def compact_directories(spark: SparkSession, source: str, target: str, packing:
 
 
 def stored_row_bytes(table: DataFrame) -> float:
-    """Average stored bytes of a row: the sizes of the table's files over its rows (Parquet footers only)."""
-    spark = table.sparkSession
-    size = sum(s for f in table.inputFiles() for _, s in storage.data_files(spark, f))
-    return size / max(1, table.count())
+    """Average stored bytes of a row of a table just read: one row per file, made by the tasks that open it."""
+    files = table.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).groupBy("f").agg(F.max("s").alias("s"), F.count("*").alias("n"))
+    total = files.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    return (total["s"] or 0) / max(1, total["n"] or 0)
