@@ -101,7 +101,7 @@ def test_packed_texts(spark):
 def test_ranks_of_a_hot_length_are_dense(spark):
     df = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "cast(if(id % 3 = 0, 5, 7) as int) as length")
     for length, n in ((5, 1667), (7, 3333)):
-        assert sorted(r["rank"] for r in packing.ranked(df, "doc_id").where(f"length = {length}").collect()) == list(range(n))
+        assert sorted(r["rank"] for r in packing.ranked(df, "doc_id", 16).where(f"length = {length}").collect()) == list(range(n))
 
 
 # ---------------------------------------------------------------- mixing

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-RANK_BLOCKS = 256
+BLOCK_ROWS = 100_000  # pieces that one task ranks
 
 
 @dataclass(frozen=True)
@@ -164,14 +164,13 @@ def text_pieces(texts: DataFrame, key: str, tokens: Column, capacity: int) -> Da
     return pieces.select(key, "piece", start.alias("piece_start"), F.least(F.lit(capacity), F.col("_n") - start).cast("int").alias("length"))
 
 
-def ranked(pieces: DataFrame, key: str) -> DataFrame:
+def ranked(pieces: DataFrame, key: str, blocks: int) -> DataFrame:
     """``rank`` of each piece among those of its length, from 0.
 
-    A length may hold any share of the rows, so ranks are made in blocks: the pieces of a length are hashed to blocks,
-    counted per block, ranked inside their block, and shifted by the pieces of earlier blocks.  A block is one task's
-    work; there are ``RANK_BLOCKS`` of each length.
+    A length may hold any share of the rows, so ranks are made in blocks: the pieces of a length are hashed to
+    ``blocks`` blocks, counted per block, ranked inside their block, and shifted by the pieces of earlier blocks.
     """
-    blocked = pieces.withColumn("_block", F.pmod(F.xxhash64(key, "piece"), F.lit(RANK_BLOCKS)).cast("int"))
+    blocked = pieces.withColumn("_block", F.pmod(F.xxhash64(key, "piece"), F.lit(blocks)).cast("int"))
     counts = blocked.groupBy("length", "_block").agg(F.count("*").alias("_c"))
     before = W.partitionBy("length").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     shifts = counts.select("length", "_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"))
@@ -206,7 +205,8 @@ def pack(texts: DataFrame, key: str, tokens: Column, capacity: int) -> DataFrame
     if not histogram:
         return pieces.withColumn("container", F.lit(None).cast("long"))
     segments, _ = best_plan(histogram, capacity)
-    return place(ranked(pieces, key), segments)
+    blocks = -(-max(histogram.values()) // BLOCK_ROWS)  # of the most frequent length
+    return place(ranked(pieces, key, blocks), segments)
 
 
 def pack_all(documents: DataFrame, targets: list[tuple[str, int]], tokens: Column, key: str = "doc_id") -> DataFrame:

@@ -24,8 +24,8 @@ def _packed(spark, folder):
 
 @LLM.add("p8_found", _SIZED + " select container_kind, doc_id from sized join pack_targets on tokens > capacity_tokens")
 def p8_found(spark, folder):
-    """The texts the packing had to cut: those it laid down in more than one piece."""
-    return _packed(spark, folder).where("piece > 0").select("container_kind", "doc_id").distinct()
+    """The texts the packing had to cut: those with a second piece laid into a container."""
+    return _packed(spark, folder).where("piece > 0 and container is not null").select("container_kind", "doc_id").distinct()
 
 
 @LLM.add("p8_containers")
