@@ -109,6 +109,12 @@ def uniform_sample(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFra
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n).orderBy(key)
 
 
+def result_digest(rows: DataFrame, total: str) -> DataFrame:
+    """Rows, the sum of a column, and an order-free checksum: equal for equal results of two configurations."""
+    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(rows.columns)]).cast("decimal(20,0)")
+    return rows.agg(F.count("*").alias("rows"), F.sum(total).alias("total"), F.sum(h).cast("decimal(38,0)").alias("checksum"))
+
+
 def read_stats(lines: DataFrame, text: str = "raw_json", max_bytes: int = 8 << 20) -> DataFrame:
     """Lines, blank lines, lines over the size limit and lines that are no JSON object."""
     from tidemark.operators.raw_lines import parse_json_lines

@@ -10,6 +10,7 @@ and not the history.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -78,6 +79,28 @@ class Ledger:
             return {"version": 0, "batches": {}, "state": {}, "parts": {t: {} for t in TABLES}}
         return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest/{names[-1]}").collect()))
 
+    def register(self, stream_id: str, topic: str, source_snapshot: str, start: datetime, end: datetime, expected_events: int) -> None:
+        """Fix the source of a stream.  The same contract may come again; another one for the same stream is refused."""
+        if not re.fullmatch(r"[a-z0-9][a-z0-9.-]{0,99}", stream_id):
+            raise ValueError("a stream is named by lower-case letters, digits, dots and dashes")
+        if start >= end:
+            raise ValueError("a stream's span must not be empty")
+        contract = [stream_id, topic, source_snapshot, start.isoformat(), end.isoformat(), expected_events]
+        m = self.manifest()
+        known = m.setdefault("streams", {}).get(stream_id)
+        if known is None:
+            m["streams"][stream_id] = contract
+            m["version"] += 1
+            self._publish(m)
+        elif known != contract:
+            raise ValueError("the stream has another contract")
+
+    def status(self, stream_id: str) -> str:
+        """complete once the ledger holds as many events as the contract expects, else awaiting_replay."""
+        events, m = self.table("events"), self.manifest()
+        n = 0 if events is None else events.where(F.col("stream_id") == stream_id).count()
+        return "complete" if n == m["streams"][stream_id][-1] else "awaiting_replay"
+
     def table(self, name: str, hours: list[str] | None = None, manifest: dict | None = None) -> DataFrame | None:
         """The visible rows of a table, of some hours or all; None if there are none."""
         parts = (manifest or self.manifest())["parts"][name]
