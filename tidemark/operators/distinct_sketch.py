@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import lookup_join, salted_join
-from tidemark.session import materialize
+from tidemark.session import materialize, send_by_value
 
 A = 20.0  # a variate beyond A (probability e**-20) still gets register value 1
 FRACTION_BITS = 48
@@ -227,3 +227,6 @@ def in_windows(events: DataFrame, windows: DataFrame, day: str = "event_date") -
     days = windows.select("window_start", "window_end").distinct().where("window_start < window_end")
     days = days.select("window_start", "window_end", F.explode(F.sequence("window_start", F.date_sub("window_end", 1))).alias(day))
     return lookup_join(events.drop("window_start", "window_end"), materialize(days, "windows"), [day], events.columns)
+
+
+send_by_value(__name__)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import send_by_value
+
 FIELDS = ["id", "type", "actor.id", "actor.login", "repo.id", "repo.name", "created_at", "public", "payload"]
 
 
@@ -123,3 +125,6 @@ def read_stats(lines: DataFrame, text: str = "raw_json", max_bytes: int = 8 << 2
     long = F.octet_length(text) > max_bytes
     parsed = parse_json_lines(lines.select(text), text)
     return parsed.agg(F.count("*").alias("lines"), F.count_if(blank).alias("blank"), F.count_if(long).alias("too_long"), F.count_if(~blank & ~F.coalesce(long, F.lit(False)) & (F.col("_p.record") != "true")).alias("invalid"))
+
+
+send_by_value(__name__)

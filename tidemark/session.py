@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "tidem
     return spark
 
 
+def send_by_value(module: str) -> None:
+    """Ship a module's functions inside the task: executors need not have this package installed."""
+    register_pickle_by_value(sys.modules[module])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
