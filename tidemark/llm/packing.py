@@ -38,7 +38,11 @@ class Segment:
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Non-negative least squares by accelerated projected gradient: min |a x - b|, x >= 0."""
     gram, target = a.T @ a, a.T @ b
-    step = 1.0 / max(np.linalg.norm(gram, 2), 1e-12)
+    v = np.ones(a.shape[1])
+    for _ in range(30):  # greatest eigenvalue by power iteration: far cheaper than a decomposition
+        v = gram @ v
+        v /= max(np.linalg.norm(v), 1e-300)
+    step = 1.0 / max(1.05 * float(v @ gram @ v), 1e-12)
     x = np.zeros(a.shape[1])
     y, t = x.copy(), 1.0
     for _ in range(rounds):
