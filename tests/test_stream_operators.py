@@ -192,5 +192,30 @@ def test_changed_bytes_at_a_known_offset_fail(spark, at, tmp_path):
                 book.commit(df, 1)
 
 
+def commits(at):
+    """Five commits: late events, a dropped one whose copies come later, and an offset that comes again."""
+    one = lambda i, commit, event, minute, offset=None, **k: ("s", "t", 0, i if offset is None else offset, i, event, at(minute), k.get("kind", "PushEvent"), None, 5, "o/r", k.get("actor", 1), "x", f"h{i if offset is None else offset}", commit)
+    return [one(9, 0, "1", 0), one(2, 1, "2", 60), one(1, 2, "1", 0), one(3, 2, "3", 48), one(4, 2, "4", 5), one(5, 3, "4", 5), one(6, 3, "4", 61), one(7, 4, "5", 61), one(8, 4, "2", 60, offset=2)]
+
+
+@pytest.mark.parametrize("cuts", [[], [2], [0, 1, 2, 3]])
+def test_a_replay_by_commit_does_not_depend_on_its_micro_batches(spark, at, tmp_path, cuts):
+    book = ledger.Ledger(spark, f"file://{tmp_path}/ledger", limits=spark.createDataFrame([("s", 600, 1800), ("s", 300, 1800)], RUNS), by_commit=True)
+    df = spark.createDataFrame(commits(at), ledger.COMMITTED)
+    for i, (low, high) in enumerate(zip([-1, *cuts], [*cuts, 99], strict=True)):
+        book.commit(df.where(f"batch_id > {low} and batch_id <= {high}"), i)
+    got = {r.delivery_id: r.disposition for r in book.table("messages").collect()}
+    assert got == {9: "accepted", 2: "accepted", 1: "duplicate", 3: "accepted", 4: "dropped", 5: "duplicate", 6: "conflict", 7: "accepted"}
+    assert {r.minute_utc: (r.total_events, r.late_events) for r in book.table("minutes").collect()} == {at(0): (1, 0), at(60): (1, 0), at(48): (1, 1), at(61): (1, 0)}
+    assert (sum(r["late"] for r in book.receipts), sum(r["dropped"] for r in book.receipts)) == (2, 1)
+
+
+def test_the_commit_queries_replay_several_micro_batches(spark):
+    from tidemark.plans import more_queries
+
+    book = more_queries.replayed_commits(spark, "/root/testdata/sf0.001")
+    assert len(book.receipts) > 1 and sum(r["late"] for r in book.receipts) > 0
+
+
 def test_times_are_utc(at):
     assert at(1) - at(0) == timedelta(minutes=1)

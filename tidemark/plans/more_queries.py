@@ -13,7 +13,7 @@ from tidemark.operators import raw_lines, silver
 from tidemark.plans.activity_queries import EV, MEASURES, events, rounded
 from tidemark.plans.registry import Registry
 from tidemark.session import scratch
-from tidemark.sources import readers
+from tidemark.sources import readers, storage
 from tidemark.sources.tables import table
 from tidemark.streaming import ledger
 
@@ -261,6 +261,48 @@ def stream_first_message(spark, folder):
     return replayed(spark, folder).table("events").select("stream_id", "event_id", "delivery_id")
 
 
+_COMMITS = (
+    _LEDGER.replace("order by delivery_id", "order by batch_id, delivery_id").replace("order by topic,", "order by batch_id, topic,")
+    + """, seen as (select stream_id, batch_id, max(max(event_time)) over (partition by stream_id order by batch_id rows between unbounded preceding and 1 preceding) as seen from kept group by 1, 2),
+runs as (select stream_id, max(late_after_seconds) as late_after, max(cutoff_seconds) as cutoff from stream_runs group by 1),
+judged as (select k.*, coalesce(k.event_time < s.seen - to_seconds(r.late_after), false) as late, coalesce(k.event_time < s.seen, false) as out_of_order, coalesce(k.event_time < s.seen - to_seconds(r.cutoff), false) as dropped
+  from kept k left join seen s using (stream_id, batch_id) left join runs r using (stream_id))
+"""
+)
+
+
+def replayed_commits(spark, folder, batches: int = 4) -> ledger.Ledger:
+    """The message table replayed in commit order: one micro-batch per range of batch_id, under each run's limits."""
+    root = scratch(spark, "ledger")
+    out = ledger.Ledger(spark, root, limits=table(spark, folder, "stream_runs"), by_commit=True)
+    source = table(spark, folder, "stream_messages").select(*ledger.columns(ledger.COMMITTED))
+    bounds = sorted(set(source.approxQuantile("batch_id", [i / batches for i in range(1, batches)], 0.001)))
+    place = sum((F.coalesce(F.col("batch_id") > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
+    source.withColumn("_range", place).write.partitionBy("_range").parquet(f"{root}/dropped")
+    for i in range(len(bounds) + 1):
+        if storage.exists(spark, f"{root}/dropped/_range={i}"):
+            out.run(ledger.file_source(spark, f"{root}/dropped/_range={i}", schema=ledger.COMMITTED), f"{root}/checkpoint-{i}")
+    return out
+
+
+@MORE.add("stream_commit_minutes", _COMMITS + f"select stream_id, epoch_us(date_trunc('minute', event_time)) as minute_us, count(*) as total_events, count(*) filter ({MEASURES['star_events']}) as star_events, count(*) filter (event_type = 'ForkEvent') as fork_events, count(distinct actor_id) as active_accounts, count(*) filter (late) as late_events from judged where not dropped group by 1, 2")
+def stream_commit_minutes(spark, folder):
+    minutes = replayed_commits(spark, folder).table("minutes")
+    return minutes.select("stream_id", F.unix_micros("minute_utc").alias("minute_us"), "total_events", "star_events", "fork_events", "active_accounts", "late_events")
+
+
+@MORE.add("stream_commit_dispositions", _COMMITS + "select delivery_id, 'invalid' as disposition from content where bad union all select delivery_id, case when c is distinct from c1 then 'conflict' else 'duplicate' end from ranked where rn > 1 union all select delivery_id, case when dropped then 'dropped' else 'accepted' end from judged")
+def stream_commit_dispositions(spark, folder):
+    return replayed_commits(spark, folder).table("messages").select("delivery_id", "disposition")
+
+
+@MORE.add("stream_commit_counters", _COMMITS + "select (select count(*) from content) as new_messages, (select count(*) from judged where not dropped) as accepted, (select count(*) from ranked where rn > 1 and c is not distinct from c1) as duplicate, (select count(*) from ranked where rn > 1 and c is distinct from c1) as conflict, (select count(*) from content where bad) as invalid, (select count(*) from judged where dropped) as dropped, (select count(*) from judged where late) as late, (select count(*) from judged where out_of_order) as out_of_order")
+def stream_commit_counters(spark, folder):
+    out = replayed_commits(spark, folder).receipts
+    names = ("new_messages", "accepted", "duplicate", "conflict", "invalid", "dropped", "late", "out_of_order")
+    return spark.createDataFrame([tuple(sum(r[n] for r in out) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @MORE.add("stream_offset_ranges", "select topic, partition_id, min(offset_id) as first_offset, max(offset_id) + 1 as end_offset, count(*) as rows from stream_messages group by 1, 2")
 def stream_offset_ranges(spark, folder):
     return ledger.offset_ranges(table(spark, folder, "stream_messages"))

@@ -14,6 +14,7 @@ import re
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,10 +22,16 @@ from pyspark.sql import functions as F
 
 from tidemark.model import EVENT_TYPES, is_star, is_type
 from tidemark.operators.deliveries import CONTENT, fingerprint
+from tidemark.operators.skew import running_max
 from tidemark.sources import storage
 
 MESSAGE = "stream_id string, topic string, partition_id int, offset_id long, delivery_id long, event_id string, event_time timestamp, event_type string, payload_action string, repo_id long, repo_name string, actor_id long, actor_login string, value_sha256 string"
-TABLES = ("events", "messages", "minutes", "repo_minutes")
+COMMITTED = f"{MESSAGE}, batch_id long"  # messages that carry the number of their commit in the stream
+TABLES = ("events", "messages", "minutes", "repo_minutes", "dropped")
+
+
+def columns(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(",")]
 
 
 class OffsetContentChanged(RuntimeError):
@@ -70,6 +77,8 @@ class Ledger:
     late_after_seconds: int = 600
     cutoff_seconds: int | None = None  # None: late events are always kept
     strict_offsets: bool = True
+    limits: DataFrame | None = None  # (stream_id, late_after_seconds, cutoff_seconds): each stream's own, in place of the two above
+    by_commit: bool = False  # COMMITTED messages: earlier commits come first, wherever the micro-batches are cut between commits
     fail: str | None = None  # test hook: 'before_commit' or 'after_commit'
     receipts: list[dict] = field(default_factory=list)
 
@@ -103,7 +112,7 @@ class Ledger:
 
     def table(self, name: str, hours: list[str] | None = None, manifest: dict | None = None) -> DataFrame | None:
         """The visible rows of a table, of some hours or all; None if there are none."""
-        parts = (manifest or self.manifest())["parts"][name]
+        parts = (manifest or self.manifest())["parts"].get(name, {})
         paths = [p for h, ps in parts.items() if hours is None or h in hours for p in ps]
         return self.spark.read.parquet(*paths) if paths else None
 
@@ -111,13 +120,14 @@ class Ledger:
         """Take in one micro-batch; returns its receipt.  The foreachBatch function."""
         m = self.manifest()
         spark = self.spark
-        rows = batch.select(*[c.strip().split(" ")[0] for c in MESSAGE.split(",")])
+        earlier = ["batch_id"] if self.by_commit else []
+        rows = batch.select(*columns(COMMITTED if self.by_commit else MESSAGE))
         digest = batch_digest(rows)
         if digest in m["batches"]:
             return self._receipt({**m["batches"][digest], "reused": True})
         work = f"{self.root}/data/{uuid.uuid4().hex[:12]}"
         spot = ["stream_id", "topic", "partition_id", "offset_id"]
-        first = W.partitionBy(*spot).orderBy("delivery_id")
+        first = W.partitionBy(*spot).orderBy(*earlier, "delivery_id")
         staged = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("reason", contract_errors()).select("*", *fingerprint(CONTENT))
         known = self.table("messages", manifest=m)
         if known is not None:
@@ -130,16 +140,15 @@ class Ledger:
         hour = F.date_format("event_time", "yyyy-MM-dd-HH")
         state = spark.createDataFrame([(s, datetime.fromtimestamp(t / 1e6, timezone.utc)) for s, t in m["state"].items()], "stream_id string, seen timestamp")
         own = ["stream_id", "event_id"]
-        best = W.partitionBy(*own).orderBy("topic", "partition_id", "offset_id")
+        best = W.partitionBy(*own).orderBy(*earlier, "topic", "partition_id", "offset_id")
         candidates = fresh.where("reason is null").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
-        kept = self.table("events", manifest=m)
+        kept = self._first_copies(m)
         if kept is not None:
             candidates = candidates.join(kept.select(*own), own, "left_anti")
         behind = F.unix_micros("seen") - F.unix_micros("event_time")
-        flagged = candidates.join(state, "stream_id", "left").withColumns(
-            {"is_late": F.coalesce(behind > self.late_after_seconds * 1_000_000, F.lit(False)), "is_out_of_order": F.coalesce(behind > 0, F.lit(False)), "_dropped": F.coalesce(behind > F.lit(self.cutoff_seconds) * 1_000_000, F.lit(False)) if self.cutoff_seconds is not None else F.lit(False)}
-        )
-        added = flagged.drop("seen", "reason").withColumn("hour", hour)
+        beyond = lambda seconds: F.coalesce(behind > F.col(seconds).cast("long") * 1_000_000, F.lit(False))
+        flagged = self._with_limits(self._with_seen(candidates, state)).withColumns({"is_late": beyond("_late_after"), "is_out_of_order": F.coalesce(behind > 0, F.lit(False)), "_dropped": beyond("_cutoff")})
+        added = flagged.drop("seen", "reason", "_late_after", "_cutoff", *earlier).withColumn("hour", hour)
         added.write.parquet(f"{work}/added")
         added = spark.read.parquet(f"{work}/added")
         accepted = added.where("not _dropped").drop("_dropped")
@@ -150,6 +159,7 @@ class Ledger:
         self._aggregates(retained).write.partitionBy("hour").parquet(f"{work}/minutes")
         self._repo_minutes(retained).write.partitionBy("hour").parquet(f"{work}/repo_minutes")
         self._dispositions(fresh, added, kept).write.parquet(f"{work}/messages")
+        added.where("_dropped").select(*own, "_fp1", "_fp2").write.parquet(f"{work}/dropped")
         messages = spark.read.parquet(f"{work}/messages")
         counts = messages.agg(F.count("*").alias("new_messages"), *[F.count_if(F.col("disposition") == d).alias(d) for d in ("accepted", "duplicate", "conflict", "invalid", "dropped")]).first().asDict()
         flags = added.agg(F.count_if("is_late").alias("late"), F.count_if("is_out_of_order").alias("out_of_order")).first().asDict()
@@ -157,6 +167,8 @@ class Ledger:
         for r in tops:
             m["state"][r["stream_id"]] = max(r["t"], m["state"].get(r["stream_id"], r["t"]))
         m["parts"]["messages"].setdefault("all", []).append(f"{work}/messages")
+        if counts["dropped"]:
+            m["parts"].setdefault("dropped", {}).setdefault("all", []).append(f"{work}/dropped")
         for h in hours:
             m["parts"]["events"].setdefault(h, []).append(f"{work}/events/hour={h}")
             m["parts"]["minutes"][h] = [f"{work}/minutes/hour={h}"]
@@ -171,6 +183,28 @@ class Ledger:
             raise InjectedFailure("after the commit, before the checkpoint")
         return self._receipt(receipt)
 
+    def _first_copies(self, m: dict) -> DataFrame | None:
+        """Identifier and fingerprint of every first message so far, dropped ones too: a later copy of these is a copy."""
+        own = ["stream_id", "event_id", "_fp1", "_fp2"]
+        found = [t.select(*own) for t in (self.table(n, manifest=m) for n in ("events", "dropped")) if t is not None]
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def _with_seen(self, candidates: DataFrame, state: DataFrame) -> DataFrame:
+        """Adds ``seen``, the greatest event time of earlier micro-batches and, by commit, of earlier commits of this one."""
+        known = candidates.join(state, "stream_id", "left")
+        if not self.by_commit:
+            return known
+        commits = candidates.groupBy("stream_id", "batch_id").agg(F.max("event_time").alias("_latest"))
+        earlier = running_max(commits, "stream_id", "batch_id", "_latest", "_earlier").select("stream_id", "batch_id", "_earlier")
+        return known.join(earlier, ["stream_id", "batch_id"], "left").withColumn("seen", F.greatest("seen", "_earlier")).drop("_earlier")
+
+    def _with_limits(self, rows: DataFrame) -> DataFrame:
+        """Adds _late_after and _cutoff; a null limit never applies.  A stream listed twice has its greater limits."""
+        if self.limits is None:
+            return rows.withColumns({"_late_after": F.lit(self.late_after_seconds), "_cutoff": F.lit(self.cutoff_seconds)})
+        limits = self.limits.groupBy("stream_id").agg(F.max("late_after_seconds").alias("_late_after"), F.max("cutoff_seconds").alias("_cutoff"))
+        return rows.join(limits, "stream_id", "left")
+
     def _receipt(self, receipt: dict) -> dict:
         self.receipts.append(receipt)
         return receipt
@@ -217,9 +251,9 @@ class Ledger:
         return self.receipts[before:]
 
 
-def file_source(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+def file_source(spark: SparkSession, path: str, files_per_batch: int | None = None, schema: str = MESSAGE) -> DataFrame:
     """The message stream from dropped files."""
-    reader = spark.readStream.schema(MESSAGE)
+    reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
