@@ -68,6 +68,23 @@ def test_joint_estimates_of_two_sets(spark):
     assert abs(r.jaccard - 0.25) < 5 * r.jaccard_error
 
 
+def test_union_and_intersection_errors_hold_over_many_trials(spark):
+    rows = spark.range(60 * 4600).select((F.col("id") % 60).alias("trial"), (F.col("id") / 60).cast("long").alias("i"), F.col("id").alias("x"))
+    sets = {"a": "i < 3000", "b": "i >= 1500 and i < 4500", "c": "i >= 4500"}
+    named = rows.select("trial", "x", F.explode(F.array(*[F.when(F.expr(w), F.lit(n)) for n, w in sets.items()])).alias("name")).dropna()
+    s = distinct_sketch.Sketch(256)
+    got = distinct_sketch.compare(distinct_sketch.sketch(named, ["trial", "name"], "x", s), ["trial"], "name", s).toPandas()
+    assert len(got) == 180
+    for pair, union, intersection in (("ab", 4500, 1500), ("ac", 3100, 0), ("bc", 3100, 0)):
+        one = got[(got.a + got.b) == pair]
+        for name, true in (("union", union), ("intersection", intersection)):
+            off = (one[name] - true) / one[f"{name}_error"]
+            print(pair, name, float((off**2).mean()) ** 0.5, float(off.abs().max()))
+            assert (off**2).mean() ** 0.5 < 1.2 and off.abs().max() < 4.5
+    overlapping = got[(got.a + got.b) == "ab"]
+    assert (overlapping.union_error < 0.3 * 4500).all() and (overlapping.intersection_error < 0.5 * 1500).all()
+
+
 def test_wrong_counts_are_found_exactly(spark, events):
     truth = events.groupBy("repo_id", "event_date").agg(F.countDistinct("actor_id").alias("c"))
     shift = F.when(F.col("repo_id") % 3 == 0, F.col("c") * 2 + 1).when(F.col("repo_id") % 3 == 1, F.ceil(F.col("c") * 1.2)).otherwise(F.col("c")).cast("long")

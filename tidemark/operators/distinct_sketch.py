@@ -111,14 +111,17 @@ def compare(sketches: DataFrame, keys: Sequence[str], member: str, s: Sketch = S
 
     ``member`` names the column that tells the sets apart; its values are few by nature (a closed list such as event
     types), which is checked.  The registers of one key meet in one row per register, so no two sets are joined.
-    Columns out: keys, a, b, count_a, count_b, union, intersection, jaccard, jaccard_error.
+    Columns out: keys, a, b, count_a, count_b, union, intersection, jaccard, jaccard_error, union_error, intersection_error.
+
+    The errors are standard errors.  Those of union and intersection are propagated from both counts, whose errors add
+    up at worst (sets that overlap share registers), and from the Jaccard index, taken as one equal register off at least.
     """
     members = [r[0] for r in sketches.select(member).distinct().limit(257).collect() if r[0] is not None]
     if len(members) > 256:
         raise ValueError(f"compare expects a short list of members; {member} has more than 256")
     members.sort()
     if len(members) < 2:
-        return sketches.sparkSession.createDataFrame([], f"{', '.join(f'`{n}` {t}' for n, t in sketches.select(*keys).dtypes) or '_none int'}, a string, b string, count_a double, count_b double, union double, intersection double, jaccard double, jaccard_error double")
+        return sketches.sparkSession.createDataFrame([], f"{', '.join(f'`{n}` {t}' for n, t in sketches.select(*keys).dtypes) or '_none int'}, a string, b string, count_a double, count_b double, union double, intersection double, jaccard double, jaccard_error double, union_error double, intersection_error double")
     keys = list(keys)
     wide = sketches.where(F.col(member).isNotNull()).groupBy(*keys, "register").agg(F.sort_array(F.collect_list(F.struct(member, F.col("value").alias("v")))).alias("_x"))
     wide = wide.select(*keys, F.col(f"_x.{member}").alias("_m"), F.col("_x.v").alias("_v"))
@@ -144,8 +147,8 @@ def compare(sketches: DataFrame, keys: Sequence[str], member: str, s: Sketch = S
     sums = parts.groupBy(*keys, "_a", "_b").agg(*[F.sum(c).alias(c) for c in ("above", "below", "equal")])
     names = F.array(*[F.lit(str(x)) for x in members])
     sums = sums.select(*keys, names[F.col("_a")].alias("a"), names[F.col("_b")].alias("b"), "above", "below", "equal")
-    counts = estimate(sketches.withColumn("_s", F.col(member).cast("string")), [*keys, "_s"], s).drop("standard_error")
-    side = lambda x: counts.withColumnsRenamed({"_s": x, "estimate": f"count_{x}", **{k: f"_{x}_{k}" for k in keys}})
+    counts = estimate(sketches.withColumn("_s", F.col(member).cast("string")), [*keys, "_s"], s)
+    side = lambda x: counts.withColumnsRenamed({"_s": x, "estimate": f"count_{x}", "standard_error": f"_error_{x}", **{k: f"_{x}_{k}" for k in keys}})
     long = sums
     for x in ("a", "b"):
         c = side(x).withColumnRenamed(x, "_name")
@@ -161,13 +164,18 @@ def compare(sketches: DataFrame, keys: Sequence[str], member: str, s: Sketch = S
 
     solved = long.withColumn("jaccard", solve("count_a", "count_b", "above", "below", "equal"))
     both = F.col("count_a") + F.col("count_b")
-    used = F.col("above") + F.col("below") + F.col("equal")
+    used = F.greatest(F.col("above") + F.col("below") + F.col("equal"), F.lit(1))
+    j = F.col("jaccard")
+    of_counts = (F.col("_error_a") + F.col("_error_b")) / (1 + j)
+    of_index = both / ((1 + j) * (1 + j)) * F.sqrt((j * (1 - j) + 1 / used) / used)
     return solved.select(
         *keys, "a", "b", "count_a", "count_b",
         (both / (1 + F.col("jaccard"))).alias("union"),
         (both * F.col("jaccard") / (1 + F.col("jaccard"))).alias("intersection"),
         "jaccard",
-        F.sqrt(F.col("jaccard") * (1 - F.col("jaccard")) / F.greatest(used, F.lit(1))).alias("jaccard_error"),
+        F.sqrt(F.col("jaccard") * (1 - F.col("jaccard")) / used).alias("jaccard_error"),
+        F.hypot(of_counts, of_index).alias("union_error"),
+        F.hypot(of_counts * j, of_index).alias("intersection_error"),
     )
 
 
