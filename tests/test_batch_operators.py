@@ -313,3 +313,11 @@ def test_exploration(spark, events):
     assert paths[("payload.x[]", "integer,null,string")] == 1 and paths[("id", "null")] == 1
     assert explore.uniform_sample(events, 10, "event_id").count() == 10
     assert explore.overview(events.limit(0)).first().duplicate_event_ids == 0
+
+
+def test_model_queries_choose_among_all_models(spark):
+    from tidemark.plans import more_queries
+
+    _, (best, _, found) = more_queries._fitted(spark, "/root/testdata/sf0.001")
+    assert set(found) == set(learn.classifiers())
+    assert found[best]["pr_auc"] == max(m["pr_auc"] for m in found.values())

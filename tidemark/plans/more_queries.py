@@ -391,7 +391,7 @@ def _fitted(spark, folder):
     from tidemark.session import materialize
 
     rows = materialize(labelled(spark, folder), "examples")
-    return rows, le.fit_and_choose(rows, ["logistic_regression"])
+    return rows, le.fit_and_choose(rows)
 
 
 @MORE.add("model_forecasts")
