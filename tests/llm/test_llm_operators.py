@@ -2,6 +2,7 @@
 
 import bisect
 import random
+from collections import Counter
 import re
 
 import numpy as np
@@ -170,22 +171,79 @@ def test_mixed_records_reach_their_shares(spark):
         ("See `code", "open:code"), ("See `a(` and.", "ended"), ("Not here (as sug", "open:bracket"), ("A list 1) and :( done.", "ended"), ('He said "we wi', "open:quote"), ('He said "x" twice.', "ended"),
         ("An escape &#9", "broken"), ("Tom &am", "broken"), ("R&D", "unended"), ("half a charact�", "broken"), ("a � b.", "ended"), ("Done.\n\n-", "open:item"), ("Done.\n2.", "open:item"), ("text <a hre", "broken"),
         ("(open in an earlier paragraph\n\nbut this ends.", "ended"), ("trailing off...", "unended"), ("完成了。", "ended"), ("„Zitat“ endet.", "ended"), ("&#96;code", "open:code"), ("a < b", "unended"), (")]}` x", "open:code"),
+        ("Off by 2.", "number"), ("<details>\n\nlong text.", "open:element"), ("<details><summary>x</summary>\n\ny.\n\n</details>", "ended"), ("This is <b>bold.", "open:element"), ("This is <b>bold</b>.", "ended"),
+        ("Use <i>it</i> or <br/> so.", "ended"), ("A list<b> of it.", "ended"), ("<!-- hidden\n\nmore.", "open:comment"), ("<!-- hidden --> ok.", "ended"), ("This is **bold.", "open:emphasis"), ("This is **bold**.", "ended"),
+        ("2 ** 3 is 8.", "number"), ("x <!-", "broken"), ("see </detai", "broken"), ('go <a href="https://x' + "y" * 500, "broken"), ("if a <b then we stop.", "ended"), ("line\n> ", "open:item"),
     ],
 )
 def test_states(text, state):
-    assert truncation.tail_state(text or "")[0] == state
+    assert truncation.tail_state(text or "") == state
 
 
-@pytest.mark.parametrize("text", ["." * 100_000 + "x", "a.." * 40_000, "_" * 100_000, "(" * 60_000 + "]" * 60_000, "`" * 100_001, "\n" * 100_000 + "x", "字" * 60_000, '"' * 60_001, "&" * 100_000])
+@pytest.mark.parametrize("text", ["." * 100_000 + "x", "a.." * 40_000, "_" * 100_000, "(" * 60_000 + "]" * 60_000, "`" * 100_001, "\n" * 100_000 + "x", "字" * 60_000, '"' * 60_001, "&" * 100_000, "<b>" * 40_000 + "</i>" * 40_000, "**x " * 50_000, "<a " + "=" * 100_000 + ">", "<" * 100_000])
 def test_hostile_texts_take_linear_time(text):
     import time
 
     began = time.time()
     truncation.tail_state(text)
-    truncation.baseline_counts([text])
+    truncation.asked_contexts(text)
+    truncation.count_contexts([text], lambda h: np.ones(len(h), dtype=bool))
     assert time.time() - began < 15
 
 
+def brute_contexts(texts):
+    """(context, level) -> what follows, written down place by place."""
+    out = {}
+    for text in texts:
+        s = truncation.stream(text)
+        if not s:
+            continue
+        kind = lambda i: "final" if i + 1 == len(s) else "end" if s[i + 1] in "。！？\n" or s[i + 1] in ".!?" and (i + 2 == len(s) or s[i + 2] in truncation_after) or s[i] in ".!?" and s[i + 1] in " \n" else "mid"
+        truncation_after = " \n)]\"'`*"
+        for i in range(truncation.LONGEST, len(s)):
+            if s[i] not in " \n":
+                for k in truncation.LENGTHS:
+                    out.setdefault((s[i - k + 1 : i + 1], "context"), []).append(kind(i))
+        for i in range(truncation.LONGEST - 1, len(s) - 1):
+            if s[i] in " \n" and s[i + 1] not in " \n":
+                j = i + 1
+                while j < len(s) and s[j] not in " \n":
+                    j += 1
+                what = "end" if s[j - 1] in ".!?。！？" or j < len(s) and s[j] == "\n" else "final" if j == len(s) else "mid"
+                for k in truncation.SLOTS:
+                    out.setdefault((s[i - k + 1 : i + 1], "slot"), []).append(what)
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_context_counts_equal_a_count_place_by_place(block, monkeypatch):
+    monkeypatch.setattr(truncation, "BLOCK", block)
+    whole, cut = corpus(60)
+    texts = [*whole.values(), *cut.values(), "", "短い。文", "x", "Odd\n\n\n- one\n- two 1.5 and v2.10.3", "a" * 300]
+    found = truncation.count_contexts(texts, lambda h: np.ones(len(h), dtype=bool)).set_index("h")
+    brute = brute_contexts(texts)
+    everything = Counter(k for v in brute.values() for k in v)
+    assert {k: int(found[k].sum()) for k in ("end", "mid", "final")} == {k: everything[k] for k in ("end", "mid", "final")}
+    for text in texts[:80]:
+        s, asked = truncation.stream(text), truncation.asked_contexts(text)
+        if not s:
+            continue
+        word = len(truncation._LAST_WORD.search(s)[0]) or 1
+        wanted = [(s[-k:], "context") for k in truncation.LENGTHS] + [(s[:-word][-k:], "slot") for k in truncation.SLOTS]
+        for h, key in zip(asked, wanted, strict=True):
+            if h:
+                got = found.loc[h]
+                assert {k: int(got[k]) for k in ("end", "mid", "final")} == {k: Counter(brute[key])[k] for k in ("end", "mid", "final")}, key
+
+
+def test_filter_lets_all_asked_through(spark):
+    values = [int(x) for x in np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 500)] + [0, -1, 1, 63, 64]
+    for bits in (12, 20, 24):
+        passes = truncation.lets_through(truncation.filter_of(spark.createDataFrame([(v,) for v in values], "h long"), bits), bits)
+        assert passes(np.array(values, dtype=np.int64).astype(np.uint64)).all()
+        assert passes(np.random.default_rng(4).integers(0, 1 << 62, 10_000).astype(np.uint64)).mean() < 2 * len(values) / (1 << bits) + 0.01
+
+
 def corpus(n=900, seed=5):
     rng = random.Random(seed)
     things, verbs = ["parser", "scheduler", "cache layer", "event bus", "lock manager"], ["drops", "retries", "reorders", "forgets"]
@@ -197,7 +255,7 @@ def corpus(n=900, seed=5):
         roll = rng.random()
         if roll < 0.06:
             tail = sentence()
-            k = rng.randint(8, len(tail) - 12)
+            k = rng.randint(3, len(tail))
             cut[i] = text + " " + tail[:k]
         elif roll < 0.3:
             whole[i] = text + rng.choice(["\n\nThanks in advance", "\n\ncc @user" + str(i), "\n\n- drop stale branches under load"])
@@ -217,9 +275,9 @@ def test_cut_texts_are_found(spark):
     assert sorted(r.doc_id for r in judged) == sorted(r[0] for r in rows)
     found = {r.doc_id for r in judged if r.cut}
     missed, wrong = set(cut) - found, found - set(cut) - {10_000 + i for i in cut}
-    # A cut after a whole sentence or inside a number leaves no trace.
-    assert len(missed) <= 0.15 * len(cut)
-    assert len(wrong) <= 0.02 * len(whole)
+    # Cuts after a whole sentence leave no trace: about one character in sixty here.
+    assert len(missed) <= 0.05 * len(cut)
+    assert len(wrong) <= 0.01 * len(whole)
     assert all((10_000 + i in found) == (i in found) for i in list(cut)[:5])
     rates = {r.source: (r.documents, r.cut_documents) for r in truncation.truncation_rates(df).collect()}
     assert sum(v[0] for v in rates.values()) == len(rows) and sum(v[1] for v in rates.values()) == len(found)
@@ -229,3 +287,11 @@ def test_empty_documents_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert truncation.judged_documents(df).count() == 0
     assert truncation.truncation_rates(df).count() == 0
+    assert truncation.field_limits(df).count() == 0
+
+
+def test_field_limits_are_found(spark):
+    whole, cut = corpus(900)
+    texts = list(whole.values()) + [(t + " " + " ".join(whole.values()))[:400] for t in list(whole.values())[:60]]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {(r.source, r.length) for r in truncation.field_limits(df).collect()} == {("s", 400)}

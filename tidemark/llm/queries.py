@@ -77,3 +77,9 @@ def p10_found(spark, folder):
 @LLM.add("p10_rates")
 def p10_rates(spark, folder):
     return truncation.truncation_rates(table(spark, folder, "documents"))
+
+
+@LLM.add("p10_limits")
+def p10_limits(spark, folder):
+    """Lengths at which a source's cut texts pile up: its field limits."""
+    return truncation.field_limits(table(spark, folder, "documents"))
