@@ -1,4 +1,4 @@
-"""Queries of the data-pipeline operators (p1 to p7)."""
+"""Queries of the data-pipeline operators (p1, p2, p4 to p7)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.model import ACTIONS, EVENT_TYPES
 from tidemark.operators import deliveries, late_events, raw_lines, small_files
-from tidemark.operators import distinct_sketch as ds
 from tidemark.operators import feature_table as ft
 from tidemark.operators import heavy_results as hr
 from tidemark.plans.registry import Registry
@@ -104,53 +103,6 @@ def p7_kept(spark, folder):
     return deliveries.settle_deliveries(table(spark, folder, "stream_messages")).where("disposition = 'kept'").select("stream_id", "event_id", "delivery_id")
 
 
-# ---------------------------------------------------------------- p3: distinct counts
-
-
-@PIPELINE.add(
-    "p3_found",
-    """
-with repo as (select repo_id, event_date, count(distinct actor_id) as n from silver_events group by 1, 2),
-account as (
-  select m.actor_id, m.window_start, count(distinct e.repo_id) as n from account_metrics m
-  join silver_events e on e.actor_id = m.actor_id and e.event_date >= m.window_start and e.event_date < m.window_end group by 1, 2)
-select 'active_accounts' as metric, d.repo_id as entity_id, strftime(d.event_date, '%Y-%m-%d') as day_utc
-from repository_daily d left join repo r on r.repo_id = d.repo_id and r.event_date = d.event_date
-where d.total_events >= 10 and abs(d.active_accounts - coalesce(r.n, 0)) > 0.2 * coalesce(r.n, 0)
-union all
-select 'active_repositories', m.actor_id, strftime(m.window_start, '%Y-%m-%d')
-from account_metrics m left join account a on a.actor_id = m.actor_id and a.window_start = m.window_start
-where m.total_events >= 10 and abs(m.active_repositories - coalesce(a.n, 0)) > 0.2 * coalesce(a.n, 0)""",
-)
-def p3_found(spark, folder):
-    events = table(spark, folder, "silver_events")
-    daily, accounts = (table(spark, folder, t).where("total_events >= 10") for t in ("repository_daily", "account_metrics"))
-    repos = ds.wrong_counts(events, daily, ["repo_id", "event_date"], "actor_id", "active_accounts", 0.2)
-    windows = ds.in_windows(events.select("actor_id", "event_date", "repo_id"), accounts)
-    actors = ds.wrong_counts(windows, accounts, ["actor_id", "window_start", "window_end"], "repo_id", "active_repositories", 0.2)
-    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day_utc")
-    return repos.select(F.lit("active_accounts").alias("metric"), F.col("repo_id").alias("entity_id"), day("event_date")).unionByName(
-        actors.select(F.lit("active_repositories").alias("metric"), F.col("actor_id").alias("entity_id"), day("window_start"))
-    )
-
-
-@PIPELINE.add("p3_active_accounts")
-def p3_active_accounts(spark, folder):
-    """Distinct accounts per day, repository, event type and every combination, with the standard error of each."""
-    return ds.cube_estimates(table(spark, folder, "silver_events"), ["event_date", "repo_id", "event_type"], "actor_id")
-
-
-@PIPELINE.add("p3_active_repositories")
-def p3_active_repositories(spark, folder):
-    return ds.estimate(ds.sketch(table(spark, folder, "silver_events"), ["actor_id"], "repo_id"), ["actor_id"])
-
-
-@PIPELINE.add("p3_type_overlap")
-def p3_type_overlap(spark, folder):
-    """Union, intersection and Jaccard index of the accounts of every two event types, per day."""
-    return ds.compare(ds.sketch(table(spark, folder, "silver_events"), ["event_date", "event_type"], "actor_id"), ["event_date"], "event_type")
-
-
 # ---------------------------------------------------------------- p4: features per entity
 
 _ONCE = "with once as (select distinct event_id, repo_id, actor_id, event_type, payload_action, event_time from silver_events)"
