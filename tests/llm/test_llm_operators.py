@@ -186,16 +186,20 @@ def test_hostile_texts_take_linear_time(text):
 
     began = time.time()
     truncation.tail_state(text)
-    truncation.asked_contexts(text)
+    truncation.asked_contexts([text])
     truncation.count_contexts([text], lambda h: np.ones(len(h), dtype=bool))
     assert time.time() - began < 15
 
 
+def digits(text):
+    return re.sub("[1-9]", "0", text)
+
+
 def brute_contexts(texts):
     """(context, level) -> what follows, written down place by place."""
     out = {}
     for text in texts:
-        s = truncation.stream(text)
+        s = digits(truncation.stream(text))
         if not s:
             continue
         kind = lambda i: "final" if i + 1 == len(s) else "end" if s[i + 1] in "。！？\n" or s[i + 1] in ".!?" and (i + 2 == len(s) or s[i + 2] in truncation_after) or s[i] in ".!?" and s[i + 1] in " \n" else "mid"
@@ -225,7 +229,7 @@ def test_context_counts_equal_a_count_place_by_place(block, monkeypatch):
     everything = Counter(k for v in brute.values() for k in v)
     assert {k: int(found[k].sum()) for k in ("end", "mid", "final")} == {k: everything[k] for k in ("end", "mid", "final")}
     for text in texts[:80]:
-        s, asked = truncation.stream(text), truncation.asked_contexts(text)
+        s, asked = digits(truncation.stream(text)), truncation.asked_contexts([text])[0]
         if not s:
             continue
         word = len(truncation._LAST_WORD.search(s)[0]) or 1
