@@ -12,7 +12,8 @@ from tidemark.operators.skew import lookup_join
 from tidemark.session import broadcast_if_small
 
 METADATA = "repo_id long, archived_repo_name string, status string, primary_language string, language_bytes map<string, long>, topics array<string>, description string, created_at timestamp"
-# The labels that stand for a missing language.
+# The status and the labels that stand for a missing language.
+NOT_SELECTED = "not_selected"
 NOT_ENRICHED, UNAVAILABLE, NO_PRIMARY, NO_LANGUAGE, UNCLASSIFIED = "Not enriched", "Metadata unavailable", "No primary language reported", "No language reported", "Unclassified"
 # Topics and description phrases (whole words) of each technology category.
 TOPICS = {
@@ -43,7 +44,7 @@ def categories() -> Column:
     """The array of categories of a repository: a topic in the label's set, or a whole word of its pattern in the description."""
     topics = F.transform(F.coalesce("topics", F.array().cast("array<string>")), F.lower)
     text = F.coalesce("description", F.lit(""))
-    said = lambda phrases: text.rlike(rf"(?i)\b({'|'.join(phrases)})\b")
+    said = lambda phrases: text.rlike(rf"(?iU)\b({'|'.join(phrases)})\b")
     hits = F.array(*[F.when(F.arrays_overlap(topics, F.array(*map(F.lit, TOPICS[c]))) | said(PHRASES[c]), c) for c in TOPICS])
     found = F.filter(hits, lambda c: c.isNotNull())
     return F.when(F.col("status") != "ok", F.array(F.lit(UNAVAILABLE))).when(F.size(found) > 0, found).otherwise(F.array(F.lit(UNCLASSIFIED)))
@@ -66,7 +67,7 @@ def language_shares(metadata: DataFrame) -> DataFrame:
 def primary_daily(events: DataFrame, metadata: DataFrame) -> DataFrame:
     """(event_date, primary_language, enrichment_status) with repositories and the measure bundle."""
     labels = metadata.select("repo_id", primary_label().alias("primary_language"), F.col("status").alias("enrichment_status"))
-    joined = lookup_join(events, labels, ["repo_id"], ["event_id"], "left").fillna({"primary_language": NOT_ENRICHED, "enrichment_status": "not_enriched"})
+    joined = lookup_join(events, labels, ["repo_id"], ["event_id"], "left").fillna({"primary_language": NOT_ENRICHED, "enrichment_status": NOT_SELECTED})
     keys = ["event_date", "primary_language", "enrichment_status"]
     repos = joined.select(*keys, "repo_id").distinct().groupBy(*keys).agg(F.count("*").alias("active_repositories"))
     return bundle(joined, keys).join(repos, keys)
@@ -85,7 +86,7 @@ def weighted_daily(events: DataFrame, metadata: DataFrame) -> DataFrame:
     shares = broadcast_if_small(language_shares(metadata).select("repo_id", "language", "byte_share"))
     joined = repository_days(events).join(shares, "repo_id", "left").fillna({"language": NOT_ENRICHED, "byte_share": 1.0})
     # One row per (date, repository, language), so counting rows counts repositories.
-    return joined.groupBy("event_date", "language").agg(F.count("*").alias("active_repositories"), *[F.sum(F.col(c) * F.col("byte_share")).alias(f"attributed_{c}") for c in WEIGHTED])
+    return joined.groupBy("event_date", "language").agg(F.count("*").alias("associated_repositories"), *[F.sum(F.col(c) * F.col("byte_share")).alias(f"attributed_{c}") for c in WEIGHTED])
 
 
 def technology_daily(events: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def technology_daily(events: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def language_growth(repos: DataFrame, metadata: DataFrame) -> DataFrame:
     labels = broadcast_if_small(metadata.select("repo_id", primary_label().alias("primary_language"), F.col("status").alias("enrichment_status")))
-    joined = repos.join(labels, "repo_id", "left").fillna({"primary_language": NOT_ENRICHED, "enrichment_status": "not_enriched"})
+    joined = repos.join(labels, "repo_id", "left").fillna({"primary_language": NOT_ENRICHED, "enrichment_status": NOT_SELECTED})
     sums = joined.groupBy("primary_language", "enrichment_status").agg(*[F.sum(c).alias(c) for c in ("previous_attention", "current_attention", "previous_events", "current_events")])
     return sums.withColumns({"attention_delta": F.col("current_attention") - F.col("previous_attention"), "attention_growth_ratio": (F.col("current_attention") + 1.0) / (F.col("previous_attention") + 1.0), "zero_attention_baseline": F.col("previous_attention") == 0})
 

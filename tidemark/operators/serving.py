@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.model import is_star, is_type
-from tidemark.operators.language import NOT_ENRICHED, primary_label
+from tidemark.operators.language import NOT_ENRICHED, NOT_SELECTED, primary_label
 
-SORTS = ("activity_score", "trend_score", "total_events", "star_events", "attention_growth_ratio")
+# The columns a ranking may be sorted by, the filters a sort implies, and the longest search text.
+SORTS = ("total_events", "star_events", "trend_score", "attention_growth_ratio", "active_accounts")
+IMPLIED = {"trend_score": ("growth_eligible",), "attention_growth_ratio": ("growth_eligible", "attention_delta > 0")}
+LONGEST_SEARCH = 150
+ALL = "All"
 
 
 def checked_limit(limit: int) -> int:
@@ -21,8 +26,10 @@ def checked_limit(limit: int) -> int:
 
 
 def contains_literal(column: str, text: str) -> Column:
-    """Case-insensitive contains; the text is literal (no wildcards) and cut to 150 characters."""
-    return F.contains(F.lower(column), F.lower(F.lit(text[:150])))
+    """Case-insensitive contains; the text is literal (no wildcards).  More than 150 characters are refused."""
+    if len(text) > LONGEST_SEARCH:
+        raise ValueError(f"a search text has at most {LONGEST_SEARCH} characters")
+    return F.contains(F.lower(column), F.lower(F.lit(text)))
 
 
 def checked_range(first: date | None, last: date | None) -> None:
@@ -30,22 +37,24 @@ def checked_range(first: date | None, last: date | None) -> None:
         raise ValueError("give both dates, the first not after the last")
 
 
-def rankings(repos: DataFrame, sort: str = "activity_score", limit: int = 50, search: str | None = None, min_events: int | None = None, eligible_only: bool = False, languages: Sequence[str] | None = None, metadata: DataFrame | None = None, daily: DataFrame | None = None, first: date | None = None, last: date | None = None) -> DataFrame:
-    """A filtered ranking.  A date range keeps repositories seen in it, but their whole-window measures."""
+def rankings(repos: DataFrame, sort: str = "total_events", limit: int = 20, search: str = "", minimum: int = 0, language: str = ALL, metadata: DataFrame | None = None, daily: DataFrame | None = None, first: date | None = None, last: date | None = None) -> DataFrame:
+    """A filtered ranking with language labels.  A sort by score or growth implies eligible (and growing) repositories.
+
+    A date range keeps repositories seen in it, but their whole-window measures.
+    """
     if sort not in SORTS:
         raise ValueError(f"sort must be one of {SORTS}")
+    if not isinstance(minimum, int) or isinstance(minimum, bool) or minimum < 0:
+        raise ValueError("the minimum must be a whole number from 0 on")
+    if language != ALL and metadata is None:
+        raise ValueError("a language filter needs metadata")
     checked_range(first, last)
-    out = repos
-    if search:
-        out = out.where(contains_literal("repo_name", search))
-    if min_events is not None:
-        out = out.where(F.col("total_events") >= min_events)
-    if eligible_only:
-        out = out.where("growth_eligible")
-    if languages:
-        if metadata is None:
-            raise ValueError("a language filter needs metadata")
-        out = with_labels(out, metadata).where(F.col("primary_language").isin(*languages))
+    tests = [contains_literal("repo_name", search), F.col("total_events") >= minimum, *[F.expr(t) for t in IMPLIED.get(sort, ())]]
+    out = repos.where(reduce(Column.__and__, tests))
+    if metadata is not None:
+        out = with_labels(out, metadata)
+    if language != ALL:
+        out = out.where(F.col("primary_language") == language)
     if first is not None:
         out = observed_between(out, daily, first, last)
     return out.orderBy(F.col(sort).desc(), "repo_id").limit(checked_limit(limit))
@@ -57,7 +66,7 @@ def observed_between(repos: DataFrame, daily: DataFrame, first: date, last: date
 
 def with_labels(repos: DataFrame, metadata: DataFrame) -> DataFrame:
     labels = metadata.select("repo_id", primary_label().alias("primary_language"), F.col("status").alias("enrichment_status"))
-    return repos.join(labels, "repo_id", "left").fillna({"primary_language": NOT_ENRICHED, "enrichment_status": "not_enriched"})
+    return repos.join(labels, "repo_id", "left").fillna({"primary_language": NOT_ENRICHED, "enrichment_status": NOT_SELECTED})
 
 
 def compare(repos: DataFrame, ids: Sequence[int]) -> DataFrame:
@@ -81,8 +90,8 @@ def search_accounts(accounts: DataFrame, text: str, limit: int = 50) -> DataFram
 
 def labelled_edges(edges: DataFrame, repos: DataFrame, accounts: DataFrame, limit: int = 100) -> DataFrame:
     """The strongest edges with names: the top list is taken before the names are joined."""
-    top = edges.orderBy(F.desc("event_count"), "repo_id", "actor_id").limit(checked_limit(limit))
-    return top.join(repos.select("repo_id", "repo_name"), "repo_id").join(accounts.select("actor_id", "actor_login"), "actor_id").orderBy(F.desc("event_count"), "repo_id", "actor_id")
+    top = edges.orderBy(F.desc("participation_events"), "repo_id", "actor_id").limit(checked_limit(limit))
+    return top.join(repos.select("repo_id", "repo_name"), "repo_id").join(accounts.select("actor_id", "actor_login"), "actor_id").orderBy(F.desc("participation_events"), "repo_id", "actor_id")
 
 
 def options(table: DataFrame, column: str, extra: Sequence[str] = ()) -> DataFrame:

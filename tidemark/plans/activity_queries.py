@@ -5,17 +5,18 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.measures import bundle, predicates
 from tidemark.operators import activity as ac
 from tidemark.plans.registry import Registry
+from tidemark.session import scratch
 from tidemark.sources.tables import table
 
 ACTIVITY = Registry()
 WINDOW = ac.Window(datetime(2026, 1, 5), 336)
 SPLIT, END = "timestamptz '2026-01-12 00:00:00+00'", "timestamptz '2026-01-19 00:00:00+00'"
 START = "timestamptz '2026-01-05 00:00:00+00'"
-ALTERNATIVE = {"current_stars": 0.25, "current_forks": 0.25, "current_accounts": 0.25, "current_pull_requests_opened": 0.25}
 
 EV = """with ev as (select * from (select *, row_number() over (partition by event_id order by source_archive_start nulls last, source_filename, raw_record_sha256) as rn
   from silver_events) where rn = 1)
@@ -35,8 +36,23 @@ BUNDLE = "count(*) as total_events, count(distinct actor_id) as active_accounts,
 LATEST = "arg_max(repo_name, (event_time, raw_record_sha256)) as repo_name"
 
 
+GOLD_COLUMNS = ("event_id", "event_type", "actor_id", "actor_login", "repo_id", "repo_name", "event_time", "event_date", "event_hour", "payload_action", "source_archive_start", "source_filename", "raw_record_sha256")
+_published: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
 def events(spark, folder):
-    return ac.clean(table(spark, folder, "silver_events"))
+    """The clean events, published once a session: Gold reads them and no result moves all events by event_id again.
+
+    Not bucketed: a bucket would hold all rows of a hot repository or account.
+    """
+    at = (spark.sparkContext.applicationId, folder)
+    if at not in _published:
+        place = scratch(spark, "clean-events")
+        once = ac.clean(table(spark, folder, "silver_events").select(*GOLD_COLUMNS))
+        once.write.parquet(place)
+        _published[at] = place, once.schema
+    place, schema = _published[at]
+    return spark.read.schema(schema).parquet(place)
 
 
 def rounded(df, *columns):
@@ -49,8 +65,8 @@ def repos(spark, folder):
 
 def _half(h: str) -> str:
     t = {"previous": f"event_time >= {START} and event_time < {SPLIT}", "current": f"event_time >= {SPLIT} and event_time < {END}"}[h]
-    m = {"events": "true", "stars": MEASURES["star_events"], "forks": MEASURES["fork_events"], "pull_requests_opened": MEASURES["pull_requests_opened"]}
-    return ", ".join(f"count(*) filter ({t} and {p}) as {h}_{n}" for n, p in m.items()) + f", count(distinct actor_id) filter ({t}) as {h}_accounts"
+    m = {"events": "true", "stars": MEASURES["star_events"], "forks": MEASURES["fork_events"], "prs_opened": MEASURES["pull_requests_opened"]}
+    return ", ".join(f"count(*) filter ({t} and {p}) as {h}_{n}" for n, p in m.items()) + f", count(distinct actor_id) filter ({t}) as {h}_active_accounts"
 
 
 REPOS = (
@@ -60,13 +76,11 @@ att as (select *, previous_stars + previous_forks as previous_attention, current
 grown as (select *, current_attention - previous_attention as attention_delta, (current_attention + 1.0) / (previous_attention + 1.0) as attention_growth_ratio,
   (current_stars + 1.0) / (previous_stars + 1.0) as star_growth_ratio,
   case when previous_attention > 0 then 100.0 * (current_attention - previous_attention) / previous_attention end as attention_change_percent,
-  previous_attention = 0 as zero_attention_baseline, current_attention >= 5 and current_accounts >= 2 as growth_eligible,
-  current_attention >= 5 and current_accounts >= 2 and previous_attention <= 2 as emerging, active_accounts / total_events as participation_ratio from att),
-mx as (select max(current_stars) as ms, max(current_forks) as mf, max(current_accounts) as ma, max(current_pull_requests_opened) as mp from grown),
+  previous_attention = 0 as zero_attention_baseline, current_attention >= 5 and current_active_accounts >= 2 as growth_eligible,
+  current_attention >= 5 and current_active_accounts >= 2 and previous_attention <= 2 as emerging_attention_candidate, active_accounts / total_events as participation_ratio from att),
+mx as (select max(current_stars) as ms, max(current_forks) as mf, max(current_active_accounts) as ma, max(current_prs_opened) as mp from grown),
 scored as (select g.*, 0.4 * case when ms > 0 then ln(1 + current_stars) / ln(1 + ms) else 0 end + 0.3 * case when mf > 0 then ln(1 + current_forks) / ln(1 + mf) else 0 end
-  + 0.2 * case when ma > 0 then ln(1 + current_accounts) / ln(1 + ma) else 0 end + 0.1 * case when mp > 0 then ln(1 + current_pull_requests_opened) / ln(1 + mp) else 0 end as activity_score,
-  0.25 * (case when ms > 0 then ln(1 + current_stars) / ln(1 + ms) else 0 end + case when mf > 0 then ln(1 + current_forks) / ln(1 + mf) else 0 end
-  + case when ma > 0 then ln(1 + current_accounts) / ln(1 + ma) else 0 end + case when mp > 0 then ln(1 + current_pull_requests_opened) / ln(1 + mp) else 0 end) as other_score from grown g, mx),
+  + 0.2 * case when ma > 0 then ln(1 + current_active_accounts) / ln(1 + ma) else 0 end + 0.1 * case when mp > 0 then ln(1 + current_prs_opened) / ln(1 + mp) else 0 end as activity_score from grown g, mx),
 repos as (select *, 0.7 * activity_score + 0.3 * ln(least(greatest(attention_growth_ratio, 1.0), 10.0)) / ln(10) as trend_score from scored)
 """
 )
@@ -132,7 +146,7 @@ def account_hourly(spark, folder):
     return ac.accounts(events(spark, folder), ("actor_id", "event_date", "event_hour"))
 
 
-@ACTIVITY.add("activity_calendar", EV + "select event_date, count(*) as total_events, count(distinct actor_id) as active_accounts, count(distinct repo_id) as active_repositories, dayname(event_date) as weekday, dayofweek(event_date) in (0, 6) as is_weekend, date_trunc('week', event_date)::date as week_start from ev group by event_date")
+@ACTIVITY.add("activity_calendar", EV + "select event_date, count(*) as total_events, count(distinct actor_id) as active_accounts, count(distinct repo_id) as active_repositories, dayname(event_date) as weekday_utc, dayofweek(event_date) in (0, 6) as is_weekend_utc, date_trunc('week', event_date)::date as week_start_utc from ev group by event_date")
 def activity_calendar(spark, folder):
     return ac.calendar(events(spark, folder))
 
@@ -155,7 +169,7 @@ def window_events(spark, folder):
     return events(spark, folder).where(WINDOW.inside("current")).select("event_id")
 
 
-_WINDOW_COLUMNS = ["repo_id", *[f"{h}_{n}" for h in ("previous", "current") for n in ("events", "stars", "forks", "pull_requests_opened", "accounts")]]
+_WINDOW_COLUMNS = ["repo_id", *[f"{h}_{n}" for h in ("previous", "current") for n in ("events", "stars", "forks", "prs_opened", "active_accounts")]]
 
 
 @ACTIVITY.add("repository_windows", REPOS + f"select {', '.join(_WINDOW_COLUMNS)} from repos")
@@ -166,10 +180,10 @@ def repository_windows(spark, folder):
 @ACTIVITY.add(
     "repository_growth",
     REPOS + """select repo_id, previous_attention, current_attention, attention_delta, round(attention_growth_ratio, 6) as attention_growth_ratio, round(star_growth_ratio, 6) as star_growth_ratio,
-  round(attention_change_percent, 6) as attention_change_percent, zero_attention_baseline, growth_eligible, emerging, round(participation_ratio, 6) as participation_ratio from repos""",
+  round(attention_change_percent, 6) as attention_change_percent, zero_attention_baseline, growth_eligible, emerging_attention_candidate, round(participation_ratio, 6) as participation_ratio from repos""",
 )
 def repository_growth(spark, folder):
-    out = repos(spark, folder).select("repo_id", "previous_attention", "current_attention", "attention_delta", "attention_growth_ratio", "star_growth_ratio", "attention_change_percent", "zero_attention_baseline", "growth_eligible", "emerging", "participation_ratio")
+    out = repos(spark, folder).select("repo_id", "previous_attention", "current_attention", "attention_delta", "attention_growth_ratio", "star_growth_ratio", "attention_change_percent", "zero_attention_baseline", "growth_eligible", "emerging_attention_candidate", "participation_ratio")
     return rounded(out, "attention_growth_ratio", "star_growth_ratio", "attention_change_percent", "participation_ratio")
 
 
@@ -200,39 +214,48 @@ def top_accounts(spark, folder):
     return events(spark, folder).groupBy("actor_id").agg(F.count("*").alias("total_events")).orderBy(F.desc("total_events"), "actor_id").limit(50)
 
 
-_EDGES = EV + """, sel as (select repo_id from ev group by 1 order by count(*) desc, repo_id limit 20),
-edges as (select repo_id, actor_id, count(*) as event_count from ev join sel using (repo_id) where actor_id is not null group by 1, 2),
-ranked as (select *, row_number() over (partition by repo_id order by event_count desc, actor_id) as account_rank from edges)
+_EDGES = EV + f""", sel as (select repo_id from ev group by 1 order by count(*) filter ({MEASURES['star_events']}) desc, repo_id limit 20),
+edges as (select repo_id, actor_id, count(*) as participation_events from ev join sel using (repo_id) group by 1, 2),
+ranked as (select *, row_number() over (partition by repo_id order by participation_events desc, actor_id nulls first) as account_rank from edges)
 """
 
 
-@ACTIVITY.add("participation_edges", _EDGES + "select repo_id, actor_id, event_count, account_rank from ranked where account_rank <= 50")
+@ACTIVITY.add("participation_edges", _EDGES + "select repo_id, actor_id, participation_events, account_rank from ranked where account_rank <= 50")
 def participation_edges(spark, folder):
     ev = events(spark, folder)
-    return ac.participation(ev, ev.groupBy("repo_id").agg(F.count("*").alias("total_events")))
+    return ac.participation(ev, ev.groupBy("repo_id").agg(F.count_if(predicates()["star_events"]).alias("star_events")))
 
 
 @ACTIVITY.add(
     "enrichment_candidates",
-    REPOS + """, a as (select repo_id, repo_name, 0 as p, row_number() over (order by star_events desc, repo_id) as r, 'most_starred' as reason from repos qualify r <= 10),
-b as (select repo_id, repo_name, 1 as p, row_number() over (order by round(attention_growth_ratio, 9) desc, current_attention desc, repo_id) as r, 'fastest_growing' as reason from repos where growth_eligible and attention_delta > 0 qualify r <= 6),
-c as (select repo_id, repo_name, 2 as p, row_number() over (order by total_events desc, repo_id) as r, 'most_active' as reason from repos qualify r <= 4),
-d as (select repo_id, repo_name, 3 as p, row_number() over (order by star_events desc, repo_id) as r, 'fill' as reason from repos qualify r <= 40),
+    REPOS + """, a as (select repo_id, repo_name, 0 as p, row_number() over (order by star_events desc, repo_id) as r, 'star_activity' as reason from repos qualify r <= 10),
+b as (select repo_id, repo_name, 1 as p, row_number() over (order by round(trend_score, 9) desc, repo_id) as r, 'intraday_trend' as reason from repos where growth_eligible qualify r <= 6),
+c as (select repo_id, repo_name, 2 as p, row_number() over (order by total_events desc, repo_id) as r, 'overall_activity' as reason from repos qualify r <= 4),
+d as (select repo_id, repo_name, 3 as p, row_number() over (order by star_events desc, repo_id) as r, 'star_activity_fill' as reason from repos qualify r <= 20),
 u as (select * from a union all select * from b union all select * from c union all select * from d),
-g as (select repo_id, any_value(repo_name) as repo_name, min((p, r)) as f, coalesce(string_agg(distinct reason, ',' order by reason) filter (reason <> 'fill'), 'fill') as reasons from u group by repo_id)
+g as (select repo_id, any_value(repo_name) as repo_name, min((p, r)) as f, coalesce(string_agg(reason, ',' order by p) filter (p < 3), 'star_activity_fill') as reasons from u group by repo_id)
 select repo_id, repo_name, reasons from g order by f limit 20""",
 )
 def enrichment_candidates(spark, folder):
-    return ac.candidates(repos(spark, folder).withColumn("attention_growth_ratio", F.round("attention_growth_ratio", 9)))
+    rows = repos(spark, folder).withColumn("trend_score", F.round("trend_score", 9))
+    return ac.candidates(rows).select("repo_id", "repo_name", F.array_join("selection_reasons", ",").alias("reasons"))
+
+
+_PART = lambda c, m: f"case when {m} > 0 then ln(1 + {c}) / ln(1 + {m}) else 0 end"
+_WEIGHED = ", ".join(
+    f"0.7 * ({' + '.join(f'{w} * ' + _PART(c, m) for w, c, m in zip(ws, ('current_stars', 'current_forks', 'current_active_accounts', 'current_prs_opened'), ('ms', 'mf', 'ma', 'mp'), strict=True))}) + 0.3 * ln(least(greatest(attention_growth_ratio, 1.0), 10.0)) / ln(10) as {label}"
+    for label, ws in {"standard": ac.DEFAULT_WEIGHTS.values(), **ac.WEIGHTINGS}.items()
+)
+_TOP = lambda c: f"(select repo_id from weighed where growth_eligible order by round({c}, 9) desc, repo_id limit 20)"
 
 
 @ACTIVITY.add(
     "score_sensitivity",
-    REPOS + """, a as (select repo_id from repos order by round(activity_score, 9) desc, repo_id limit 20), b as (select repo_id from repos order by round(other_score, 9) desc, repo_id limit 20)
-select (select count(*) from a join b using (repo_id)) as overlap, round((select count(*) from a join b using (repo_id)) / (select count(*) from (select * from a union select * from b)), 6) as jaccard""",
-)
+    REPOS + f", weighed as (select repo_id, growth_eligible, {_WEIGHED} from grown, mx) "
+    + " union all ".join(f"select '{x}' as label, (select count(*) from {_TOP('standard')} a join {_TOP(x)} b using (repo_id)) as overlap, round((select count(*) from {_TOP('standard')} a join {_TOP(x)} b using (repo_id)) / (select count(*) from (select * from {_TOP('standard')} union select * from {_TOP(x)})), 6) as jaccard" for x in ac.WEIGHTINGS),
+)
 def score_sensitivity(spark, folder):
-    return rounded(ac.score_sensitivity(repos(spark, folder), ALTERNATIVE), "jaccard")
+    return rounded(ac.score_sensitivity(repos(spark, folder)), "jaccard")
 
 
 # ---------------------------------------------------------------- set operations and checks

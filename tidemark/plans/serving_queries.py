@@ -49,7 +49,7 @@ cats as (select repo_id, case when status <> 'ok' then ['Metadata unavailable']
 days as (select event_date, repo_id, count(*) as total_events, """ + ", ".join(f"count(*) filter ({MEASURES[m]}) as {m}" for m in la.WEIGHTED[1:]) + " from ev group by 1, 2)\n"
 
 
-@SERVING.add("language_primary_daily", EV + META + f"select event_date, coalesce(l.primary_language, 'Not enriched') as primary_language, coalesce(l.enrichment_status, 'not_enriched') as enrichment_status, count(distinct repo_id) as active_repositories, {BUNDLE} from ev left join labels l using (repo_id) group by 1, 2, 3")
+@SERVING.add("language_primary_daily", EV + META + f"select event_date, coalesce(l.primary_language, 'Not enriched') as primary_language, coalesce(l.enrichment_status, 'not_selected') as enrichment_status, count(distinct repo_id) as active_repositories, {BUNDLE} from ev left join labels l using (repo_id) group by 1, 2, 3")
 def language_primary_daily(spark, folder):
     ev = events(spark, folder)
     return la.primary_daily(ev, metadata(ev))
@@ -60,7 +60,7 @@ def language_shares(spark, folder):
     return rounded(la.language_shares(metadata(events(spark, folder))), "byte_share")
 
 
-@SERVING.add("language_weighted_daily", EV + META + "select event_date, coalesce(language, 'Not enriched') as language, count(*) as active_repositories, " + ", ".join(f"round(sum({m} * coalesce(byte_share, 1.0)), 6) as attributed_{m}" for m in la.WEIGHTED) + " from days left join shares using (repo_id) group by 1, 2")
+@SERVING.add("language_weighted_daily", EV + META + "select event_date, coalesce(language, 'Not enriched') as language, count(*) as associated_repositories, " + ", ".join(f"round(sum({m} * coalesce(byte_share, 1.0)), 6) as attributed_{m}" for m in la.WEIGHTED) + " from days left join shares using (repo_id) group by 1, 2")
 def language_weighted_daily(spark, folder):
     ev = events(spark, folder)
     return rounded(la.weighted_daily(ev, metadata(ev)), *[f"attributed_{m}" for m in la.WEIGHTED])
@@ -75,7 +75,7 @@ def technology_daily(spark, folder):
 _META_AFTER_REPOS = REPOS.rstrip() + META
 
 
-@SERVING.add("language_growth", _META_AFTER_REPOS + """select coalesce(l.primary_language, 'Not enriched') as primary_language, coalesce(l.enrichment_status, 'not_enriched') as enrichment_status,
+@SERVING.add("language_growth", _META_AFTER_REPOS + """select coalesce(l.primary_language, 'Not enriched') as primary_language, coalesce(l.enrichment_status, 'not_selected') as enrichment_status,
   sum(previous_attention)::bigint as previous_attention, sum(current_attention)::bigint as current_attention, sum(previous_events)::bigint as previous_events, sum(current_events)::bigint as current_events,
   (sum(current_attention) - sum(previous_attention))::bigint as attention_delta, round((sum(current_attention) + 1.0) / (sum(previous_attention) + 1.0), 6) as attention_growth_ratio, sum(previous_attention) = 0 as zero_attention_baseline
   from repos left join labels l using (repo_id) group by 1, 2""")
@@ -94,10 +94,10 @@ def metadata_age(spark, folder):
     return rounded(la.metadata_age(metadata(events(spark, folder)), 1_768_780_800_000_000), "repository_age_days")
 
 
-@SERVING.add("language_options", EV + META + "select distinct primary_language as value from labels union select 'Not enriched'")
+@SERVING.add("language_options", EV + META + "select distinct primary_language as value from labels union select 'Not enriched' union select 'All'")
 def language_options(spark, folder):
     labels = metadata(events(spark, folder)).select(la.primary_label().alias("primary_language"))
-    return sv.options(labels, "primary_language", [la.NOT_ENRICHED])
+    return sv.options(labels, "primary_language", [sv.ALL, la.NOT_ENRICHED])
 
 
 @SERVING.add("language_top", EV + META + "select primary_language, count(*) as total_events, round(count(*) / (select count(*) from ev), 6) as share from ev join labels using (repo_id) group by 1 order by total_events desc, primary_language limit 20")
@@ -125,7 +125,7 @@ def language_daily_range(spark, folder):
     return ev.where(F.col("event_date").between(date(2026, 1, 8), date(2026, 1, 10))).join(labels, "repo_id").groupBy("event_date", "primary_language").agg(F.count("*").alias("total_events"))
 
 
-@SERVING.add("repositories_view", _META_AFTER_REPOS + "select repo_id, repo_name, total_events, coalesce(l.primary_language, 'Not enriched') as primary_language, coalesce(l.enrichment_status, 'not_enriched') as enrichment_status from repos left join labels l using (repo_id)")
+@SERVING.add("repositories_view", _META_AFTER_REPOS + "select repo_id, repo_name, total_events, coalesce(l.primary_language, 'Not enriched') as primary_language, coalesce(l.enrichment_status, 'not_selected') as enrichment_status from repos left join labels l using (repo_id)")
 def repositories_view(spark, folder):
     return sv.with_labels(repos(spark, folder), metadata(events(spark, folder))).select("repo_id", "repo_name", "total_events", "primary_language", "enrichment_status")
 
@@ -133,18 +133,29 @@ def repositories_view(spark, folder):
 _RANGE = "exists (select 1 from ev e where e.repo_id = repos.repo_id and e.event_date between date '2026-01-06' and date '2026-01-08')"
 
 
-@SERVING.add("repo_rankings_filtered", REPOS + f"select repo_id, repo_name, total_events, round(round(activity_score, 9), 6) as activity_score from repos where lower(repo_name) like '%or%' and total_events >= 20 and {_RANGE} order by round(activity_score, 9) desc, repo_id limit 25")
+@SERVING.add("repo_rankings_filtered", REPOS + f"select repo_id, repo_name, total_events, active_accounts from repos where lower(repo_name) like '%or%' and total_events >= 20 and {_RANGE} order by active_accounts desc, repo_id limit 25")
 def repo_rankings_filtered(spark, folder):
-    ev = events(spark, folder)
-    rows = repos(spark, folder).withColumn("activity_score", F.round("activity_score", 9))
-    out = sv.rankings(rows, "activity_score", 25, search="OR", min_events=20, daily=ev, first=date(2026, 1, 6), last=date(2026, 1, 8))
-    return rounded(out.select("repo_id", "repo_name", "total_events", "activity_score"), "activity_score")
+    out = sv.rankings(repos(spark, folder), "active_accounts", 25, search="OR", minimum=20, daily=events(spark, folder), first=date(2026, 1, 6), last=date(2026, 1, 8))
+    return out.select("repo_id", "repo_name", "total_events", "active_accounts")
 
 
-@SERVING.add("repo_rankings_language", _META_AFTER_REPOS + "select repo_id, star_events from repos join labels using (repo_id) where primary_language in ('Rust', 'Go') and growth_eligible order by star_events desc, repo_id limit 10")
+@SERVING.add("repo_rankings_language", _META_AFTER_REPOS + "select repo_id, round(round(trend_score, 9), 6) as trend_score, primary_language, enrichment_status from repos join labels using (repo_id) where primary_language = 'Rust' and growth_eligible order by round(trend_score, 9) desc, repo_id limit 10")
 def repo_rankings_language(spark, folder):
-    out = sv.rankings(repos(spark, folder), "star_events", 10, eligible_only=True, languages=["Rust", "Go"], metadata=metadata(events(spark, folder)))
-    return out.select("repo_id", "star_events")
+    rows = repos(spark, folder).withColumn("trend_score", F.round("trend_score", 9))
+    out = sv.rankings(rows, "trend_score", 10, language="Rust", metadata=metadata(events(spark, folder)))
+    return rounded(out.select("repo_id", "trend_score", "primary_language", "enrichment_status"), "trend_score")
+
+
+@SERVING.add("repo_rankings_growth", REPOS + "select repo_id, round(round(attention_growth_ratio, 9), 6) as attention_growth_ratio, attention_delta from repos where growth_eligible and attention_delta > 0 order by round(attention_growth_ratio, 9) desc, repo_id limit 20")
+def repo_rankings_growth(spark, folder):
+    rows = repos(spark, folder).withColumn("attention_growth_ratio", F.round("attention_growth_ratio", 9))
+    return rounded(sv.rankings(rows, "attention_growth_ratio").select("repo_id", "attention_growth_ratio", "attention_delta"), "attention_growth_ratio")
+
+
+@SERVING.add("repo_rankings_not_enriched", _META_AFTER_REPOS + "select repo_id, star_events, enrichment_status from (select r.*, coalesce(l.primary_language, 'Not enriched') as primary_language, coalesce(l.enrichment_status, 'not_selected') as enrichment_status from repos r left join labels l using (repo_id)) where primary_language = 'Not enriched' order by star_events desc, repo_id limit 20")
+def repo_rankings_not_enriched(spark, folder):
+    out = sv.rankings(repos(spark, folder), "star_events", language=la.NOT_ENRICHED, metadata=metadata(events(spark, folder)))
+    return out.select("repo_id", "star_events", "enrichment_status")
 
 
 @SERVING.add("search_literal", EV + "select distinct repo_id, repo_name from ev where contains(lower(repo_name), '_1')")
@@ -178,11 +189,11 @@ def repo_history(spark, folder):
     return sv.history(bundle(ev, ["event_date", "event_hour", "repo_id"]), "repo_id", _top_ids(ev, 1)[0]).drop("repo_id")
 
 
-@SERVING.add("account_history", EV + "select event_date, count(*) as total_events, count(distinct repo_id) as active_repositories from ev where actor_id = (select actor_id from ev group by 1 order by count(*) desc, actor_id limit 1) group by 1")
+@SERVING.add("account_history", EV + f"select event_date, event_hour, count(*) as total_events, count(distinct repo_id) as active_repositories, count(*) filter ({MEASURES['push_events']}) as push_events, count(*) filter ({MEASURES['pull_requests_opened']}) as pull_requests_opened from ev where actor_id = (select actor_id from ev group by 1 order by count(*) desc, actor_id limit 1) group by 1, 2")
 def account_history(spark, folder):
     ev = events(spark, folder)
     top = ev.groupBy("actor_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "actor_id").first()["actor_id"]
-    return sv.history(ac.accounts(ev, ("actor_id", "event_date")), "actor_id", top).select("event_date", "total_events", "active_repositories")
+    return sv.history(ac.accounts(ev, ("actor_id", "event_date", "event_hour")), "actor_id", top).select("event_date", "event_hour", "total_events", "active_repositories", "push_events", "pull_requests_opened")
 
 
 @SERVING.add("account_search", EV + "select actor_id, arg_max(actor_login, (event_time, raw_record_sha256)) as actor_login, count(*) as total_events from ev group by 1 having contains(lower(actor_login), 'zel') order by total_events desc, actor_id limit 30")
@@ -190,12 +201,12 @@ def account_search(spark, folder):
     return sv.search_accounts(ac.accounts(events(spark, folder)), "ZEL", 30).select("actor_id", "actor_login", "total_events")
 
 
-@SERVING.add("edges_labelled", EV + f", e as (select repo_id, actor_id, count(*) as event_count from ev group by 1, 2 order by 3 desc, 1, 2 limit 100), r as (select repo_id, {LATEST} from ev group by 1), a as (select actor_id, arg_max(actor_login, (event_time, raw_record_sha256)) as actor_login from ev group by 1) select repo_id, actor_id, event_count, repo_name, actor_login from e join r using (repo_id) join a using (actor_id)")
+@SERVING.add("edges_labelled", EV + f", e as (select repo_id, actor_id, count(*) as participation_events from ev group by 1, 2 order by 3 desc, 1, 2 limit 100), r as (select repo_id, {LATEST} from ev group by 1), a as (select actor_id, arg_max(actor_login, (event_time, raw_record_sha256)) as actor_login from ev group by 1) select repo_id, actor_id, participation_events, repo_name, actor_login from e join r using (repo_id) join a using (actor_id)")
 def edges_labelled(spark, folder):
     from tidemark.functions.measures import latest
 
     ev = events(spark, folder)
-    edges = ev.groupBy("repo_id", "actor_id").agg(F.count("*").alias("event_count"))
+    edges = ev.groupBy("repo_id", "actor_id").agg(F.count("*").alias("participation_events"))
     return sv.labelled_edges(edges, ev.groupBy("repo_id").agg(latest("repo_name").alias("repo_name")), ev.groupBy("actor_id").agg(latest("actor_login").alias("actor_login")))
 
 
