@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.model import ACTIONS, EVENT_TYPES
@@ -20,9 +21,12 @@ DAY = 86_400
 
 
 def unique_events(events: DataFrame, columns: Sequence[str] = NARROW) -> DataFrame:
-    """Each event_id once.  Copies agree in these columns, so a plain distinct (hash aggregate) is enough; rows
-    without event_id cannot be told apart and are left out."""
-    return events.where(F.col("event_id").isNotNull()).select(*columns).distinct()
+    """Each event_id once, by its copy from the earliest archive (nulls last; equal ones are decided by a hash of the
+    columns).  Rows without event_id cannot be told apart and are left out.  Spark keeps one row per id and task before
+    the shuffle, so a much repeated id is no hot key."""
+    best = W.partitionBy("event_id").orderBy(F.col("source_archive_start").asc_nulls_last(), "_h")
+    named = events.where(F.col("event_id").isNotNull()).select(*columns, "source_archive_start", F.xxhash64(*columns).alias("_h"))
+    return named.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(*columns)
 
 
 def as_of_points(events: DataFrame, points: DataFrame, days: int = 7, column: str = "as_of_utc") -> DataFrame:
@@ -40,16 +44,30 @@ def as_of_points(events: DataFrame, points: DataFrame, days: int = 7, column: st
     return joined.where((back > 0) & (back <= width))
 
 
+def within_reach(events: DataFrame, points: DataFrame, days: int, column: str = "as_of_utc") -> DataFrame:
+    """The events between the first window's start and the last as-of time, as a filter the scan can use.  Copies of an
+    event agree in their time."""
+    span = points.agg(F.min(F.unix_micros(column)).alias("first"), F.max(F.unix_micros(column)).alias("last")).first()
+    if span["last"] is None:
+        return events.limit(0)
+    bound = lambda us: F.expr(f"timestamp_micros({us})")
+    return events.where((F.col("event_time") >= bound(span["first"] - days * DAY * 1_000_000)) & (F.col("event_time") < bound(span["last"])))
+
+
+WHOLE = "#entity"
+
+
 def long_table(events: DataFrame, entity: Sequence[str]) -> DataFrame:
-    """(entity, event_type, payload_action, n, last_time) and, as type '#accounts', the distinct accounts.
+    """(entity, event_type, payload_action, n, last_time, accounts), and per entity a row of type '#entity' with all its
+    events and its distinct accounts.
 
-    Both come from one reduction by entity, account, type and action: the account spreads hot entities over tasks.
+    Both come from one reduction by entity, account, type and action, which is shuffled once: the account spreads hot
+    entities over tasks, and both results use all of its columns, so Spark reuses the exchange.
     """
     by_account = events.groupBy(*entity, "actor_id", "event_type", "payload_action").agg(F.count("*").alias("n"), F.max("event_time").alias("last_time"))
-    types = by_account.groupBy(*entity, "event_type", "payload_action").agg(F.sum("n").alias("n"), F.max("last_time").alias("last_time"))
-    pairs = by_account.where(F.col("actor_id").isNotNull()).select(*entity, "actor_id").distinct()
-    accounts = pairs.groupBy(*entity).agg(F.count("*").alias("n")).select(*entity, F.lit("#accounts").alias("event_type"), F.lit(None).cast("string").alias("payload_action"), "n", F.lit(None).cast("timestamp").alias("last_time"))
-    return types.unionByName(accounts)
+    types = by_account.groupBy(*entity, "event_type", "payload_action").agg(F.sum("n").alias("n"), F.max("last_time").alias("last_time"), F.lit(None).cast("long").alias("accounts"))
+    whole = by_account.groupBy(*entity, "actor_id").agg(F.sum("n").alias("n"), F.max("last_time").alias("last_time")).groupBy(*entity).agg(F.sum("n").alias("n"), F.max("last_time").alias("last_time"), F.count("actor_id").alias("accounts"))
+    return types.unionByName(whole.select(*entity, F.lit(WHOLE).alias("event_type"), F.lit(None).cast("string").alias("payload_action"), "n", "last_time", "accounts"))
 
 
 def snake(name: str) -> str:
@@ -64,10 +82,11 @@ def pivot_features(long: DataFrame, entity: Sequence[str], as_of: str | None = "
     as-of column the last times themselves come out.
     """
     n, known = F.col("n"), F.col("event_type").isin(*types)
-    real = F.col("event_type").isNull() | (F.col("event_type") != "#accounts")
+    whole = F.col("event_type").eqNullSafe(F.lit(WHOLE))
+    real = ~whole
     total = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
     since = lambda last: F.when(last.isNotNull(), F.unix_seconds(F.col(as_of)) - F.unix_seconds(last)) if as_of else last
-    columns: list[Column] = [total(real).alias("total_events"), total(F.col("event_type") == "#accounts").alias("active_accounts"), since(F.max(F.when(real, F.col("last_time")))).alias("recency_any")]
+    columns: list[Column] = [total(whole).alias("total_events"), F.coalesce(F.max("accounts"), F.lit(0)).alias("active_accounts"), since(F.max(F.when(whole, F.col("last_time")))).alias("recency_any")]
     for t in types:
         mine = F.col("event_type") == t
         columns += [total(mine).alias(f"n_{snake(t)}"), since(F.max(F.when(mine, F.col("last_time")))).alias(f"recency_{snake(t)}")]
@@ -83,7 +102,8 @@ def entity_features(events: DataFrame, points: DataFrame, entity: str = "repo_id
     Every event_id counts once and its archive time is ignored.  Events without entity are left out.  An empty table
     gives no rows.
     """
-    inside = as_of_points(unique_events(events).where(F.col(entity).isNotNull()), points, days)
+    near = within_reach(events, points, days).where(F.col(entity).isNotNull())
+    inside = as_of_points(unique_events(near), points, days)
     return pivot_features(long_table(inside, [entity, "as_of_utc"]), [entity, "as_of_utc"], types=types, actions=actions)
 
 

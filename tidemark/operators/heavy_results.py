@@ -8,37 +8,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.model import is_action, is_star, is_type
+from tidemark.operators.feature_table import unique_events
 from tidemark.operators.skew import eager_join
+from tidemark.session import materialize
 
 EVENT_COLUMNS = ("event_id", "event_type", "payload_action", "repo_id", "actor_id", "event_time", "event_date")
 
 
 def key_states(events: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(key_field, key_value, n): the rows per value of several key columns in one pass.  Null keys are kept."""
-    keyed = events.select(F.explode(F.array(*[F.struct(F.lit(f).alias("key_field"), F.col(f).cast("long").alias("key_value")) for f in fields])).alias("_k")).select("_k.*")
-    return keyed.groupBy("key_field", "key_value").agg(F.count("*").alias("n"))
+    """(key_field, key_value, n): the rows per value of several key columns.  Null keys are kept.
+
+    Every column is reduced on its own, from a scan that reads nothing else, so no row is doubled.
+    """
+    parts = [events.groupBy(F.col(f).cast("long").alias("key_value")).agg(F.count("*").alias("n")).select(F.lit(f).alias("key_field"), "key_value", "n") for f in fields]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dominant_keys(events: DataFrame, fields: Sequence[str], share: float) -> DataFrame:
     """(key_field, key_value): keys that hold at least ``share`` of all rows, null keys left out but counted.
 
-    Both sides of the question are compact before they meet: the rows per key, and the rows per field, which are summed
-    from the states and not from the rows.
+    The share of a key is asked of the join of all rows with all rows of the same field: a key with n of N rows has n * N
+    of its N * N rows.  The join is never formed: both inputs are the compact states, reduced by field, and the counts are
+    multiplied.
     """
-    states = key_states(events, fields)
-    totals = states.groupBy("key_field").agg(F.sum("n").alias("rows"))
-    joined = states.join(totals, "key_field")
-    return joined.where((F.col("n") >= F.lit(share) * F.col("rows")) & F.col("key_value").isNotNull()).select("key_field", "key_value")
+    states = materialize(key_states(events, fields), "key-states")
+    joined = eager_join(states, states, ["key_field"], ["key_value"], left_rows="n", right_rows="n", small_right=len(fields))
+    held = F.col("rows") >= F.lit(share) * F.col("right_rows").cast("decimal(38,0)") * F.col("right_rows")
+    return joined.where(held & F.col("key_value").isNotNull()).select("key_field", "key_value")
 
 
 def pair_states(events: DataFrame) -> DataFrame:
     """Compact states per (repo_id, actor_id, event_date): counts that add up to every per-key result."""
-    once = events.where(F.col("event_id").isNotNull()).select(*EVENT_COLUMNS).distinct()
-    return once.groupBy("repo_id", "actor_id", "event_date").agg(
+    return unique_events(events, EVENT_COLUMNS).groupBy("repo_id", "actor_id", "event_date").agg(
         F.count("*").alias("total"), F.count_if(is_type("PushEvent")).alias("pushes"), F.count_if(is_star()).alias("stars"), F.count_if(is_type("ForkEvent")).alias("forks"),
         F.count_if(is_action("PullRequestEvent", "opened")).alias("opened"), F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"),
     )
@@ -55,7 +62,7 @@ def repository_results(events: DataFrame) -> DataFrame:
 
 def account_results(events: DataFrame) -> DataFrame:
     """Account results: totals, exact distinct repositories and active days per actor_id."""
-    states = pair_states(events).withColumn("weekend", F.when(F.dayofweek("event_date").isin(1, 7), F.col("total")).otherwise(0))
+    states = materialize(pair_states(events), "pair-states").withColumn("weekend", F.when(F.dayofweek("event_date").isin(1, 7), F.col("total")).otherwise(0))
     sums = ("total", "pushes", "opened", "weekend")
     by_repo = states.groupBy("actor_id", "repo_id").agg(*[F.sum(c).alias(c) for c in sums])
     by_day = states.select("actor_id", "event_date").distinct().groupBy("actor_id").agg(F.count("event_date").alias("active_days"))
@@ -71,4 +78,4 @@ def stored_bytes_by_repository(events: DataFrame, files: DataFrame) -> DataFrame
     multiplied and rolled up.  The result equals the aggregate over the full join.
     """
     joined = eager_join(events.select("file_id", "repo_id"), files.select("file_id", "n_bytes"), ["file_id"], ["repo_id"], right_sums=["n_bytes"])
-    return joined.groupBy("repo_id").agg(F.sum("rows").alias("joined_rows"), F.sum("right_n_bytes").alias("joined_bytes"))
+    return joined.groupBy("repo_id").agg(F.sum("rows").cast("long").alias("joined_rows"), F.sum("right_n_bytes").alias("joined_bytes"))

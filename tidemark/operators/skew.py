@@ -64,20 +64,25 @@ def is_one_of(keys: Sequence[str], values: Sequence[tuple]) -> Column:
     return test
 
 
-def eager_join(left: DataFrame, right: DataFrame, on: Sequence[str], keep: Sequence[str] = (), left_sums: Sequence[str] = (), right_sums: Sequence[str] = ()) -> DataFrame:
+def eager_join(left: DataFrame, right: DataFrame, on: Sequence[str], keep: Sequence[str] = (), left_sums: Sequence[str] = (), right_sums: Sequence[str] = (), left_rows: str | None = None, right_rows: str | None = None, small_right: int | None = None) -> DataFrame:
     """Aggregates of an inner join without ever forming the joined rows.
 
     Both inputs are reduced by the join key first (map-side combine, so a hot key is one row per task), the compact
     states are joined, and the results of the full join follow by algebra: its row count is the product of the two
     counts, a sum over left columns is the left sum times the right count, and the other way round.
-    ``keep``: further left columns to group by.  Columns out: on, keep, rows, the sums (as ``left_x``/``right_x``).
+    ``keep``: further left columns to group by.  ``left_rows``, ``right_rows``: the column that says how many rows a row
+    of an input stands for, where it was reduced before.  ``small_right``: the number of keys of the right side, where it
+    is fixed by the call: that many rows are broadcast, so no task gets all states of a key.
+    Columns out: on, keep, rows, right_rows, the sums (as ``left_x``/``right_x``).
     """
-    l = left.groupBy(*on, *keep).agg(F.count("*").alias("_l"), *[F.sum(c).alias(f"_l_{c}") for c in left_sums])
-    r = right.groupBy(*on).agg(F.count("*").alias("_r"), *[F.sum(c).alias(f"_r_{c}") for c in right_sums])
-    return l.join(r, list(on)).select(
+    count = lambda rows: F.sum(rows) if rows else F.count("*")
+    l = left.groupBy(*on, *keep).agg(count(left_rows).alias("_l"), *[F.sum(c).alias(f"_l_{c}") for c in left_sums])
+    r = right.groupBy(*on).agg(count(right_rows).alias("_r"), *[F.sum(c).alias(f"_r_{c}") for c in right_sums])
+    return l.join(r if small_right is None else F.broadcast(r), list(on)).select(
         *on,
         *keep,
-        (F.col("_l") * F.col("_r")).alias("rows"),
+        (F.col("_l").cast("decimal(38,0)") * F.col("_r")).cast("decimal(38,0)").alias("rows"),
+        F.col("_r").alias("right_rows"),
         *[(F.col(f"_l_{c}") * F.col("_r")).alias(f"left_{c}") for c in left_sums],
         *[(F.col(f"_r_{c}") * F.col("_l")).alias(f"right_{c}") for c in right_sums],
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -38,23 +40,33 @@ def send_by_value(module: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop) a temporary
-    folder is made and set as the checkpoint folder of the session.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and the session is local (tests, a laptop)
+    a temporary folder is made, set as the checkpoint folder of the session and deleted at the end of the process.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     made = getattr(spark.sparkContext, "_tidemark_dir", None)
     if made is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
         made = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(made)
         spark.sparkContext._tidemark_dir = made
+        atexit.register(shutil.rmtree, made.removeprefix("file://"), ignore_errors=True)
     return made
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex[:12]}"
+    """A path in the shared folder that nothing else uses; all paths of an application lie in one folder."""
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything the application wrote to the shared folder; results that read it must be gone by then."""
+    from tidemark.sources import storage
+
+    storage.delete(spark, f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -45,12 +46,52 @@ def mark(spark: SparkSession, path: str) -> None:
     fs.create(where, True).close()
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create a file that must not exist; False if another writer has it.  The file system decides between two writers."""
+    fs, where, _ = _fs(spark, path)
+    fs.mkdirs(where.getParent())
+    try:
+        fs.create(where, False).close()
+    except Exception as e:  # the file system says so in its own words
+        if fs.exists(where):
+            return False
+        raise e
+    return True
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file whole: under another name first, then renamed."""
+    fs, where, jvm = _fs(spark, path)
+    fs.mkdirs(where.getParent())
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.staged")
+    out = fs.create(staged, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not fs.rename(staged, where):
+        raise OSError(f"could not write {path}")
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder; empty if the folder is missing."""
     fs, where, _ = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def folders(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(folder, files, bytes) of every folder below a path that holds data files.
+
+    Spark lists them, in parallel where there are many; the driver gets a row per folder, not per file.
+    """
+    if not exists(spark, path):
+        return []
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    shown = listing.where(~F.col("path").rlike(r"/[_.][^/]*(/|$)"))
+    by_folder = shown.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n"), F.sum("length").alias("b"))
+    return sorted((r["folder"], r["n"], r["b"]) for r in by_folder.collect())
+
+
 def data_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """(path, bytes) of every data file below a folder, hidden files left out."""
     fs, where, _ = _fs(spark, path)
