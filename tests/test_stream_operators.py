@@ -5,6 +5,8 @@ from datetime import timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import deliveries, late_events
 from tidemark.operators.skew import running_max
 from tidemark.streaming import ledger
@@ -105,15 +107,45 @@ def test_store_runs_are_idempotent_and_merge(spark, at):
     assert store.upsert(first, "one") and store.upsert(second, "two")
     assert not store.upsert(first, "one")
     assert store.rows().count() == df.count()
-    kept = {(r.stream_id, r.event_id) for r in store.compact().collect()}
-    assert len(kept) == store.compact().count() == df.select("stream_id", "event_id").distinct().count()
-
-
-def test_compaction_of_the_store_needs_no_shuffle(spark, at):
+    identifiers = df.select("stream_id", "event_id").distinct().count()
+    settled = store.compact()
+    assert settled.where("disposition = 'kept'").count() == store.rows().count() == identifiers
+    assert settled.count() == df.count()
+    assert not store.upsert(second, "two") and store.rows().count() == identifiers
+    assert store.upsert(df.withColumn("delivery_id", F.col("delivery_id") + 1000).withColumn("batch_id", F.col("batch_id") + 1000), "again")
+    later = store.compact()
+    assert later.where("disposition = 'kept'").count() == store.rows().count() == identifiers
+    assert later.where("disposition <> 'kept'").count() == df.count() and later.where("disposition = 'kept' and delivery_id >= 1000").isEmpty()
+    store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(store.name)]
+
+
+def test_runs_of_the_store_meet_without_a_shuffle(spark, at):
     df = spark.createDataFrame(messages(at, 50), SCHEMA).dropna(subset=["stream_id", "event_id"]).select(*deliveries.IDENTITY, *deliveries.ORDER, *deliveries.fingerprint())
     store = deliveries.IdentifierStore(spark, buckets=3)
-    store.upsert(df, "one")
-    assert "Exchange" not in store.compact()._jdf.queryExecution().executedPlan().toString()
+    runs = df.withColumn("_run", F.concat(F.lit("r"), (F.col("delivery_id") % 3).cast("string")))
+    assert store.add(runs, ["r0", "r1"]) == ["r0", "r1"] and store.add(runs, ["r0", "r1", "r2"]) == ["r2"]
+    assert store.rows().count() == df.count()
+    assert "Exchange" not in store.ranked()._jdf.queryExecution().executedPlan().toString()
+    store.close()
+
+
+def test_batches_touch_only_their_hours_and_cutting_them_changes_nothing(spark, at):
+    df = spark.createDataFrame(messages(at), SCHEMA)
+    runs = spark.createDataFrame([("s1", 60, 600), ("s2", 120, 1200)], "stream_id string, late_after_seconds int, cutoff_seconds int")
+    tables = [late_events.repaired(df, runs, n) for n in (1, 2, 5)]
+    rows = [sorted(map(tuple, t.minutes().collect())) for t in tables]
+    assert rows[0] == rows[1] == rows[2]
+    assert len({t.events().count() + t.dropped().count() for t in tables}) == 1
+    table = late_events.PeriodTable(spark)
+    judged = late_events.judged_messages(df, runs).where("event_time is not null and stream_id is not null")
+    early, late = judged.where(late_events.hour_of(F.col("event_time")) <= "2026-01-05-00"), judged.where(late_events.hour_of(F.col("event_time")) > "2026-01-05-00")
+    table.apply(early, "first")
+    before = table.manifest()["minutes"]
+    assert table.apply(late, "second") and table.apply(late, "second") == []
+    after = table.manifest()["minutes"]
+    assert all(after[h] == p for h, p in before.items())
+    assert sorted(map(tuple, table.minutes().collect())) == sorted(map(tuple, late_events.minute_totals(judged.where("outcome <> 'dropped'")).collect()))
 
 
 def test_running_max_crosses_blocks(spark):

@@ -1,17 +1,24 @@
-"""Late and out-of-order events: minutes by event time, repaired as late records arrive, up to a cut-off.
+"""Late and out-of-order events: minutes by event time, corrected as late records arrive, up to a cut-off.
 
-Each batch touches some minutes.  Those minutes are recomputed entirely from the retained raw events and replace the
-published ones; minutes nobody touched stay as they were.  An event is late when it lies more than the run's
-``late_after_seconds`` behind the greatest event time of earlier batches, and is dropped beyond ``cutoff_seconds``.
+Each batch touches some hours.  Their minutes are recomputed entirely from the retained raw events of those hours and
+replace the published ones in one step, by a manifest that names the current files of every hour; hours nobody touched
+are not read.  An event is late when it lies more than the run's ``late_after_seconds`` behind the greatest event time of
+earlier batches; beyond ``cutoff_seconds`` it is dropped and reopens nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.operators.deliveries import settle_deliveries
+from tidemark.operators.deliveries import commit_ranges, settle_deliveries
 from tidemark.operators.skew import running_max, salted_join
+from tidemark.session import scratch
+from tidemark.sources import storage
 
 EVENT_COLUMNS = ("event_time", "event_type", "payload_action", "actor_id")
 
@@ -39,33 +46,122 @@ def outcome() -> Column:
     return F.when(t < F.col("cut_from"), "dropped").when(t < F.col("late_from"), "late").otherwise("on_time")
 
 
-def touched_periods(kept: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row per (stream_id, batch_id, minute_utc) a batch touches, with its limits and whether it is reopened.
+def judged_messages(messages: DataFrame, runs: DataFrame) -> DataFrame:
+    """All kept messages with outcome, is_late (late or dropped) and the columns the minute totals need.
 
-    Compact: the events are reduced to minutes map-side, before any shuffle.
+    Messages with a null stream, batch or time are never late; an empty table gives an empty result.
     """
-    touched = kept.withColumn("minute_utc", minute_of(F.col("event_time"))).groupBy("stream_id", "batch_id", "minute_utc").agg(F.min("event_time").alias("_first"))
-    return touched.join(watermarks(kept, runs), ["stream_id", "batch_id"], "left").withColumn("reopened", F.coalesce(F.col("_first") < F.col("late_from"), F.lit(False))).drop("_first")
+    kept = settle_deliveries(messages, carry=EVENT_COLUMNS).where("disposition = 'kept'").drop("disposition")
+    judged = salted_join(kept, watermarks(kept, runs).drop("seen"), ["stream_id", "batch_id"], ["delivery_id"], "left")
+    return judged.withColumn("outcome", outcome()).withColumn("is_late", F.col("outcome") != "on_time").drop("late_from", "cut_from")
 
 
-def late_messages(messages: DataFrame, runs: DataFrame) -> DataFrame:
-    """(delivery_id, outcome) of the kept messages that are late or dropped.
+NO_HOUR = "none"  # where events without a time are kept
+
+
+def hour_of(instant: Column) -> Column:
+    return F.coalesce(F.date_format(instant, "yyyy-MM-dd-HH"), F.lit(NO_HOUR))
+
+
+def touched_periods(batch: DataFrame) -> list[str]:
+    """The hours whose minutes a batch changes; what lies beyond the cut-off changes none."""
+    return sorted(r[0] for r in batch.where("outcome <> 'dropped'").select(hour_of(F.col("event_time")).alias("hour")).distinct().collect())
+
 
-    Only the periods a batch reopened are read again from the retained events.  Messages with a null stream, batch or
-    time are never late; an empty table gives an empty result.
+class PeriodTable:
+    """Retained events and the minutes made of them, by hour.
+
+    The manifest names the files of every hour.  A new version of it makes a batch visible as a whole; the version is
+    claimed exclusively, so of two writers one fails.  A batch that was applied before changes nothing.
     """
-    kept = settle_deliveries(messages, carry=["event_time"]).where("disposition = 'kept'").select("delivery_id", "stream_id", "batch_id", "event_time")
-    reopened = touched_periods(kept, runs).where("reopened").drop("reopened", "seen")
-    events = kept.withColumn("minute_utc", minute_of(F.col("event_time")))
-    again = salted_join(events, reopened, ["stream_id", "batch_id", "minute_utc"], ["delivery_id"])
-    return again.select("delivery_id", outcome().alias("outcome")).where("outcome <> 'on_time'")
 
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root or scratch(spark, "periods")
+
+    def manifest(self) -> dict:
+        names = [n for n in storage.children(self.spark, f"{self.root}/manifest") if n.endswith(".json")]
+        if not names:
+            return {"version": 0, "batches": [], "events": {}, "minutes": {}, "dropped": [], "schema": None}
+        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.root}/manifest/{names[-1]}").first()[0])
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        schema = StructType.fromJson(json.loads(schema))
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def events(self, hours: list[str] | None = None, m: dict | None = None) -> DataFrame:
+        """The retained events of some hours or all, with the outcome stored when their batch came."""
+        m = m or self.manifest()
+        return self._read([p for h, ps in m["events"].items() if hours is None or h in hours for p in ps], m["schema"])
+
+    def dropped(self) -> DataFrame:
+        m = self.manifest()
+        return self._read(m["dropped"], m["schema"])
+
+    def minutes(self) -> DataFrame:
+        paths = list(self.manifest()["minutes"].values())
+        schema = "stream_id string, minute_utc timestamp, total_events long, star_events long, fork_events long, active_accounts long, late_corrections long"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def apply(self, batch: DataFrame, name: str) -> list[str]:
+        """Take in one batch of judged messages; returns the hours recomputed."""
+        m = self.manifest()
+        if name in m["batches"]:
+            return []
+        work = f"{self.root}/data/{uuid.uuid4().hex[:12]}"
+        m["schema"] = m["schema"] or batch.schema.json()
+        hours = touched_periods(batch)
+        hour = hour_of(F.col("event_time")).alias("hour")
+        spread = F.pmod(F.xxhash64("delivery_id"), F.lit(8))  # a hot hour is written by several tasks
+        late = batch.where("outcome <> 'dropped'").select("*", hour)
+        late.repartition("hour", spread).write.partitionBy("hour").parquet(f"{work}/events")
+        for h in hours:
+            m["events"].setdefault(h, []).append(f"{work}/events/hour={h}")
+        retained = self.events(hours, m).where("stream_id is not null and event_time is not null")
+        totals = minute_totals(retained)
+        totals.select("*", hour_of(F.col("minute_utc")).alias("hour")).repartition("hour").write.partitionBy("hour").parquet(f"{work}/minutes")
+        made = set(storage.children(self.spark, f"{work}/minutes"))
+        for h in hours:
+            if f"hour={h}" in made:
+                m["minutes"][h] = f"{work}/minutes/hour={h}"
+        batch.where("outcome = 'dropped'").write.parquet(f"{work}/dropped")
+        m["dropped"].append(f"{work}/dropped")
+        m["batches"].append(name)
+        m["version"] += 1
+        version = f"{self.root}/manifest/{m['version']:08d}"
+        if not storage.claim(self.spark, f"{version}.claim"):
+            raise RuntimeError(f"another writer made version {m['version']}")
+        storage.write_text(self.spark, f"{version}.json", json.dumps(m))
+        return hours
+
+
+def repaired(messages: DataFrame, runs: DataFrame, batches: int = 4) -> PeriodTable:
+    """The messages taken in batch by batch, a batch being a range of commits of about equally many rows.
+
+    Lateness is judged by commit, so where the batches are cut changes no result.
+    """
+    spark = messages.sparkSession
+    judged = judged_messages(messages, runs)
+    number, n = commit_ranges(messages.where(F.col("batch_id").isNotNull()), "batch_id", batches)
+    place = scratch(spark, "judged")
+    judged.withColumn("_batch", number).write.partitionBy("_batch").parquet(place)
+    table = PeriodTable(spark)
+    for i in range(n):
+        part = f"{place}/_batch={i}"
+        table.apply(spark.read.schema(judged.schema).parquet(part) if storage.exists(spark, part) else spark.createDataFrame([], judged.schema), f"commits-{i}")
+    return table
 
-def judged_messages(messages: DataFrame, runs: DataFrame) -> DataFrame:
-    """All kept messages with outcome, is_late (late or dropped) and the columns the minute totals need."""
-    kept = settle_deliveries(messages, carry=EVENT_COLUMNS).where("disposition = 'kept'").drop("disposition")
-    judged = salted_join(kept, watermarks(kept, runs).drop("seen"), ["stream_id", "batch_id"], ["delivery_id"], "left")
-    return judged.withColumn("outcome", outcome()).withColumn("is_late", F.col("outcome") != "on_time").drop("late_from", "cut_from")
+
+def late_messages(messages: DataFrame, runs: DataFrame) -> DataFrame:
+    """(delivery_id, outcome) of the kept messages that are late or dropped, as the batches stored them."""
+    table = repaired(messages, runs)
+    late = table.events().where("outcome = 'late'").select("delivery_id", "outcome")
+    return late.unionByName(table.dropped().select("delivery_id", "outcome"))
+
+
+def lateness(messages: DataFrame, runs: DataFrame) -> DataFrame:
+    """(delivery_id, is_late) of all kept messages."""
+    table = repaired(messages, runs)
+    return table.events().unionByName(table.dropped()).select("delivery_id", "is_late")
 
 
 def minute_totals(events: DataFrame) -> DataFrame:
@@ -91,9 +187,10 @@ def repaired_minutes(messages: DataFrame, runs: DataFrame, published: DataFrame)
     A touched minute whose events were all dropped disappears.  Of an untouched minute published twice the row with
     the greatest counts stays.  Events without a stream or time belong to no minute.
     """
-    judged = judged_messages(messages, runs).where("stream_id is not null and event_time is not null")
-    fresh = minute_totals(judged.where("outcome <> 'dropped'"))
-    touched = judged.select("stream_id", minute_of(F.col("event_time")).alias("minute_utc")).distinct()
+    table = repaired(messages, runs)
+    fresh = table.minutes()
+    gone = table.dropped().where("stream_id is not null and event_time is not null").select("stream_id", minute_of(F.col("event_time")).alias("minute_utc"))
+    touched = fresh.select("stream_id", "minute_utc").unionByName(gone).distinct()
     counts = ["total_events", "star_events", "fork_events", "active_accounts", "late_corrections"]
     stale = published.groupBy("stream_id", "minute_utc").agg(F.max(F.struct(*counts)).alias("_c")).select("stream_id", "minute_utc", "_c.*")
     return fresh.unionByName(stale.join(touched, ["stream_id", "minute_utc"], "left_anti"))

@@ -64,7 +64,7 @@ def p2_found(spark, folder):
 
 @PIPELINE.add("p2_is_late", _SETTLED + "select delivery_id, outcome <> 'on_time' as is_late from judged")
 def p2_is_late(spark, folder):
-    return late_events.judged_messages(table(spark, folder, "stream_messages"), table(spark, folder, "stream_runs")).select("delivery_id", "is_late")
+    return late_events.lateness(table(spark, folder, "stream_messages"), table(spark, folder, "stream_runs"))
 
 
 @PIPELINE.add(
