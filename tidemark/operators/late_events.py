@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators.deliveries import commit_ranges, settle_deliveries
-from tidemark.operators.skew import running_max, salted_join
+from tidemark.operators.skew import lookup_join, running_max, salted_join
 from tidemark.session import scratch
 from tidemark.sources import storage
 
@@ -68,11 +68,16 @@ def touched_periods(batch: DataFrame) -> list[str]:
     return sorted(r[0] for r in batch.where("outcome <> 'dropped'").select(hour_of(F.col("event_time")).alias("hour")).distinct().collect())
 
 
+MINUTES = "stream_id string, minute_utc timestamp, total_events long, star_events long, fork_events long, active_accounts long, late_corrections long"
+
+
 class PeriodTable:
     """Retained events and the minutes made of them, by hour.
 
-    The manifest names the files of every hour.  A new version of it makes a batch visible as a whole; the version is
-    claimed exclusively, so of two writers one fails.  A batch that was applied before changes nothing.
+    Every batch writes one folder of events, sorted by hour so that a read of some hours skips the rest, and one folder
+    with the minutes of the hours it touched.  The manifest says which folder holds the current minutes of an hour; a new
+    version of it makes a batch visible as a whole.  A version is claimed exclusively, so of two writers one fails.  A
+    batch that was applied before changes nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
@@ -81,26 +86,32 @@ class PeriodTable:
     def manifest(self) -> dict:
         names = [n for n in storage.children(self.spark, f"{self.root}/manifest") if n.endswith(".json")]
         if not names:
-            return {"version": 0, "batches": [], "events": {}, "minutes": {}, "dropped": [], "schema": None}
+            return {"batches": {}, "minutes": {}, "schema": None}
         return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.root}/manifest/{names[-1]}").first()[0])
 
-    def _read(self, paths: list[str], schema: str) -> DataFrame:
-        schema = StructType.fromJson(json.loads(schema))
+    def _read(self, kind: str, m: dict) -> DataFrame:
+        schema = StructType.fromJson(json.loads(m["schema"])).add("hour", "string")
+        paths = [f"{p}/{kind}" for p in m["batches"].values()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def events(self, hours: list[str] | None = None, m: dict | None = None) -> DataFrame:
         """The retained events of some hours or all, with the outcome stored when their batch came."""
-        m = m or self.manifest()
-        return self._read([p for h, ps in m["events"].items() if hours is None or h in hours for p in ps], m["schema"])
+        rows = self._read("events", m or self.manifest())
+        return (rows if hours is None else rows.where(F.col("hour").isin(*hours))).drop("hour")
 
     def dropped(self) -> DataFrame:
-        m = self.manifest()
-        return self._read(m["dropped"], m["schema"])
+        return self._read("dropped", self.manifest()).drop("hour")
 
     def minutes(self) -> DataFrame:
-        paths = list(self.manifest()["minutes"].values())
-        schema = "stream_id string, minute_utc timestamp, total_events long, star_events long, fork_events long, active_accounts long, late_corrections long"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        """The current minutes: of every hour those of the last batch that touched it."""
+        m = self.manifest()
+        if not m["minutes"]:
+            return self.spark.createDataFrame([], MINUTES)
+        folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/minutes/[^/]*$", 1).alias("_folder")
+        places = {m["batches"][n] for n in m["minutes"].values()}
+        rows = self.spark.read.schema(f"{MINUTES}, hour string").parquet(*[f"{p}/minutes" for p in sorted(places)]).select("*", folder)
+        now = self.spark.createDataFrame([(h, m["batches"][n].rsplit("/", 1)[1]) for h, n in m["minutes"].items()], "hour string, _folder string")
+        return lookup_join(rows, now, ["hour", "_folder"], ["minute_utc"]).drop("hour", "_folder")
 
     def apply(self, batch: DataFrame, name: str) -> list[str]:
         """Take in one batch of judged messages; returns the hours recomputed."""
@@ -110,26 +121,17 @@ class PeriodTable:
         work = f"{self.root}/data/{uuid.uuid4().hex[:12]}"
         m["schema"] = m["schema"] or batch.schema.json()
         hours = touched_periods(batch)
-        hour = hour_of(F.col("event_time")).alias("hour")
-        spread = F.pmod(F.xxhash64("delivery_id"), F.lit(8))  # a hot hour is written by several tasks
-        late = batch.where("outcome <> 'dropped'").select("*", hour)
-        late.repartition("hour", spread).write.partitionBy("hour").parquet(f"{work}/events")
-        for h in hours:
-            m["events"].setdefault(h, []).append(f"{work}/events/hour={h}")
+        rows = batch.withColumn("hour", hour_of(F.col("event_time")))
+        gone = F.col("outcome").eqNullSafe(F.lit("dropped"))
+        rows.where(~gone).sortWithinPartitions("hour").write.parquet(f"{work}/events")
+        rows.where(gone).write.parquet(f"{work}/dropped")
+        m["batches"][name] = work
         retained = self.events(hours, m).where("stream_id is not null and event_time is not null")
-        totals = minute_totals(retained)
-        totals.select("*", hour_of(F.col("minute_utc")).alias("hour")).repartition("hour").write.partitionBy("hour").parquet(f"{work}/minutes")
-        made = set(storage.children(self.spark, f"{work}/minutes"))
-        for h in hours:
-            if f"hour={h}" in made:
-                m["minutes"][h] = f"{work}/minutes/hour={h}"
-        batch.where("outcome = 'dropped'").write.parquet(f"{work}/dropped")
-        m["dropped"].append(f"{work}/dropped")
-        m["batches"].append(name)
-        m["version"] += 1
-        version = f"{self.root}/manifest/{m['version']:08d}"
+        minute_totals(retained).withColumn("hour", hour_of(F.col("minute_utc"))).write.parquet(f"{work}/minutes")
+        m["minutes"].update({h: name for h in hours if h != NO_HOUR})
+        version = f"{self.root}/manifest/{len(m['batches']):08d}"
         if not storage.claim(self.spark, f"{version}.claim"):
-            raise RuntimeError(f"another writer made version {m['version']}")
+            raise RuntimeError(f"another writer made version {len(m['batches'])}")
         storage.write_text(self.spark, f"{version}.json", json.dumps(m))
         return hours
 
