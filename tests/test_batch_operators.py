@@ -66,21 +66,28 @@ def test_stale_features_and_empty_tables(spark, events):
 def test_compacted_rows_are_the_same_and_hot_hours_are_split(spark, events, tmp_path):
     table = events.withColumn("_pack", F.lit("clash")).withColumn("tags", F.create_map(F.lit("k"), F.col("repo_id")))
     files = spark.createDataFrame([(i % 37, date(2026, 1, 5), i % 24, 10) for i in range(80)], "file_id long, event_date date, event_hour int, n_bytes long")
-    place, report = small_files.compact_rows(table, files, row_bytes=100.0, keys=["event_hour"], packing=small_files.Packing(target_bytes=1000))
+    place, report = small_files.compact_rows(table, files, keys=["event_hour"], packing=small_files.Packing(target_bytes=20_000))
     back = small_files.read_compacted(spark, place, table)
     plain = lambda df: df.withColumn("tags", F.to_json("tags"))
     assert plain(table).exceptAll(plain(back)).isEmpty() and back.count() == table.count()
     rows = report.collect()
     assert sum(r.rows for r in rows) == table.count()
+    assert all(r.files_after <= r.files_cut for r in rows) and sum(r.files_after for r in rows) < sum(r.files_cut for r in rows)
     assert max(r.files_after for r in rows) > 1
-    empty, report = small_files.compact_rows(table.limit(0), files.limit(0), 100.0, ["event_hour"])
+    empty, report = small_files.compact_rows(table.limit(0), files.limit(0), ["event_hour"])
     assert report.count() == 0 and small_files.read_compacted(spark, empty, table).count() == 0
 
 
 def test_a_differing_copy_is_not_published(spark, events, monkeypatch):
     monkeypatch.setattr(small_files, "digest", lambda df, keys: df.groupBy(*keys).agg(F.count("*").alias("rows"), F.lit(0).cast("decimal(38,0)").alias("checksum")))
     with pytest.raises(small_files.RowsDiffer):
-        small_files.compact_rows(events, spark.createDataFrame([], "file_id long, event_hour int, n_bytes long"), 100.0, ["event_hour"])
+        small_files.compact_rows(events, spark.createDataFrame([], "file_id long, event_hour int, n_bytes long"), ["event_hour"])
+
+
+def test_packing_plans_have_no_exchange(spark, events, tmp_path):
+    small_files.cut_by_folder(events, f"file://{tmp_path}/in", ["event_hour"])
+    rows = spark.read.schema(events.schema).parquet(f"file://{tmp_path}/in/_p_event_hour=3").coalesce(2)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
 def test_directories_are_compacted_without_a_shuffle(spark, events, tmp_path):
@@ -96,6 +103,14 @@ def test_directories_are_compacted_without_a_shuffle(spark, events, tmp_path):
     assert spark.conf.get("spark.sql.files.openCostInBytes") != str(small_files.Packing().open_cost)
 
 
+def test_columns_of_only_some_files_are_kept(spark, tmp_path):
+    source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    spark.range(5).selectExpr("id", "id as more").coalesce(1).write.mode("append").parquet(f"{source}/a")
+    spark.range(5, 9).coalesce(1).write.mode("append").parquet(f"{source}/a")
+    assert [tuple(r) for r in small_files.compact_directories(spark, source, target).collect()] == [("a", 9, 2, 1)]
+    assert spark.read.parquet(f"{target}/a").agg(F.sum("more")).first()[0] == 10
+
+
 # ---------------------------------------------------------------- p6
 
 
@@ -142,11 +157,11 @@ def test_windows_and_growth_rules(spark):
         with pytest.raises(ValueError):
             activity.Window.of_hours(bad)
     rows = [(1, 0, 0, 5, 0, 2, 10, 4), (2, 3, 0, 1, 0, 1, 10, 4), (3, 2, 0, 5, 1, 2, 9, 3)]
-    df = spark.createDataFrame(rows, "repo_id long, previous_stars long, previous_forks long, current_stars long, current_forks long, current_accounts long, total_events long, active_accounts long")
-    got = {r.repo_id: r for r in activity.scored(activity.growth(df.withColumn("current_pull_requests_opened", F.lit(0)))).collect()}
-    assert got[1].attention_change_percent is None and got[1].zero_attention_baseline and got[1].emerging
+    df = spark.createDataFrame(rows, "repo_id long, previous_stars long, previous_forks long, current_stars long, current_forks long, current_active_accounts long, total_events long, active_accounts long")
+    got = {r.repo_id: r for r in activity.scored(activity.growth(df.withColumn("current_prs_opened", F.lit(0)))).collect()}
+    assert got[1].attention_change_percent is None and got[1].zero_attention_baseline and got[1].emerging_attention_candidate
     assert not got[2].growth_eligible and got[2].attention_growth_ratio == 0.5
-    assert got[3].emerging and got[3].attention_change_percent == 200
+    assert got[3].emerging_attention_candidate and got[3].attention_change_percent == 200
     assert got[2].trend_score == pytest.approx(0.7 * got[2].activity_score)  # a decline adds nothing and takes nothing
 
 

@@ -1,14 +1,14 @@
 """Far too many small files: fewer well-sized ones, with exactly the same rows.
 
-Two ways in, one way out.  ``compact_directories`` takes files that lie in one folder per date and hour: the engine packs
-many small files into one split (maximum partition bytes, file-open cost), the splits are coalesced to the planned number
-of files without a shuffle, folder by folder.  ``compact_rows`` takes a table whose rows only name their file: rows of an
-hour lie all over the table, so they are moved once, by (date, hour, pack).  Both write a staged copy, compare it with
-the source by row count and order-free hash per date and hour, and publish it by rename only if nothing differs.
+The files lie in one folder per date and hour.  The engine packs many small files into one split (maximum partition bytes,
+file-open cost); the combined splits of a folder are coalesced to the planned number of files.  No row is shuffled.  The
+copy is staged, compared with the source by row count and order-free hash of every folder, and published by rename only if
+nothing differs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -16,8 +16,9 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.session import broadcast_if_small, materialize, scratch
+from tidemark.session import materialize, scratch
 from tidemark.sources import storage
 
 MB = 1 << 20
@@ -66,51 +67,74 @@ def listing_totals(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     return once.groupBy(*keys).agg(F.count("*").alias("files_before"), F.sum("n_bytes").alias("listed_bytes"))
 
 
-def compact_rows(table: DataFrame, files: DataFrame, row_bytes: float, keys: Sequence[str] = ("event_date", "event_hour"), spread: Sequence[str] = ("file_id", "event_id"), packing: Packing = Packing(), out: str | None = None) -> tuple[str, DataFrame]:
-    """(folder of the compacted table, report per key).
+def cut_by_folder(table: DataFrame, place: str, keys: Sequence[str]) -> None:
+    """Lay a table out as an ingest leaves it: every task writes one file to each folder it has rows for.
 
-    ``row_bytes``: stored bytes of an average row.  Sizes come from the rows that are there, not from the listing's row
-    counts, which may be wrong; an hour larger than the target is cut into packs by a hash of ``spread``, so a hot hour
-    is spread over tasks and files.  Report: keys, rows, files_before (null if nothing was listed), files_after,
-    largest_file_bytes.  Rows with null keys form a group of their own; an empty table gives an empty report.
+    The folders are named by hidden copies of the keys, so the files keep the exact values and types.
+    """
+    hidden = {k: unused(f"p_{k}", table) for k in keys}
+    table.withColumns({v: F.col(k) for k, v in hidden.items()}).write.partitionBy(*hidden.values()).parquet(place)
+
+
+def pack_folders(spark: SparkSession, found: Sequence[tuple[str, int, int]], root: str, staged: str, schema: StructType, packing: Packing, threads: int = 8) -> None:
+    """Write each folder of ``found`` (folder, files, bytes) anew below ``staged``, packed into few files.
+
+    Folders run side by side, in a session of its own, so that the split sizes concern nothing else.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(packing.split_bytes))
+    own.conf.set("spark.sql.files.openCostInBytes", str(packing.open_cost))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+
+    def one(folder: str, size: int) -> None:
+        out = f"{staged}/{folder[len(root) :].strip('/')}".rstrip("/")
+        own.read.schema(schema).parquet(folder).coalesce(packing.files(size)).write.parquet(out)
+
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(lambda x: one(x[0], x[2]), sorted(found, key=lambda x: -x[2])))
+
+
+def compact_rows(table: DataFrame, files: DataFrame, keys: Sequence[str] = ("event_date", "event_hour"), packing: Packing = Packing(), out: str | None = None) -> tuple[str, DataFrame]:
+    """(folder of the compacted table, report per key) of a table that is first cut into small files by its keys.
+
+    Sizes come from the files that are there, not from the listing, which may be wrong.  Report: keys, rows, files_before
+    (as listed; null if nothing was listed), files_cut (as they lay there), files_after, largest_file_bytes.  Rows with null
+    keys form a folder of their own; an empty table gives an empty report.
     """
     spark, keys = table.sparkSession, list(keys)
-    before = materialize(digest(table, keys), "rows-before")
-    packs = before.select(*keys, F.greatest(F.ceil(F.col("rows") * F.lit(row_bytes / packing.target_bytes)), F.lit(1)).cast("int").alias("_packs"))
-    several = packs.where("_packs > 1")
-    pack = unused("pack", table)
-    if several.isEmpty():
-        packed = table.withColumn(pack, F.lit(0))
+    place = out or scratch(spark, "compacted")
+    source, staged = f"{place}-source", f"{place}-staged"
+    cut_by_folder(table, source, keys)
+    found = storage.folders(spark, source)
+    root = storage.qualified(spark, source)
+    if found:
+        pack_folders(spark, found, root, staged, table.schema, packing)
     else:
-        many = several.withColumnsRenamed({"_packs": unused("packs", table), **{k: unused(f"of_{k}", table) for k in keys}})
+        table.limit(0).write.parquet(staged)
+    before = materialize(digest(table, keys), "rows-before")
+    after = _checked(spark, staged, table, keys, before)
+    storage.rename(spark, staged, place)
+    lay = spark.read.schema(table.schema).parquet(source).select(*keys, F.col("_metadata.file_path").alias("_f")).groupBy(*keys, "_f").agg(F.lit(1)) if found else table.limit(0).select(*keys)
+    parts = {"_l_": listing_totals(files, keys), "_c_": lay.groupBy(*keys).agg(F.count("*").alias("files_cut"))}
+    report = after
+    for mark, part in parts.items():
         match = F.lit(True)
         for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(unused(f"of_{k}", table)))
-        packed = table.join(broadcast_if_small(many), match, "left").withColumn(pack, F.coalesce(F.pmod(F.xxhash64(*spread), F.col(unused("packs", table))), F.lit(0))).select(*[f"`{c}`" for c in table.columns], pack)
-    place = out or scratch(spark, "compacted")
-    staged = f"{place}-staged"
-    most = max(1, int(packing.target_bytes * 1.25 / max(row_bytes, 1e-3)))
-    # Partition columns live in folder names; hidden copies keep their exact values and types.
-    hidden = {k: unused(f"p_{k}", table) for k in keys}
-    (packed.withColumns({v: F.col(k) for k, v in hidden.items()}).repartition(*keys, pack).drop(pack).write.option("maxRecordsPerFile", most).partitionBy(*hidden.values()).parquet(staged))
-    files_after = _published(spark, staged, table, keys, before)
-    storage.rename(spark, staged, place)
-    match = F.lit(True)
-    listed = listing_totals(files, keys).withColumnsRenamed({k: f"_l_{k}" for k in keys})
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_l_{k}"))
-    report = files_after.join(listed, match, "left").select(*keys, "rows", "files_before", "files_after", "largest_file_bytes")
-    return place, materialize(report, "compaction-report")
+            match = match & F.col(k).eqNullSafe(F.col(f"{mark}{k}"))
+        report = report.join(part.withColumnsRenamed({k: f"{mark}{k}" for k in keys}), match, "left")
+    report = materialize(report.select(*keys, "rows", "files_before", "files_cut", "files_after", "largest_file_bytes"), "compaction-report")
+    storage.delete(spark, source)
+    return place, report
 
 
 def read_compacted(spark: SparkSession, place: str, like: DataFrame) -> DataFrame:
     """The compacted table with the columns of the source."""
-    return spark.read.schema(like.schema).parquet(place).select(*like.columns)
+    return spark.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(place).select(*[f"`{c}`" for c in like.columns])
 
 
-def _published(spark: SparkSession, staged: str, source: DataFrame, keys: list[str], before: DataFrame) -> DataFrame:
-    """Checks the staged copy; (keys, rows, files_after, largest_file_bytes)."""
-    copy = spark.read.schema(source.schema).parquet(staged)
+def _checked(spark: SparkSession, staged: str, source: DataFrame, keys: list[str], before: DataFrame) -> DataFrame:
+    """Compares the staged copy with the source; (keys, rows, files_after, largest_file_bytes)."""
+    copy = spark.read.schema(source.schema).option("recursiveFileLookup", "true").parquet(staged)
     by_file = copy.select(*keys, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"), row_hash(source).alias("_h"))
     files = by_file.groupBy(*keys, "_file").agg(F.count("*").alias("rows"), F.sum("_h").alias("_h"), F.max("_size").alias("_size"))
     after = materialize(files.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("_h").cast("decimal(38,0)").alias("checksum"), F.count("*").alias("files_after"), F.max("_size").alias("largest_file_bytes")), "rows-after")
@@ -125,46 +149,36 @@ def _published(spark: SparkSession, staged: str, source: DataFrame, keys: list[s
 def compact_directories(spark: SparkSession, source: str, target: str, packing: Packing = Packing(), threads: int = 8) -> DataFrame:
     """Compact each folder below ``source`` that holds Parquet files; (folder, rows, files_before, files_after).
 
-    No shuffle: a folder's files are read as combined splits and coalesced to the planned number of files.  Folders run
-    side by side.  A folder is published whole, by rename, after its rows were compared; one that was published before
-    is skipped, so a broken run can be started again.  Empty files vanish; a folder of only empty files keeps one.
+    A folder is published whole, by rename, after all its rows were compared; one that was published before is skipped, so
+    a broken run can be started again.  The schema is the union of all files' columns.  Empty files vanish; a folder of
+    only empty files keeps one.
     """
-    by_folder: dict[str, list[int]] = {}
-    for path, size in storage.data_files(spark, source):
-        by_folder.setdefault(path.rsplit("/", 1)[0], []).append(size)
-    root = storage.qualified(spark, source)
-    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-
-    def one(folder: str) -> tuple[str, int, int, int] | None:
-        name = folder[len(root) :].strip("/")
-        final, staged = f"{target}/{name}".rstrip("/"), f"{target}/.staged/{name or 'all'}"
-        if storage.exists(spark, final):
-            return None
+    root, staged = storage.qualified(spark, source), f"{target}/.staged"
+    there = {f for f, _, _ in storage.folders(spark, target)}
+    place = lambda folder: f"{target}/{folder[len(root) :].strip('/')}".rstrip("/")
+    found = [x for x in storage.folders(spark, source) if storage.qualified(spark, place(x[0])) not in there]
+    if not found:
+        return spark.createDataFrame([], "folder string, rows long, files_before long, files_after long")
+    storage.delete(spark, staged)
+    whole = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true")
+    schema = whole.parquet(*[f for f, _, _ in found]).schema
+    pack_folders(spark, found, root, staged, schema, packing, threads)
+    name = lambda where: F.regexp_replace(F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]*$", 1), f"^{re.escape(storage.qualified(spark, where))}/?", "").alias("_folder")
+    sides = []
+    for where, paths in ((source, [f for f, _, _ in found]), (staged, [f for f, _, _ in storage.folders(spark, staged)])):
+        rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
+        sides.append(rows.select(name(where), row_hash(rows).alias("_h")).groupBy("_folder").agg(F.count("*").alias("rows"), F.sum("_h").cast("decimal(38,0)").alias("checksum")))
+    a, b = (materialize(x, "folder-digest") for x in sides)
+    differ = a.exceptAll(b).unionByName(b.exceptAll(a))
+    if not differ.isEmpty():
         storage.delete(spark, staged)
-        sizes = by_folder[folder]
-        rows = spark.read.parquet(folder)
-        rows.coalesce(packing.files(sum(sizes))).write.parquet(staged)
-        there, copied = (digest(spark.read.parquet(p), []).first() for p in (folder, staged))
-        if tuple(there) != tuple(copied):
-            storage.delete(spark, staged)
-            raise RowsDiffer(folder)
-        files_after = len(storage.data_files(spark, staged))
-        storage.rename(spark, staged, final)
-        return name, there["rows"], len(sizes), files_after
-
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(packing.split_bytes))
-        spark.conf.set("spark.sql.files.openCostInBytes", str(packing.open_cost))
-        with ThreadPoolExecutor(threads) as pool:
-            done = [x for x in pool.map(one, sorted(by_folder)) if x]
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
+        raise RowsDiffer(f"the staged copy differs in the folder {differ.first()['_folder']!r}")
+    counted = {r["_folder"]: r["rows"] for r in a.collect()}  # a row per folder
+    after = {f: n for f, n, _ in storage.folders(spark, staged)}
+    done = []
+    for folder, n, _ in found:
+        short = folder[len(root) :].strip("/")
+        at = f"{staged}/{short}".rstrip("/")
+        done.append((short, counted.get(short, 0), n, after.get(storage.qualified(spark, at), 0)))
+        storage.rename(spark, at, place(folder))
     return spark.createDataFrame(done, "folder string, rows long, files_before long, files_after long")
-
-
-def stored_row_bytes(table: DataFrame) -> float:
-    """Average stored bytes of a row of a table just read: one row per file, made by the tasks that open it."""
-    files = table.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).groupBy("f").agg(F.max("s").alias("s"), F.count("*").alias("n"))
-    total = files.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
-    return (total["s"] or 0) / max(1, total["n"] or 0)

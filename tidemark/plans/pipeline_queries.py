@@ -199,7 +199,7 @@ def p6_stored_bytes(spark, folder):
 
 def _compacted(spark, folder):
     events = table(spark, folder, "silver_events")
-    place, report = small_files.compact_rows(events, table(spark, folder, "event_files"), small_files.stored_row_bytes(events))
+    place, report = small_files.compact_rows(events, table(spark, folder, "event_files"))
     return events, place, report
 
 
@@ -220,3 +220,9 @@ def p5_rows(spark, folder):
     back = small_files.read_compacted(spark, place, events)
     warnings = F.when(F.col("quality_warnings").isNull(), "null").otherwise(F.array_join("quality_warnings", ","))
     return back.withColumns({"event_us": F.unix_micros("event_time"), "archive_us": F.unix_micros("source_archive_start"), "warnings": warnings}).drop("event_time", "source_archive_start", "quality_warnings")
+
+
+@PIPELINE.add("p5_hours", "select event_date, event_hour, count(*) as rows, (select count(distinct file_id) from event_files f where f.event_date = e.event_date and f.event_hour = e.event_hour) as files_before from silver_events e group by 1, 2")
+def p5_hours(spark, folder):
+    """Rows and listed files per date and hour, from the report of the compaction."""
+    return _compacted(spark, folder)[2].selectExpr("event_date", "event_hour", "rows", "coalesce(files_before, 0) as files_before")

@@ -80,15 +80,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 
 def folders(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(folder, files, bytes) of every folder below a path that holds data files.
+    """(folder, files, bytes) of every folder below a path that holds data files; Spark leaves hidden ones out.
 
     Spark lists them, in parallel where there are many; the driver gets a row per folder, not per file.
     """
     if not exists(spark, path):
         return []
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    shown = listing.where(~F.col("path").rlike(r"/[_.][^/]*(/|$)"))
-    by_folder = shown.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n"), F.sum("length").alias("b"))
+    by_folder = listing.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n"), F.sum("length").alias("b"))
     return sorted((r["folder"], r["n"], r["b"]) for r in by_folder.collect())
 
 
