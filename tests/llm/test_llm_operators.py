@@ -69,8 +69,31 @@ def test_no_worse_than_packing_text_by_text(seed):
 def test_nnls_recovers_a_non_negative_solution():
     rng = np.random.default_rng(1)
     a, x = rng.random((40, 15)), np.maximum(0, rng.normal(size=15))
-    got = packing.nnls(a, a @ x, 20_000)
-    assert (got >= 0).all() and np.abs(a @ got - a @ x).max() < 1e-2
+    got = packing.nnls(a, a @ x)
+    assert (got >= 0).all() and np.abs(a @ got - a @ x).max() < 2e-2
+    assert packing.optimality_gap(a, a @ x, got) <= 2e-4
+
+
+@pytest.mark.parametrize("bins", [16, 64, 128])
+def test_nnls_reaches_its_gap_on_patterns(bins):
+    rng = np.random.default_rng(bins)
+    shapes = packing.patterns(bins)
+    a = np.zeros((bins, len(shapes)))
+    for k, shape in enumerate(shapes):
+        for q in shape:
+            a[q - 1, k] += 1
+    weight = np.arange(1, bins + 1, dtype=float)[:, None] ** 0.5
+    b = rng.lognormal(0, 2, bins)
+    got = packing.nnls(a * weight, b / b.max() * weight[:, 0])
+    assert packing.optimality_gap(a * weight, b / b.max() * weight[:, 0], got) <= 2e-4
+
+
+def test_lengths_of_any_size_find_their_container(spark):
+    big = 1 << 21
+    segments = [packing.Segment(big, 0, 3, 5, 1), packing.Segment(big - 1, 0, 2, 0, 1), packing.Segment(7, 0, 6, 8, 3), packing.Segment(7, 6, 1, 4, 1)]
+    rows = [(big, 0), (big, 2), (big - 1, 1), (7, 5), (7, 6)]
+    df = spark.createDataFrame(rows, "length int, rank long")
+    assert [r.container for r in packing.place(df, segments).collect()] == [5, 7, 1, 9, 4]
 
 
 def test_packed_texts(spark):

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.session import broadcast_if_small
+from tidemark.operators.skew import lookup_join
+from tidemark.session import materialize, send_by_value
 
 
 @dataclass
@@ -75,6 +78,9 @@ def plan_mixes(targets: Iterable[tuple[str, str, float, int]], tokens: dict[str,
     return out
 
 
+PLAN = "mix_id string, source string, target_share double, source_tokens long, max_repeats int, wanted_tokens double, given_tokens double, repeats double, whole_repeats int, part_repeat double, clamped_round int"
+
+
 def source_tokens(documents: DataFrame, tokens: Column) -> DataFrame:
     return documents.groupBy("source").agg(F.sum(tokens).alias("tokens"))
 
@@ -82,40 +88,51 @@ def source_tokens(documents: DataFrame, tokens: Column) -> DataFrame:
 def mix_plan(documents: DataFrame, targets: DataFrame, tokens: Column) -> tuple[DataFrame, float]:
     """(plan with a row per mix and source, budget).  The budget of every mix is the tokens of all documents.
 
-    The target table is a control table of fixed size (checked), and only the sources it names come to the driver.
+    Any number of mixes: each is filled on its own, from one row per source it names.
     """
-    spark = documents.sparkSession
-    control = [tuple(r) for r in targets.select("mix_id", "source", "target_weight", "max_repeats").limit(100_001).collect()]
-    if len(control) > 100_000:
-        raise ValueError("mix targets are expected to be a short control table")
-    named = broadcast_if_small(targets.select("source").distinct())
-    rows = source_tokens(documents, tokens).join(named, "source", "left_semi").collect()
-    budget = float(documents.agg(F.sum(tokens)).first()[0] or 0)
-    shares = plan_mixes(control, {r["source"]: int(r["tokens"] or 0) for r in rows}, budget)
-    data = [(s.mix_id, s.source, s.target_share, s.source_tokens, s.max_repeats, s.wanted_tokens, s.given_tokens, s.repeats, int(s.repeats), s.repeats - int(s.repeats), s.clamped_round) for s in shares]
-    schema = "mix_id string, source string, target_share double, source_tokens long, max_repeats int, wanted_tokens double, given_tokens double, repeats double, whole_repeats int, part_repeat double, clamped_round int"
-    return spark.createDataFrame(data, schema), budget
+    by_source = materialize(source_tokens(documents, tokens), "source-tokens")
+    budget = float(by_source.agg(F.sum("tokens")).first()[0] or 0)
+    none = F.lit("\x00null")  # a null source or mix is a name of its own
+    rows = targets.join(by_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("mix_id", "source", "target_weight", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    rows = rows.select(F.coalesce("mix_id", none).alias("mix_id"), F.coalesce("source", none).alias("source"), "target_weight", "max_repeats", "tokens")
+
+    def fill(mix: pd.DataFrame) -> pd.DataFrame:
+        control = [(m, s, None if pd.isna(w) else float(w), None if pd.isna(r) else int(r)) for m, s, w, r in zip(mix["mix_id"], mix["source"], mix["target_weight"], mix["max_repeats"], strict=True)]
+        shares = plan_mixes(control, {s: int(n) for s, n in zip(mix["source"], mix["tokens"], strict=True)}, budget)
+        data = [(s.mix_id, s.source, s.target_share, s.source_tokens, s.max_repeats, s.wanted_tokens, s.given_tokens, s.repeats, int(s.repeats), s.repeats - int(s.repeats), s.clamped_round) for s in shares]
+        return pd.DataFrame(data, columns=[c.split()[0] for c in PLAN.split(", ")]).astype({"clamped_round": "Int32"})
+
+    filled = rows.groupBy("mix_id").applyInPandas(fill, PLAN)
+    named = [F.nullif(c, none).alias(c) for c in ("mix_id", "source")]
+    return materialize(filled.select(*named, *[c for c in filled.columns if c not in ("mix_id", "source")]), "mix-plan"), budget
+
+
+def _with_copies(documents: DataFrame, plan: DataFrame, key: str, seed: int) -> DataFrame:
+    """Documents by mix with ``_copies``: the whole repeats, and one more for a seeded part of them."""
+    wanted = plan.where("given_tokens > 0").select("mix_id", "source", "whole_repeats", "part_repeat")
+    joined = lookup_join(documents, wanted, ["source"], [key])
+    draw = F.pmod(F.xxhash64(F.lit(seed), "mix_id", key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return joined.withColumn("_copies", F.col("whole_repeats") + F.when(draw < F.col("part_repeat"), 1).otherwise(0)).where("_copies > 0")
 
 
 def mixed_records(documents: DataFrame, plan: DataFrame, key: str = "doc_id", seed: int = 20260105) -> DataFrame:
     """(mix_id, key, source, copy): every document of a source its whole number of times, and a seeded part of them once more.
 
     Whether a document gets the extra copy depends on the seed, the mix and its key only, so the sample is the same
-    on any cluster.
+    on any cluster.  Documents without a source belong to none.
     """
-    joined = documents.select(key, "source").join(broadcast_if_small(plan.where("given_tokens > 0").select("mix_id", "source", "whole_repeats", "part_repeat")), "source")
-    draw = F.pmod(F.xxhash64(F.lit(seed), "mix_id", key), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = F.col("whole_repeats") + F.when(draw < F.col("part_repeat"), 1).otherwise(0)
-    return joined.withColumn("_copies", copies).where("_copies > 0").select("mix_id", key, "source", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    some = _with_copies(documents.select(key, "source"), plan, key, seed)
+    return some.select("mix_id", key, "source", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
 
 
-def reached_shares(documents: DataFrame, targets: DataFrame, tokens: Column, seed: int = 20260105) -> DataFrame:
-    """Per mix and source: the target share and the share the sampled records reach."""
+def reached_shares(documents: DataFrame, targets: DataFrame, tokens: Column, key: str = "doc_id", seed: int = 20260105) -> DataFrame:
+    """Per mix and source: the target share and the share the sampled records reach, summed from the records."""
     plan, _ = mix_plan(documents, targets, tokens)
-    sized = documents.select("doc_id", "source", tokens.alias("_tokens"))
-    joined = sized.join(broadcast_if_small(plan), "source")
-    draw = F.pmod(F.xxhash64(F.lit(seed), "mix_id", "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    got = joined.groupBy("mix_id", "source").agg(F.sum(F.col("_tokens") * (F.col("whole_repeats") + F.when(draw < F.col("part_repeat"), 1).otherwise(0))).alias("reached_tokens"))
+    some = _with_copies(documents.select(key, "source", tokens.alias("_tokens")), plan, key, seed)
+    got = some.groupBy("mix_id", "source").agg(F.sum(F.col("_tokens") * F.col("_copies")).alias("reached_tokens"))
     both = plan.join(got, ["mix_id", "source"], "left").fillna(0, ["reached_tokens"])
-    total = got.groupBy("mix_id").agg(F.sum("reached_tokens").alias("_all"))
-    return both.join(total, "mix_id", "left").withColumn("reached_share", F.coalesce(F.try_divide("reached_tokens", "_all"), F.lit(0.0))).drop("_all")
+    total = F.sum("reached_tokens").over(W.partitionBy("mix_id"))  # a row per source of the mix
+    return both.withColumn("reached_share", F.coalesce(F.try_divide("reached_tokens", total), F.lit(0.0)))
+
+
+send_by_value(__name__)
