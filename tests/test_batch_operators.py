@@ -231,12 +231,15 @@ def test_labels_do_not_leak_and_the_threshold_is_a_value(spark):
 
 def test_snapshots_are_reused_checked_and_switched(spark, tmp_path):
     root = f"file://{tmp_path}/s"
-    good = {"repos": (lambda: spark.createDataFrame([(1, 2)], "repo_id long, total_events long"), ["repo_id"])}
+    good = {"repos": snapshots.Table(lambda: spark.createDataFrame([(1, 2)], "repo_id long, total_events long"), ["repo_id"])}
     place, reused = snapshots.publish(spark, root, {"v": 1}, good)
     assert not reused and snapshots.publish(spark, root, {"v": 1}, good) == (place, True)
     for rows in ([(1, 2), (1, 3)], [(1, -2)], [(None, 2)]):
         with pytest.raises(snapshots.ContractBroken):
-            snapshots.publish(spark, root, {"v": 2}, {"repos": (lambda rows=rows: spark.createDataFrame(rows, "repo_id long, total_events long"), ["repo_id"])})
+            snapshots.publish(spark, root, {"v": 2}, {"repos": snapshots.Table(lambda rows=rows: spark.createDataFrame(rows, "repo_id long, total_events long"), ["repo_id"])})
+    a, b = ({"rows": 2.0, "x": v} for v in (1.0, 1.0 + 1e-12))
+    assert snapshots.sums_differ(a, b) == [] and snapshots.sums_differ(a, {"rows": 3.0, "y": 1.0}) == ["rows", "x", "y"]
+    assert snapshots.sums(spark.read.parquet(f"{place}/repos")) == {"rows": 1.0, "repo_id": 1.0, "total_events": 2.0}
     assert snapshots.current(spark, root) == place and storage.children(spark, f"{root}/staged") == []
 
 

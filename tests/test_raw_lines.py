@@ -9,6 +9,7 @@ from datetime import datetime
 import pytest
 
 from tidemark.operators import raw_lines, silver
+from tidemark.sources import snapshots
 
 csv.field_size_limit(10**9)
 BASE = '{"id":"5","type":"PushEvent","actor":{"id":1,"login":"a"},"repo":{"id":2,"name":"o/r"},"payload":{%s},"public":true,"created_at":"2026-01-05T00:00:00Z"}'
@@ -135,12 +136,49 @@ def test_silver_reasons_warnings_and_validity_before_dedup(spark):
     old, new = "a/2026-01-05-0.json.gz", "a/2026-01-05-1.json.gz"
     rows = [(GOOD, new), (GOOD.replace('"login":"a"', '"login":"b"'), old), (GOOD.replace("true", "false"), old), (swap('"id":"5"', '"id":"6"').replace("PushEvent", "OddEvent"), old), ("{", old), (swap("o/r", "or").replace('"5"', '"x"'), old)]
     n = silver.normalize(spark.createDataFrame(rows, "raw_json string, source_uri string"))
-    clean, quarantine, duplicates = silver.split_and_deduplicate(n)
+    lines = silver.settled(n)
+    clean, quarantine, duplicates = silver.split(lines)
     assert {(r.event_id, r.actor_login) for r in clean.collect()} == {("5", "b"), ("6", "a")}
     assert [r.duplicate_rank for r in duplicates.collect()] == [2]
     assert sorted(r.validation_errors[0] for r in quarantine.collect()) == ["invalid_event_id", "invalid_json_or_field_type", "not_public"]
     assert next(r.validation_errors for r in quarantine.collect() if r.validation_errors[0] == "invalid_event_id") == ["invalid_event_id", "invalid_repo_name"]
     warned = {r.label: r.n for r in silver.label_counts(n.where("size(validation_errors) = 0"), "quality_warnings").collect()}
     assert warned == {"unknown_event_type": 1, "outside_archive_hour": 1}
-    assert silver.accounting(n).first().asDict() == {"lines": 6, "clean": 2, "quarantined": 3, "duplicates": 1}
+    assert silver.accounting(lines).first().asDict() == {"lines": 6, "clean": 2, "quarantined": 3, "duplicates": 1}
     assert set(clean.columns) == set(silver.CLEAN_COLUMNS)
+
+
+def test_silver_trims_and_reads_what_an_object_begins(spark):
+    uri = "a/2026-01-05-0.json.gz"
+    rows = [(swap('"id":"5"', '"id":" 7 "'), uri), (GOOD + "}", uri), (swap('"login":"a"', '"login":"  "'), uri), (None, uri)]
+    df = spark.createDataFrame(rows, "raw_json string, source_uri string")
+    lenient = {r.raw_json: r.validation_errors for r in silver.normalize(df).collect()}
+    strict = {r.raw_json: r.validation_errors for r in silver.normalize(df, strict=True).collect()}
+    assert lenient[rows[0][0]] == strict[rows[0][0]] == [] and lenient[rows[1][0]] == []
+    assert strict[rows[1][0]] == ["invalid_json_or_field_type"] and lenient[rows[2][0]] == ["missing_actor_login"]
+    assert lenient[None][0] == "invalid_json_or_field_type"
+    assert {r.event_id for r in silver.normalize(df).where("size(validation_errors) = 0").collect()} == {"7", "5"}
+
+
+def test_many_copies_of_one_event_are_ranked_in_blocks(spark):
+    rows = [(GOOD, f"a/2026-01-05-{h}.json.gz") for h in (1, 0, 0, 0, 3)] + [(GOOD.replace('"login":"a"', '"login":"b"'), "a/2026-01-05-0.json.gz"), (GOOD, "odd name")]
+    lines = silver.settled(silver.normalize(spark.createDataFrame(rows, "raw_json string, source_uri string")))
+    got = sorted((r.duplicate_rank, r.source_filename) for r in lines.collect())
+    assert [r for r, _ in got] == list(range(1, 8))
+    assert [f for _, f in got] == ["2026-01-05-0.json.gz"] * 4 + ["2026-01-05-1.json.gz", "2026-01-05-3.json.gz", "odd name"]
+
+
+def test_silver_snapshot_accounts_for_every_line(spark, tmp_path):
+    root = f"file://{tmp_path}/silver"
+    rows = [(GOOD, "a/2026-01-05-0.json.gz"), (GOOD, "a/2026-01-05-1.json.gz"), ("{", "a/2026-01-05-0.json.gz"), (swap('"id":"5"', '"id":"6"'), "a/2026-01-05-0.json.gz")]
+    df = spark.createDataFrame(rows, "raw_json string, source_uri string")
+    place, reused = silver.publish(spark, df, root, {"sources": "x"})
+    m = snapshots.verify(spark, place)
+    assert not reused and m["facts"]["lines"] == 4 and m["rows"] == {"events": 2, "quarantine": 1, "duplicates": 1, "repository_daily_stats": 1}
+    assert silver.publish(spark, df, root, {"sources": "x"}) == (place, True)
+    assert set(snapshots.views(spark, place)) == {"events", "quarantine", "duplicates", "repository_daily_stats"}
+    assert spark.sql("select count(*) from events where repo_id = :r", args={"r": 1}).first()[0] in (0, 2)
+    for other, quota in ((df.where("raw_json = '{'"), None), (df, 10)):
+        with pytest.raises(snapshots.ContractBroken):
+            silver.publish(spark, other, root, {"sources": "y"}, quota_bytes=quota)
+    assert snapshots.current(spark, root) == place

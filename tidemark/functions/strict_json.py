@@ -37,3 +37,8 @@ def parse_object(text: Column, schema: str) -> Column:
 def is_one_value(text: Column) -> Column:
     """Second half of the check: with ``parse_object`` free of errors, the text is exactly one JSON value."""
     return F.from_json(F.concat(F.lit('{"r":['), text, F.lit("]}")), f"z string, {CORRUPT} string", OPTIONS)[CORRUPT].isNull()
+
+
+def parse_start(text: Column, schema: str) -> Column:
+    """The object a text begins with, as fields of ``schema`` and _corrupt_record; what follows it is not looked at."""
+    return F.from_json(text, f"{schema}, {CORRUPT} string", OPTIONS)

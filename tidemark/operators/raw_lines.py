@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import strict_csv, strict_json
+from tidemark.session import materialize
 
 JSON_SCHEMA = (
     "id string, type string, actor struct<id: string, login: string>, repo struct<id: string, name: string>, created_at string, public boolean, "
@@ -44,6 +45,7 @@ CSV_RULES = [
     ("source_row", "digits", "invalid_value"),
     ("raw_sha256", "sha256", "invalid_value"),
 ]
+RULES = {"json": JSON_RULES, "csv": CSV_RULES}
 
 
 def instant_text(v: Column) -> Column:
@@ -83,11 +85,17 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "place int, cell string, check string, reason string")
 
 
-def parse_json_lines(lines: DataFrame, text: str) -> DataFrame:
-    """The lines with ``_p``, a struct of text cells by name.  A null or empty line is a damaged record."""
-    parsed = lines.withColumn("_j", strict_json.parse_object(F.col(text), JSON_SCHEMA)).withColumn(
-        "_ok", F.col(f"_j.{strict_json.CORRUPT}").isNull() & F.col("_j.r").isNotNull() & strict_json.is_one_value(F.col(text))
-    )
+def parse_json_lines(lines: DataFrame, text: str, strict: bool = True) -> DataFrame:
+    """The lines with ``_p``, a struct of text cells by name.  A null or empty line is a damaged record.
+
+    Without ``strict`` text after the object is no failure.
+    """
+    if strict:
+        ok = F.col(f"_j.{strict_json.CORRUPT}").isNull() & F.col("_j.r").isNotNull() & strict_json.is_one_value(F.col(text))
+        parsed = lines.withColumn("_j", strict_json.parse_object(F.col(text), JSON_SCHEMA)).withColumn("_ok", ok)
+    else:
+        ok = F.col(f"_j.r.{strict_json.CORRUPT}").isNull() & F.trim(text).startswith("{")
+        parsed = lines.withColumn("_j", F.struct(strict_json.parse_start(F.col(text), JSON_SCHEMA).alias("r"))).withColumn("_ok", ok)
     r = F.col("_j.r")
     cells = {
         "record": F.coalesce(F.col("_ok"), F.lit(False)).cast("string"),
@@ -142,7 +150,7 @@ def judge_lines(lines: DataFrame, kind: str, key: str = "line_id", text: str | N
     text = text or {"json": "raw_json", "csv": "raw_csv"}[kind]
     keyed, row_key = _keyed(lines, key, text)
     parsed = (parse_json_lines if kind == "json" else parse_csv_lines)(keyed, text)
-    return parsed, failures(parsed, row_key, JSON_RULES if kind == "json" else CSV_RULES)
+    return parsed, failures(parsed, row_key, RULES[kind])
 
 
 def first_reasons(lines: DataFrame, kind: str, key: str = "line_id") -> DataFrame:
@@ -161,7 +169,9 @@ def load_lines(lines: DataFrame, kind: str, key: str = "line_id", text: str | No
     null or empty line is damaged.  Further columns of the input are left out.
     """
     text = text or {"json": "raw_json", "csv": "raw_csv"}[kind]
-    parsed, bad = judge_lines(lines, kind, key, text)
+    parsed, _ = judge_lines(lines, kind, key, text)
+    parsed = materialize(parsed, "parsed-lines")  # every line is parsed once, for good and bad rows alike
+    bad = failures(parsed, ["_key", "_text"], RULES[kind])
     clean = parsed.join(bad, _same(parsed, bad), "left_anti")
     p = lambda name: F.col(f"_p.{name}")
     common = [F.col("_key").alias(key), p("event_id").alias("event_id"), p("event_type").alias("event_type"), p("actor_id").cast("long").alias("actor_id"), p("repo_id").cast("long").alias("repo_id"), p("repo_name").alias("repo_name"), instant(p("event_time")).alias("event_time")]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 HASH_BUCKETS = 1 << 14
 
 
@@ -101,3 +103,20 @@ def running_max(df: DataFrame, key: str, order: str, value: str, out: str, block
     before_row = W.partitionBy(key, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     inside = rows.withColumn("_inside", F.max(value).over(before_row))
     return inside.join(blocks, [key, "_block"], "left").withColumn(out, F.greatest("_before", "_inside")).drop("_block", "_before", "_inside")
+
+
+def rank_in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, blocks: int = 64) -> DataFrame:
+    """Row number within the key by ``order`` (no nulls in it), from 1; rows that tie are numbered in any order.
+
+    ``df`` is a written table.  Rows are counted by key, order and a block that splits equal rows, ranked inside, and
+    shifted by the counts before: a task holds a block of equal rows, or one row per different row of a key.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.withColumns(dict(zip(names, order, strict=True))).withColumn("_place", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("_block", F.pmod(F.xxhash64("_place"), F.lit(blocks))), "ranked")  # places must not change
+    spot = [*names, "_block"]
+    counts = rows.groupBy(*keys, *spot).agg(F.count("*").alias("_c"))
+    before = W.partitionBy(*keys).orderBy(*spot).rowsBetween(W.unboundedPreceding, -1)
+    shifts = counts.select(*keys, *spot, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"))
+    inside = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys, *spot).orderBy("_place")))
+    return inside.join(shifts, [*keys, *spot]).withColumn(out, (F.col("_r") + F.col("_shift")).cast("long")).select(*df.columns, out)

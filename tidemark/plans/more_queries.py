@@ -10,10 +10,11 @@ from tidemark.model import EVENT_TYPES
 from tidemark.operators import explore as ex
 from tidemark.operators import learn as le
 from tidemark.operators import raw_lines, silver
+from tidemark.operators.skew import rank_in_blocks
 from tidemark.plans.activity_queries import EV, MEASURES, events, rounded
 from tidemark.plans.registry import Registry
 from tidemark.session import scratch
-from tidemark.sources import readers, storage
+from tidemark.sources import readers, snapshots, storage
 from tidemark.sources.tables import table
 from tidemark.streaming import ledger
 
@@ -76,28 +77,88 @@ def hour_range_plan(spark, folder):
 # ---------------------------------------------------------------- Silver
 
 
-def normalized(spark, folder):
-    return silver.normalize(table(spark, folder, "raw_lines"))
+def lines(spark, folder):
+    """The settled raw lines, strict so that SQL can say the same."""
+    return silver.settled(silver.normalize(table(spark, folder, "raw_lines"), strict=True))
+
+
+_ID = lambda c: f"coalesce(regexp_full_match({c}, '[0-9]+') and try_cast(ltrim({c}, '0') as bigint) > 0, false)"
+_SETTLED_LINES = (
+    """with j as (select raw_json, source_uri, case when json_valid(raw_json) and not regexp_matches(raw_json, ',\\s*[}\\]]|[:,\\[]\\s*-?(?i:nan|inf|infinity)\\s*[,}\\]]') then case when json_type(raw_json) = 'OBJECT' then raw_json::json end end as o from raw_lines),
+c as (select raw_json, source_uri, sha256(raw_json) as raw_record_sha256, regexp_extract(source_uri, '([^/]+)$', 1) as source_filename,
+  o is not null and """
+    + " and ".join(f"coalesce(json_type(o, '$.{x}'), 'NULL') in ('OBJECT', 'NULL')" for x in ("actor", "repo", "payload", "org"))
+    + """ and coalesce(json_type(o, '$.public'), 'NULL') in ('BOOLEAN', 'NULL') as record,
+  trim(o->>'$.id', ' ') as event_id, trim(o->>'$.type', ' ') as event_type, trim(o->>'$.actor.id', ' ') as actor, trim(o->>'$.actor.login', ' ') as actor_login, trim(o->>'$.repo.id', ' ') as repo,
+  trim(o->>'$.repo.name', ' ') as repo_name, trim(o->>'$.created_at', ' ') as t, o->>'$.public' as public, coalesce(json_type(o, '$.payload'), 'NULL') <> 'NULL' as payload, o->>'$.payload.action' as payload_action, trim(o->>'$.org.id', ' ') as org from j),
+k as (select *, coalesce(regexp_full_match(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])') and try_strptime(left(t, 19), '%Y-%m-%dT%H:%M:%S') is not null and left(t, 4) <> '0000', false) as timed,
+  try_strptime(regexp_extract(source_filename, '^([0-9]{4}-[0-9]{2}-[0-9]{2})-', 1) || '-' || regexp_extract(source_filename, '-([0-9]{1,2})[.]json[.]gz$', 1), '%Y-%m-%d-%H') as started from c),
+e as (select *, case when timed then epoch_us(try_strptime(left(t, 19), '%Y-%m-%dT%H:%M:%S')) + coalesce(try_cast(rpad(left(regexp_extract(t, '[.]([0-9]+)', 1), 6), 6, '0') as bigint), 0)
+    - case when right(t, 1) = 'Z' then 0 else (case when left(right(t, 6), 1) = '-' then -1 else 1 end) * (substr(right(t, 6), 2, 2)::bigint * 60 + right(t, 2)::bigint) * 60000000 end end as event_us,
+  list_filter([case when not record then 'invalid_json_or_field_type' end, case when strlen(raw_json) > 8388608 then 'record_exceeds_8_mib' end,
+    case when not coalesce(regexp_full_match(event_id, '[1-9][0-9]*'), false) then 'invalid_event_id' end, case when not coalesce(regexp_full_match(event_type, '[A-Z][A-Za-z0-9]*Event'), false) then 'invalid_event_type' end,
+    case when not """
+    + _ID("actor")
+    + r""" then 'invalid_actor_id' end, case when not coalesce(regexp_matches(actor_login, '[^\s\pZ]'), false) then 'missing_actor_login' end, case when not """
+    + _ID("repo")
+    + r""" then 'invalid_repo_id' end,
+    case when not coalesce(regexp_full_match(repo_name, '[^\s\pZ/]+/[^\s\pZ/]+'), false) then 'invalid_repo_name' end, case when not timed then 'invalid_timestamp' end, case when public is distinct from 'true' then 'not_public' end,
+    case when not payload then 'missing_payload' end], lambda x: x is not null) as validation_errors from k),
+w as (select *, floor(event_us / 1000000)::bigint - epoch(started)::bigint as off, list_filter([case when event_type not in ("""
+    + ", ".join(map(repr, EVENT_TYPES))
+    + """) then 'unknown_event_type' end, case when floor(event_us / 1000000)::bigint - epoch(started)::bigint not between 0 and 3599 then 'outside_archive_hour' end,
+    case when org is not null and coalesce(try_cast(org as bigint), 0) <= 0 then 'invalid_optional_org_id' end], lambda x: x is not null) as quality_warnings from e),
+s as (select *, len(validation_errors) = 0 as good, row_number() over (partition by len(validation_errors) = 0, event_id order by started nulls last, source_filename, raw_record_sha256) as duplicate_rank from w)
+"""
+)
 
 
-@MORE.add("silver_normalize")
+@MORE.add("silver_normalize", _SETTLED_LINES + "select event_id, event_type, actor::bigint as actor_id, actor_login, repo::bigint as repo_id, repo_name, event_us, payload_action, try_cast(org as bigint) as org_id, source_filename, off as archive_hour_offset_seconds, raw_record_sha256, array_to_string(quality_warnings, ',') as warnings from s where good and duplicate_rank = 1")
 def silver_normalize(spark, folder):
-    return silver.split_and_deduplicate(normalized(spark, folder))[0]
+    clean = silver.split(lines(spark, folder))[0]
+    return clean.select("event_id", "event_type", "actor_id", "actor_login", "repo_id", "repo_name", F.unix_micros("event_time").alias("event_us"), "payload_action", "org_id", "source_filename", "archive_hour_offset_seconds", "raw_record_sha256", F.array_join("quality_warnings", ",").alias("warnings"))
+
+
+_READABLE_SQL = "case when validation_errors[1] = 'invalid_json_or_field_type' then validation_errors[1:1] else validation_errors end"
+
+
+def _readable():
+    return F.when(F.get("validation_errors", F.lit(0)) == "invalid_json_or_field_type", F.slice("validation_errors", 1, 1)).otherwise(F.col("validation_errors"))
+
+
+@MORE.add("silver_quarantine", _SETTLED_LINES + f"select raw_record_sha256, source_filename, array_to_string({_READABLE_SQL}, ',') as errors from s where not good")
+def silver_quarantine(spark, folder):
+    """What a line that is no record still shows of its fields depends on the parser, so only the first reason is compared."""
+    return silver.split(lines(spark, folder))[1].select("raw_record_sha256", "source_filename", F.array_join(_readable(), ",").alias("errors"))
 
 
-@MORE.add("silver_quarantine_reasons")
+@MORE.add("silver_quarantine_reasons", _SETTLED_LINES + f"select label, count(*) as n from (select unnest({_READABLE_SQL}) as label from s) group by 1")
 def silver_quarantine_reasons(spark, folder):
-    return silver.label_counts(normalized(spark, folder), "validation_errors")
+    return silver.label_counts(lines(spark, folder).withColumn("validation_errors", _readable()), "validation_errors")
 
 
-@MORE.add("silver_warning_counts")
+@MORE.add("silver_warning_counts", _SETTLED_LINES + "select label, count(*) as n from (select unnest(quality_warnings) as label from s where good) group by 1")
 def silver_warning_counts(spark, folder):
-    return silver.label_counts(normalized(spark, folder).where(F.size("validation_errors") == 0), "quality_warnings")
+    return silver.label_counts(lines(spark, folder).where("disposition <> 'quarantined'"), "quality_warnings")
 
 
-@MORE.add("silver_accounting")
+@MORE.add("silver_accounting", _SETTLED_LINES + "select count(*) as lines, count(*) filter (good and duplicate_rank = 1) as clean, count(*) filter (not good) as quarantined, count(*) filter (good and duplicate_rank > 1) as duplicates from s")
 def silver_accounting(spark, folder):
-    return silver.accounting(normalized(spark, folder))
+    return silver.accounting(lines(spark, folder))
+
+
+@MORE.add("silver_line_duplicates", _SETTLED_LINES + "select event_id, raw_record_sha256, source_filename, duplicate_rank from s where good and duplicate_rank > 1")
+def silver_line_duplicates(spark, folder):
+    return silver.split(lines(spark, folder))[2].select("event_id", "raw_record_sha256", "source_filename", "duplicate_rank")
+
+
+@MORE.add("silver_publish", _SETTLED_LINES + """, d as (select cast(make_timestamp(event_us) as date) as day, repo::bigint as repo_id from s where good and duplicate_rank = 1)
+select 'events' as dataset, (select count(*) from d) as rows union all select 'quarantine', (select count(*) from s where not good) union all select 'duplicates', (select count(*) from s where good and duplicate_rank > 1)
+union all select 'repository_daily_stats', (select count(*) from (select distinct day, repo_id from d))""")
+def silver_publish(spark, folder):
+    """Raw lines to a published Silver snapshot; rows of its tables as its manifest has them."""
+    place, _ = silver.publish(spark, table(spark, folder, "raw_lines"), scratch(spark, "silver"), {"lines": folder}, strict=True)
+    return spark.createDataFrame(list(snapshots.verify(spark, place)["rows"].items()), "dataset string, rows long")
 
 
 @MORE.add("silver_dedup", EV + "select event_id, source_filename, raw_record_sha256 from ev")
@@ -107,10 +168,9 @@ def silver_dedup(spark, folder):
 
 @MORE.add("silver_duplicates", "select event_id, raw_record_sha256, row_number() over (partition by event_id order by source_archive_start nulls last, source_filename, raw_record_sha256) as duplicate_rank from silver_events qualify duplicate_rank > 1")
 def silver_duplicates(spark, folder):
-    from pyspark.sql import Window as W
-
-    best = W.partitionBy("event_id").orderBy(F.col("source_archive_start").asc_nulls_last(), "source_filename", "raw_record_sha256")
-    return table(spark, folder, "silver_events").select("event_id", "raw_record_sha256", F.row_number().over(best).alias("duplicate_rank")).where("duplicate_rank > 1")
+    rows = table(spark, folder, "silver_events").select("event_id", "raw_record_sha256", "source_archive_start", "source_filename")
+    order = [F.coalesce("source_archive_start", F.lit("9999-12-31").cast("timestamp")), F.coalesce("source_filename", F.lit("")), F.coalesce("raw_record_sha256", F.lit(""))]
+    return rank_in_blocks(rows, ["event_id"], order, "duplicate_rank").where("duplicate_rank > 1").select("event_id", "raw_record_sha256", "duplicate_rank")
 
 
 _DAILY = {**{k: MEASURES[k] for k in ("push_events", "star_events", "fork_events", "pull_request_events", "pull_requests_opened", "issues_opened")}, "watch_events": "event_type = 'WatchEvent'", "issue_events": "event_type = 'IssuesEvent'"}

@@ -16,25 +16,49 @@ PIPELINE = Registry()
 # ---------------------------------------------------------------- p1: raw lines
 
 
-@PIPELINE.add("p1_found")
+_ID = lambda c: f"coalesce(regexp_full_match({c}, '[0-9]+') and try_cast(ltrim({c}, '0') as bigint) > 0, false)"
+_INSTANT = lambda c: f"coalesce(regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])') and try_strptime(left({c}, 19), '%Y-%m-%dT%H:%M:%S') is not null and left({c}, 4) <> '0000', false)"
+_MATCH = lambda c, pattern: f"coalesce(regexp_full_match({c}, '{pattern}'), false)"
+_REPO, _TYPE, _EVENT = r"[^\s\pZ/]+/[^\s\pZ/]+", "[A-Z][A-Za-z0-9]*Event", "[1-9][0-9]*"
+_FIELD = '("([^"]|"")*"|[^",]*)'
+_P1 = (
+    """with j as (select line_id, raw_json, case when json_valid(raw_json) and not regexp_matches(raw_json, ',\\s*[}\\]]|[:,\\[]\\s*-?(?i:nan|inf|infinity)\\s*[,}\\]]') then case when json_type(raw_json) = 'OBJECT' then raw_json::json end end as o from raw_lines),
+c as (select line_id, o is not null and """
+    + " and ".join(f"coalesce(json_type(o, '$.{x}'), 'NULL') in ('OBJECT', 'NULL')" for x in ("actor", "repo", "payload", "org"))
+    + """ and coalesce(json_type(o, '$.public'), 'NULL') in ('BOOLEAN', 'NULL') as record, o->>'$.id' as id, o->>'$.type' as type, o->>'$.actor.id' as actor, o->>'$.actor.login' as login,
+  o->>'$.repo.id' as repo, o->>'$.repo.name' as name, o->>'$.created_at' as t, o->>'$.public' as public, coalesce(json_type(o, '$.payload'), 'NULL') <> 'NULL' as payload from j),
+r as (select line_id, case when not record then 'invalid_json_or_field_type' when not """
+    + f"{_MATCH('id', _EVENT)} then 'invalid_event_id' when not {_MATCH('type', _TYPE)} then 'invalid_event_type' when not {_ID('actor')} then 'invalid_actor_id' "
+    + r"when not coalesce(regexp_matches(login, '[^\s\pZ]'), false) then 'missing_actor_login' "
+    + f"when not {_ID('repo')} then 'invalid_repo_id' when not {_MATCH('name', _REPO)} then 'invalid_repo_name' when not {_INSTANT('t')} then 'invalid_timestamp' when public is distinct from 'true' then 'not_public' when not payload then 'missing_payload' end as reason from c),\n"
+    + f"""q as (select line_id, raw_csv, coalesce(regexp_full_match(raw_csv, '(?s){_FIELD}(,{_FIELD})*'), false) as sound from raw_corpus_lines),
+f as (select line_id, sound, case when sound then list_transform(regexp_extract_all(',' || raw_csv, '(?s),("([^"]|"")*"|[^",]*)', 1), lambda x: case when left(x, 1) = '"' then replace(x[2:-2], '""', '"') else x end) end as v from q),
+g as (select line_id, case when not sound then 'broken_quoting' when len(v) <> 11 then 'wrong_column_count' when not ({_MATCH('v[1]', _EVENT)} and {_ID('v[2]')} and {_MATCH('v[3]', _REPO)} and {_ID('v[4]')} and {_MATCH('v[5]', _TYPE)}
+  and {_INSTANT('v[7]')} and {_INSTANT('v[8]')} and {_MATCH('v[10]', '[0-9]+')} and {_MATCH('v[11]', '[0-9a-f]{64}')}) then 'invalid_value' end as reason from f)
+"""
+)
+
+
+@PIPELINE.add("p1_found", _P1 + "select line_id, reason from r where reason is not null union all select line_id, reason from g where reason is not null")
 def p1_found(spark, folder):
     return raw_lines.first_reasons(table(spark, folder, "raw_lines"), "json").unionByName(raw_lines.first_reasons(table(spark, folder, "raw_corpus_lines"), "csv"))
 
 
-@PIPELINE.add("p1_events")
+@PIPELINE.add("p1_events", _P1 + "select c.line_id, c.id as event_id, c.type as event_type, c.actor::bigint as actor_id, c.repo::bigint as repo_id, c.name as repo_name, c.login as actor_login from c join r using (line_id) where r.reason is null")
 def p1_events(spark, folder):
-    return raw_lines.load_lines(table(spark, folder, "raw_lines"), "json")[0]
+    good = raw_lines.load_lines(table(spark, folder, "raw_lines"), "json")[0]
+    return good.select("line_id", "event_id", "event_type", "actor_id", "repo_id", "repo_name", "actor_login")
 
 
-@PIPELINE.add("p1_corpus_rows")
+@PIPELINE.add("p1_corpus_rows", _P1 + "select f.line_id, v[1] as event_id, v[2]::bigint as repo_id, v[3] as repo_name, v[4]::bigint as actor_id, v[5] as event_type, nullif(v[6], '') as payload_action, v[9] as source_filename, v[10]::bigint as source_row, v[11] as raw_record_sha256 from f join g using (line_id) where reason is null")
 def p1_corpus_rows(spark, folder):
-    return raw_lines.load_lines(table(spark, folder, "raw_corpus_lines"), "csv")[0]
+    return raw_lines.load_lines(table(spark, folder, "raw_corpus_lines"), "csv")[0].drop("event_time", "source_archive_start", "source_uri")
 
 
-@PIPELINE.add("p1_corrupt")
+@PIPELINE.add("p1_corrupt", _P1 + "select line_id, raw_json as _corrupt_record, source_uri, reason from r join raw_lines using (line_id) where reason is not null union all select line_id, raw_csv, source_uri, reason from g join raw_corpus_lines using (line_id) where reason is not null")
 def p1_corrupt(spark, folder):
     bad = [raw_lines.load_lines(table(spark, folder, t), kind)[1] for t, kind in (("raw_lines", "json"), ("raw_corpus_lines", "csv"))]
-    return bad[0].unionByName(bad[1])
+    return bad[0].unionByName(bad[1]).drop("errors")
 
 
 # ---------------------------------------------------------------- p2 and p7: the message stream

@@ -5,17 +5,32 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources import storage
 
+COUNTED = ("active_accounts", "active_repositories", "associated_repositories", "active_days", "code_participating_accounts", "language_bytes")
+SHARES = ("activity_score", "trend_score", "byte_share", "participation_ratio")
+
 
 class ContractBroken(RuntimeError):
     """A table does not meet its contract; nothing was published."""
 
 
+@dataclass(frozen=True)
+class Table:
+    """How a table of a snapshot is made and laid out.  ``key``: columns that identify a row; none if rows may repeat."""
+
+    rows: Callable[[], DataFrame]
+    key: Sequence[str] = ()
+    partition_by: Sequence[str] = ()
+    rows_per_file: int | None = None
+    files: int | None = None  # at most so many, by coalesce
+
+
 def recipe_id(recipe: dict) -> str:
     return hashlib.sha256(json.dumps(recipe, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:24]
 
@@ -27,44 +42,116 @@ def check_contract(df: DataFrame, key: Sequence[str]) -> None:
         c = F.col(name)
         if name in ("repo_id", "actor_id"):
             tests[f"{name} not positive"] = c <= 0
-        elif name.endswith("_events") or name in ("active_accounts", "active_repositories", "active_days", "code_participating_accounts", "language_bytes"):
+        elif name.endswith("_events") or name in COUNTED:
             tests[f"{name} negative"] = c < 0
-        elif name in ("activity_score", "trend_score", "byte_share", "participation_ratio"):
+        elif name in SHARES:
             tests[f"{name} outside [0, 1]"] = F.isnan(c) | ~c.between(0, 1.00000001)
         elif kind.startswith(("struct", "map")):
             raise ContractBroken(f"{name} has the unsupported type {kind}")
-    row = df.agg(*[F.count_if(t).alias(n) for n, t in tests.items()]).first()
-    broken = [n for n, v in row.asDict().items() if v]
-    if not df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    broken = []
+    if tests:
+        broken = [n for n, v in df.agg(*[F.count_if(t).alias(n) for n, t in tests.items()]).first().asDict().items() if v]
+    if key and not df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         broken.append("the key is not unique")
     if broken:
         raise ContractBroken("; ".join(broken))
 
 
-def publish(spark: SparkSession, root: str, recipe: dict, tables: dict[str, tuple[Callable[[], DataFrame], Sequence[str]]]) -> tuple[str, bool]:
-    """(folder, reused).  Tables are built only if the recipe was not published before."""
+def sums(df: DataFrame) -> dict[str, float]:
+    """Rows and the sum of every numeric column, the numbers a load is compared by."""
+    numeric = [n for n, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint")]
+    row = df.agg(F.count("*").alias("rows"), *[F.sum(F.col(n).cast("double")).alias(n) for n in numeric]).first()
+    return {k: float(v or 0) for k, v in row.asDict().items()}
+
+
+def sums_differ(a: dict[str, float], b: dict[str, float], relative: float = 1e-9, absolute: float = 1e-6) -> list[str]:
+    """Names whose sums differ by more than the tolerance; a name on one side only differs."""
+    near = lambda x, y: abs(x - y) <= max(absolute, relative * max(abs(x), abs(y)))
+    return sorted(n for n in a.keys() | b.keys() if n not in a or n not in b or not near(a[n], b[n]))
+
+
+def inventory(spark: SparkSession, place: str) -> list[dict]:
+    """Path, bytes and sha256 of every data file of a folder, hashed by the executors."""
+    root = storage.qualified(spark, place).rstrip("/")
+    if not storage.folders(spark, place):
+        return []
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(place).select("path", "length", F.sha2("content", 256).alias("h"))
+    return sorted(({"path": r["path"][len(root) + 1 :], "bytes": r["length"], "sha256": r["h"]} for r in files.collect()), key=lambda f: f["path"])
+
+
+def publish(spark: SparkSession, root: str, recipe: dict, tables: dict[str, Table], check: Callable[[dict[str, DataFrame]], dict] | None = None, quota_bytes: int | None = None) -> tuple[str, bool]:
+    """(folder, reused).  Tables are built only if the recipe was not published before.
+
+    ``check`` sees the tables as read back and returns facts for the manifest, or raises.  The manifest holds the recipe,
+    the rows of every table, these facts and the inventory of files.  Beyond ``quota_bytes`` nothing is published.
+    """
     name = recipe_id(recipe)
     final, staged = f"{root}/snapshots/{name}", f"{root}/staged/{name}"
     if storage.exists(spark, final):
+        verify(spark, final)
+        _point(spark, root, name)
         return final, True
     storage.delete(spark, staged)
     try:
-        for table, (build, key) in tables.items():
-            df = build()
-            df.write.parquet(f"{staged}/{table}")
-            back = spark.read.parquet(f"{staged}/{table}")
-            if [(n, t) for n, t in back.dtypes] != [(n, t) for n, t in df.dtypes]:
+        back = {}
+        for table, t in tables.items():
+            df = t.rows()
+            out = df if t.files is None else df.coalesce(t.files)
+            writer = out.write.option("compression", "snappy")
+            if t.rows_per_file:
+                writer = writer.option("maxRecordsPerFile", t.rows_per_file)
+            (writer.partitionBy(*t.partition_by) if t.partition_by else writer).parquet(f"{staged}/{table}")
+            back[table] = spark.read.parquet(f"{staged}/{table}") if storage.folders(spark, f"{staged}/{table}") else spark.createDataFrame([], df.schema)
+            if sorted(back[table].dtypes) != sorted(df.dtypes):
                 raise ContractBroken(f"{table} reads back with other columns")
-            check_contract(back, key)
+            check_contract(back[table], t.key)
+        facts = check(back) if check else {}
+        files = inventory(spark, staged)
+        size = sum(f["bytes"] for f in files)
+        if quota_bytes is not None and size > quota_bytes:
+            raise ContractBroken(f"the snapshot takes {size} bytes, more than its quota of {quota_bytes}")
+        rows = {t: df.count() for t, df in back.items()}
+        storage.write_text(spark, f"{staged}/manifest.json", json.dumps({"recipe": recipe, "rows": rows, "facts": facts, "files": files}, sort_keys=True, default=str))
     except Exception:
         storage.delete(spark, staged)
         raise
     storage.rename(spark, staged, final)
-    number = len(storage.children(spark, f"{root}/pointers"))
-    storage.mark(spark, f"{root}/pointers/{number:08d}-{name}")
+    _point(spark, root, name)
     return final, False
 
 
+def manifest(spark: SparkSession, place: str) -> dict:
+    return json.loads(spark.read.option("wholetext", "true").text(f"{place}/manifest.json").first()[0])
+
+
+def verify(spark: SparkSession, place: str) -> dict:
+    """The manifest, if the files are those it lists and the recipe is that of the folder's name."""
+    m = manifest(spark, place)
+    if recipe_id(m["recipe"]) != place.rstrip("/").rsplit("/", 1)[1]:
+        raise ContractBroken("the recipe is not that of the snapshot's name")
+    if [f for f in inventory(spark, place) if f["path"] != "manifest.json"] != m["files"]:
+        raise ContractBroken("the files are not those of the inventory")
+    return m
+
+
+def _point(spark: SparkSession, root: str, name: str) -> None:
+    """Make a snapshot the current one; the number of a pointer is claimed exclusively."""
+    number = len(storage.children(spark, f"{root}/pointers"))
+    last = storage.children(spark, f"{root}/pointers")[-1:]
+    if last and last[0].split("-", 1)[1] == name:
+        return
+    if not storage.claim(spark, f"{root}/pointers/{number:08d}-{name}"):
+        raise ContractBroken("another publication came first")
+
+
 def current(spark: SparkSession, root: str) -> str | None:
     names = storage.children(spark, f"{root}/pointers")
     return f"{root}/snapshots/{names[-1].split('-', 1)[1]}" if names else None
+
+
+def views(spark: SparkSession, place: str) -> list[str]:
+    """Temporary views over the tables of a snapshot, for parameterized SQL."""
+    names = [n for n in storage.children(spark, place) if n != "manifest.json"]
+    for n in names:
+        spark.read.parquet(f"{place}/{n}").createOrReplaceTempView(n)
+    return names
