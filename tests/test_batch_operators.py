@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import activity, explore, feature_table, heavy_results, language, learn, serving, skew, small_files
+from tidemark.operators import activity, explore, feature_table, gold, heavy_results, language, learn, serving, skew, small_files
 from tidemark.sources import readers, snapshots, storage
 
 EVENTS = "event_id string, event_type string, payload_action string, actor_id long, actor_login string, repo_id long, repo_name string, event_time timestamp, event_date date, event_hour int, source_archive_start timestamp, source_filename string, raw_record_sha256 string, file_id long, register int, n int"
@@ -243,6 +243,23 @@ def test_snapshots_are_reused_checked_and_switched(spark, tmp_path):
     assert snapshots.current(spark, root) == place and storage.children(spark, f"{root}/staged") == []
 
 
+def test_gold_is_published_only_if_events_are_conserved(spark, events, tmp_path):
+    once = activity.clean(events.where("event_id is not null and repo_id is not null and actor_id is not null"))
+    window = activity.Window(datetime(2026, 1, 5), 336)
+    entries = [{"repo_id": 1, "status": "ok", "primary_language": "Go", "language_bytes": {"Go": 10, "C": 30}, "topics": ["llm"]}, {"repo_id": 2, "status": "not_found"}]
+    meta = language.metadata_frame(spark, entries)
+    root = f"file://{tmp_path}/gold"
+    place, _ = gold.publish(spark, once, window, meta, root, {"silver": "a"})
+    m = snapshots.verify(spark, place)
+    assert len(m["rows"]) == 15 and m["facts"]["events"] == once.count() == m["facts"]["in_window"]
+    assert gold.publish(spark, once, window, meta, root, {"silver": "a"}) == (place, True)
+    with pytest.raises(snapshots.ContractBroken):
+        gold.publish(spark, once.unionByName(once.limit(1).withColumn("repo_id", F.lit(None).cast("long"))), window, meta, root, {"silver": "b"})
+    storage.delete(spark, f"{place}/activity_calendar")
+    with pytest.raises(snapshots.ContractBroken):
+        snapshots.verify(spark, place)
+
+
 def test_readers(spark, events, tmp_path):
     hours = readers.hour_range(datetime(2026, 1, 5), datetime(2026, 1, 5, 3))
     assert len(hours) == 4

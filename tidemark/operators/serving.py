@@ -7,6 +7,7 @@ from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.model import is_star, is_type
@@ -125,3 +126,16 @@ def recent_accounts(events: DataFrame, minutes: int = 10, limit: int = 20) -> Da
     timed = events.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").where(F.col("_top") - F.unix_micros("event_time") < span)
     out = timed.groupBy("actor_id").agg(F.count("*").alias("recent_events"), F.max(F.unix_micros("event_time")).alias("last_us"), F.max_by("actor_login", F.struct("event_time", "event_id")).alias("actor_login"))
     return out.orderBy(F.desc("recent_events"), "actor_id").limit(limit)
+
+
+def placed(rows: DataFrame, order: Sequence[str | Column], limit: int | None = None) -> DataFrame:
+    """Rows in order with their place from 1.  For results that are small by nature or limited: the rows kept are numbered
+    in one task."""
+    some = rows.orderBy(*order) if limit is None else rows.orderBy(*order).limit(checked_limit(limit))
+    return some.withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def latest_runs(runs: DataFrame, time: str, name: str, limit: int = 25, status_order: Sequence[str] = ()) -> DataFrame:
+    """The newest runs or batches; those of the statuses in ``status_order`` first, in that order."""
+    first = [F.coalesce(*[F.when(F.col("status") == x, i) for i, x in enumerate(status_order)], F.lit(len(status_order)))] if status_order else []
+    return placed(runs, [*first, F.col(time).desc(), name], limit)

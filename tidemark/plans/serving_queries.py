@@ -12,10 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import activity as ac
+from tidemark.operators import gold
 from tidemark.operators import language as la
 from tidemark.operators import serving as sv
 from tidemark.plans.activity_queries import BUNDLE, END, EV, LATEST, MEASURES, REPOS, WINDOW, events, repos, rounded
 from tidemark.plans.registry import Registry
+from tidemark.session import materialize, scratch
+from tidemark.sources import snapshots
 
 SERVING = Registry()
 
@@ -26,7 +29,7 @@ def metadata(ev):
     m = top.withColumn("r", r)
     pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("r") % len(xs)).cast("int") + 1)
     primary = F.when(F.col("r") % 8 != 5, pick("Python", "Rust", "Go"))
-    return m.select(
+    rows = m.select(
         "repo_id",
         F.when(F.col("r") % 10 == 7, "not_found").when(F.col("r") == 20, "identity_mismatch").otherwise("ok").alias("status"),
         primary.alias("primary_language"),
@@ -35,6 +38,7 @@ def metadata(ev):
         F.when(F.col("r") % 5 == 0, "A Data Pipeline for all").when(F.col("r") % 5 == 1, "Mobile app").when(F.col("r") % 5 == 2, "biosphere").alias("description"),
         F.timestamp_seconds(F.lit(1_768_780_800) - (F.col("r") - 3) * 43_200).alias("created_at"),
     )
+    return materialize(rows, "metadata")
 
 
 META = """, top40 as (select repo_id, row_number() over (order by count(*) desc, repo_id) as r from ev group by repo_id qualify r <= 40),
@@ -236,3 +240,67 @@ def recent_repo_spikes(spark, folder):
 @SERVING.add("recent_accounts", _RECENT + "select actor_id, count(*) as recent_events, epoch_us(max(event_time)) as last_us, arg_max(actor_login, (event_time, event_id)) as actor_login from t where age < 3600000000 group by 1 order by 2 desc, 1 limit 20")
 def recent_accounts(spark, folder):
     return sv.recent_accounts(events(spark, folder), minutes=60)
+
+
+# ---------------------------------------------------------------- the Gold snapshot
+
+_GOLD = {
+    "repository_metrics": ("select repo_id from ev group by 1", True),
+    "repository_daily": ("select event_date, repo_id from ev group by 1, 2", True),
+    "repository_hourly": ("select event_date, event_hour, repo_id from ev group by 1, 2, 3", True),
+    "account_metrics": ("select actor_id from ev group by 1", True),
+    "account_daily": ("select actor_id, event_date from ev group by 1, 2", True),
+    "account_hourly": ("select actor_id, event_date, event_hour from ev group by 1, 2, 3", True),
+    "activity_calendar": ("select event_date from ev group by 1", True),
+    "hourly_activity": ("select i from range(336) t(i)", False),
+    "participation_edges_sample": ("select * from (select repo_id, actor_id, row_number() over (partition by repo_id order by count(*) desc, actor_id) as k from ev where repo_id in (select repo_id from ev group by 1 order by count(*) filter (" + MEASURES["star_events"] + ") desc, repo_id limit 20) group by 1, 2) where k <= 50", False),
+    "repository_metadata": ("select repo_id from meta", False),
+    "repository_language_shares": ("select * from shares", False),
+    "language_primary_daily": ("select distinct event_date, coalesce(l.primary_language, ''), coalesce(l.enrichment_status, '') from ev left join labels l using (repo_id)", True),
+    "language_weighted_daily": ("select distinct event_date, coalesce(language, '') from days left join shares using (repo_id)", False),
+    "technology_daily": ("select distinct event_date, unnest(coalesce(c, [''])) from days left join cats using (repo_id)", False),
+    "language_intraday_growth": ("select distinct coalesce(l.primary_language, ''), coalesce(l.enrichment_status, '') from ev left join labels l using (repo_id)", False),
+}
+
+
+@SERVING.add("gold_publish", EV + META + " union all ".join(f"select '{t}' as dataset, (select count(*) from ({q})) as rows, {'(select count(*) from ev)' if c else 'null'} as conserved_events" for t, (q, c) in _GOLD.items()))
+def gold_publish(spark, folder):
+    """All Gold tables published together; their rows, and the events of those that conserve them, from the manifest."""
+    ev = events(spark, folder)
+    place, _ = gold.publish(spark, ev, WINDOW, metadata(ev), scratch(spark, "gold"), {"silver": folder})
+    m = snapshots.verify(spark, place)
+    rows = [(t, n, m["facts"]["events"] if t in gold.CONSERVING else None) for t, n in m["rows"].items()]
+    return spark.createDataFrame(rows, "dataset string, rows long, conserved_events long")
+
+
+# ---------------------------------------------------------------- lists in the order a reader wants them
+
+
+@SERVING.add("calendar_ordered", EV + "select event_date, row_number() over (order by event_date) as place, count(*) as total_events from ev group by 1")
+def calendar_ordered(spark, folder):
+    """The calendar in order of its dates; the place of each is part of the result."""
+    return sv.placed(ac.calendar(events(spark, folder)), ["event_date"]).select("event_date", "place", "total_events")
+
+
+@SERVING.add("language_growth_ordered", _META_AFTER_REPOS + "select primary_language, enrichment_status, current_attention, row_number() over (order by current_attention desc, primary_language, enrichment_status) as place from (select coalesce(l.primary_language, 'Not enriched') as primary_language, coalesce(l.enrichment_status, 'not_selected') as enrichment_status, sum(current_attention)::bigint as current_attention from repos left join labels l using (repo_id) group by 1, 2)")
+def language_growth_ordered(spark, folder):
+    """Languages by current attention, greatest first."""
+    rows = la.language_growth(repos(spark, folder), metadata(events(spark, folder)))
+    return sv.placed(rows, [F.desc("current_attention"), "primary_language", "enrichment_status"]).select("primary_language", "enrichment_status", "current_attention", "place")
+
+
+@SERVING.add("stream_runs_latest", "select stream_id, status, place from (select *, row_number() over (order by case when status = 'complete' then 0 else 1 end, start_utc desc, stream_id) as place from stream_runs) where place <= 25")
+def stream_runs_latest(spark, folder):
+    """The latest runs, complete ones first."""
+    from tidemark.sources.tables import table
+
+    return sv.latest_runs(table(spark, folder, "stream_runs"), "start_utc", "stream_id", status_order=("complete",)).select("stream_id", "status", "place")
+
+
+@SERVING.add("stream_batches_latest", "select stream_id, batch_id, messages, place from (select stream_id, batch_id, count(*) as messages, row_number() over (order by batch_id desc, stream_id) as place from stream_messages group by 1, 2) where place <= 25")
+def stream_batches_latest(spark, folder):
+    """The latest batches with their messages."""
+    from tidemark.sources.tables import table
+
+    batches = table(spark, folder, "stream_messages").groupBy("stream_id", "batch_id").agg(F.count("*").alias("messages"))
+    return sv.latest_runs(batches, "batch_id", "stream_id").select("stream_id", "batch_id", "messages", "place")
