@@ -249,5 +249,65 @@ def test_the_commit_queries_replay_several_micro_batches(spark):
     assert len(book.receipts) > 1 and sum(r["late"] for r in book.receipts) > 0
 
 
+def test_the_contract_of_a_stream_is_kept(spark, at, tmp_path):
+    row = ("s", "t", 0, 1, 1, "1", at(0), "PushEvent", None, 5, "o/r", 1, "x", "h")
+    df = lambda *rows: spark.createDataFrame([r + (True, "snap", 0) for r in rows], ledger.MESSAGE + ", public boolean, source_snapshot string, minute_us long").withColumn("minute_us", F.unix_micros(F.date_trunc("minute", "event_time")))
+    change = lambda **k: tuple(k.get(n, v) for n, v in zip(ledger.columns(ledger.MESSAGE), row, strict=True))
+    book = ledger.Ledger(spark, f"file://{tmp_path}/ledger", require_contract=True, max_rows=20)
+    with pytest.raises(ledger.NotRegistered):
+        book.commit(df(row), 0)
+    book.register("s", "t", "snap", at(0), at(60), 2)
+    book.register_all(spark.createDataFrame([("s2", "t2", "other", at(0), at(60), 1)], ledger.CONTRACT))
+    with pytest.raises(ledger.NotRegistered):
+        book.commit(df(change(topic="t2")), 0)
+    good = df(row, change(offset_id=2, delivery_id=2, event_id="2", event_time=at(59)))
+    bad = [df(change(offset_id=i, delivery_id=i, event_id=str(i), **k)) for i, k in enumerate([{"event_time": at(60)}, {"event_time": at(-1)}, {"stream_id": "s2", "topic": "t2"}], 3)]
+    bad += [df(change(offset_id=6, delivery_id=6, event_id="6")).withColumn("public", F.lit(None).cast("boolean")), df(change(offset_id=7, delivery_id=7, event_id="7")).withColumn("minute_us", F.lit(5).cast("long"))]
+    whole = good
+    for b in bad:
+        whole = whole.unionByName(b)
+    receipt = book.commit(whole, 0)
+    assert (receipt["accepted"], receipt["invalid"]) == (2, 5)
+    assert (book.status("s"), book.status("s2")) == ("complete", "awaiting_replay")
+    with pytest.raises(ValueError, match="bound"):
+        book.commit(whole.unionByName(whole).unionByName(whole), 1)
+    with pytest.raises(ValueError, match="named twice"):
+        book.register_all(spark.createDataFrame([("s2", "t2", "other", at(0), at(60), 1)], ledger.CONTRACT))
+
+
+def test_old_receipts_and_offsets_of_other_parts(spark, at, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "RECENT", 1)
+    book = ledger.Ledger(spark, f"file://{tmp_path}/ledger")
+    batch = lambda i: spark.createDataFrame([("s", "t", 0, i, i, str(i), at(i), "PushEvent", None, 5, "o/r", 1, "x", f"h{i}")], ledger.MESSAGE)
+    for i in (1, 2, 3):
+        book.commit(batch(i), i)
+    m = book.manifest()
+    assert len(m["batches"]) == 1 and book.commit(batch(1), 9)["reused"]
+    assert book.overlapping(m, [{"topic": "t", "partition_id": 0, "first_offset": 4, "end_offset": 9}]) is None
+    assert book.overlapping(m, [{"topic": "t", "partition_id": 0, "first_offset": 2, "end_offset": 3}]).count() == 1
+    other = ledger.Ledger(spark, f"file://{tmp_path}/ledger")
+    stale = other.manifest()
+    book.commit(batch(4), 4)
+    stale["version"] += 1
+    with pytest.raises(FileExistsError):
+        other._publish(stale)
+
+
+def test_a_consumer_pins_its_checkpoint_and_tells_progress(spark, at, tmp_path):
+    root = f"file://{tmp_path}"
+    messages = spark.createDataFrame([(r[1], r[2], r[3], r[4], r[0], r[6], r[7], r[8], r[9], r[10], r[11], r[12], r[13], r[15]) for part in stream_rows(at) for r in part], ledger.MESSAGE)
+    waits = []
+    assert ledger.drop_messages(messages, f"{root}/in", rate=2, pause=waits.append) == 4 and waits == [1.0] * 3
+    with pytest.raises(ValueError):
+        ledger.drop_messages(messages, f"{root}/in", rate=0)
+    book = ledger.Ledger(spark, f"{root}/ledger")
+    contract = {"stream_id": "s", "topic": "t", "source_snapshot": "snap"}
+    book.run(ledger.file_source(spark, f"{root}/in", 2), f"{root}/checkpoint", contract, interval="1 second", duration=12)
+    assert len(book.receipts) == 2 and book.progress and sum(p["numInputRows"] for p in book.progress) >= 7
+    assert book.run(ledger.file_source(spark, f"{root}/in", 2), f"{root}/checkpoint", contract) == []
+    with pytest.raises(ValueError, match="another source"):
+        book.run(ledger.file_source(spark, f"{root}/in"), f"{root}/checkpoint", {**contract, "topic": "u"})
+
+
 def test_times_are_utc(at):
     assert at(1) - at(0) == timedelta(minutes=1)

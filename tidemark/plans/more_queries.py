@@ -323,6 +323,7 @@ def stream_first_message(spark, folder):
 
 _COMMITS = (
     _LEDGER.replace("order by delivery_id", "order by batch_id, delivery_id").replace("order by topic,", "order by batch_id, topic,")
+    .replace("or event_time is null) as bad from spot)", "or event_time is null or event_time < start_utc or event_time >= end_utc) as bad from spot left join (select stream_id, start_utc, end_utc from stream_runs) using (stream_id))")
     + """, seen as (select stream_id, batch_id, max(max(event_time)) over (partition by stream_id order by batch_id rows between unbounded preceding and 1 preceding) as seen from kept group by 1, 2),
 runs as (select stream_id, max(late_after_seconds) as late_after, max(cutoff_seconds) as cutoff from stream_runs group by 1),
 judged as (select k.*, coalesce(k.event_time < s.seen - to_seconds(r.late_after), false) as late, coalesce(k.event_time < s.seen, false) as out_of_order, coalesce(k.event_time < s.seen - to_seconds(r.cutoff), false) as dropped
@@ -334,7 +335,9 @@ judged as (select k.*, coalesce(k.event_time < s.seen - to_seconds(r.late_after)
 def replayed_commits(spark, folder, batches: int = 4) -> ledger.Ledger:
     """The message table replayed in commit order: one micro-batch per range of batch_id, under each run's limits."""
     root = scratch(spark, "ledger")
-    out = ledger.Ledger(spark, root, limits=table(spark, folder, "stream_runs"), by_commit=True)
+    runs = table(spark, folder, "stream_runs")
+    out = ledger.Ledger(spark, root, limits=runs, by_commit=True, require_contract=True)
+    out.register_all(runs)
     source = table(spark, folder, "stream_messages").select(*ledger.columns(ledger.COMMITTED))
     bounds = sorted(set(source.approxQuantile("batch_id", [i / batches for i in range(1, batches)], 0.001)))
     place = sum((F.coalesce(F.col("batch_id") > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
