@@ -2,6 +2,7 @@
 
 import random
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,12 +222,26 @@ def test_labels_do_not_leak_and_the_threshold_is_a_value(spark):
     rows = [("train", d) for d in [1] * 8 + [9, 50]] + [("test", 99), ("train", -3)]
     df = spark.createDataFrame(rows, "split string, star_delta long")
     assert learn.growth_threshold(df).first().threshold == 9
+    assert learn.growth_threshold(df.where("star_delta < 0")).first().threshold is None
+    wide = spark.range(5000).selectExpr("id * 7919 % 100003 - 50000 as v", "id % 3 + 1 as n")
+    ordered = sorted(v for r in wide.collect() for v in [r.v] * r.n)
+    for q in (0.5, 0.9, 1.0):
+        assert learn.exact_quantile(wide, "v", "n", q) == ordered[-(-int(len(ordered) * q * 1000) // 1000) - 1]
     events = spark.createDataFrame(make_events(1500, 8), EVENTS).where("event_id is not null")
     h = learn.Horizon(datetime(2026, 1, 5), days=2, first_days=1, min_future=1)
     made = learn.labelled(learn.examples(learn.period_features(activity.clean(events), h), h), 1, h)
     assert learn.leaks(made, h).isEmpty()
     assert made.where("split = 'forecast' and label is not null").isEmpty()
     assert not made.where("split = 'test' and future_stars = 0").isEmpty()
+    assert set(learn.check_splits(made, h)) == {"train", "validation", "test", "forecast"}
+    for broken in (made.where("split <> 'test'"), made.withColumn("label", F.when(F.col("split") != "forecast", 1.0)), made.withColumn("as_of_seconds", F.col("as_of_seconds") + F.when(F.col("split") == "train", 86400).otherwise(0)), made.withColumn("label", F.lit(1.0) * (F.col("repo_id") % 2))):
+        with pytest.raises(ValueError):
+            learn.check_splits(broken, h)
+    with pytest.raises(ValueError):
+        learn.labelled(made.drop("label"), None, h)
+    by = {(r.period, r.repo_id): r.star_events for r in learn.period_features(activity.clean(events), h).collect()}
+    for r in made.where("split <> 'forecast'").collect():
+        assert r.future_stars == by.get((r.period + 1, r.repo_id), 0)
 
 
 def test_snapshots_are_reused_checked_and_switched(spark, tmp_path):
@@ -282,9 +297,19 @@ def test_exploration(spark, events):
     assert explore.overview(events.limit(0)).first().duplicate_event_ids == 0
 
 
-def test_model_queries_choose_among_all_models(spark):
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the driver's test data")
+def test_model_queries_choose_among_all_models_and_publish(spark, tmp_path):
     from tidemark.plans import more_queries
 
-    _, (best, _, found) = more_queries._fitted(spark, "/root/testdata/sf0.001")
+    rows, best, found, scored = more_queries._fitted(spark, "/root/testdata/sf0.01")
     assert set(found) == set(learn.classifiers())
     assert found[best]["pr_auc"] == max(m["pr_auc"] for m in found.values())
+    root = f"file://{tmp_path}/models"
+    place, reused = learn.publish_model(spark, root, {"v": 1}, best, found, rows, scored, more_queries.HORIZON)
+    m = snapshots.verify(spark, place)
+    assert not reused and m["facts"]["selected"] == best and m["rows"]["predictions"] == m["rows"]["forecast_context"] > 0 and m["rows"]["heldout_predictions"] > 0
+    assert snapshots.current(spark, root) == place
+    with pytest.raises(snapshots.ContractBroken):
+        learn.publish_model(spark, root, {"v": 2}, best, found, rows.where("repo_id % 2 = 0"), scored, more_queries.HORIZON)
+    with pytest.raises(snapshots.ContractBroken):
+        learn.publish_model(spark, root, {"v": 3}, best, found, rows, scored.withColumn("score", F.lit(1.5)), more_queries.HORIZON)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import send_by_value
+
+from tidemark.session import materialize, send_by_value
 
 FIELDS = ["id", "type", "actor.id", "actor.login", "repo.id", "repo.name", "created_at", "public", "payload"]
 
@@ -128,3 +129,13 @@ def read_stats(lines: DataFrame, text: str = "raw_json", max_bytes: int = 8 << 2
 
 
 send_by_value(__name__)
+
+
+def delays(rows: DataFrame, begun: str, done: str) -> DataFrame:
+    """One row: mean, 95th percentile (a delay that occurs) and greatest delay in seconds, from a histogram of whole seconds."""
+    from tidemark.operators.learn import exact_quantile
+
+    d = rows.select((F.unix_seconds(done) - F.unix_seconds(begun)).alias("d")).where(F.col("d").isNotNull())
+    histogram = materialize(d.groupBy("d").agg(F.count("*").alias("n")), "delays")
+    p95 = exact_quantile(histogram, "d", "n", 0.95)
+    return histogram.agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean_seconds"), F.lit(None if p95 is None else float(p95)).cast("double").alias("p95_seconds"), F.max("d").cast("double").alias("max_seconds"))

@@ -13,7 +13,7 @@ from tidemark.operators import raw_lines, silver
 from tidemark.operators.skew import rank_in_blocks
 from tidemark.plans.activity_queries import EV, MEASURES, events, rounded
 from tidemark.plans.registry import Registry
-from tidemark.session import scratch
+from tidemark.session import materialize, scratch
 from tidemark.sources import readers, snapshots, storage
 from tidemark.sources.tables import table
 from tidemark.streaming import ledger
@@ -263,8 +263,7 @@ def eda_sample(spark, folder):
 
 @MORE.add("delay_stats", "select avg(d)::double as mean_seconds, quantile_disc(d, 0.95)::double as p95_seconds, max(d)::double as max_seconds from (select epoch(received_at)::bigint - epoch(event_time)::bigint as d from (select date_trunc('second', received_at) as received_at, date_trunc('second', event_time) as event_time from stream_messages where disposition is distinct from 'invalid'))".replace("avg(d)::double", "round(avg(d), 6)::double"))
 def delay_stats(spark, folder):
-    d = table(spark, folder, "stream_messages").where(~F.col("disposition").eqNullSafe(F.lit("invalid"))).select((F.unix_seconds("received_at") - F.unix_seconds("event_time")).alias("d"))
-    return rounded(d.agg(F.avg("d").alias("mean_seconds"), F.expr("percentile_disc(0.95) within group (order by d)").cast("double").alias("p95_seconds"), F.max("d").cast("double").alias("max_seconds")), "mean_seconds")
+    return rounded(ex.delays(table(spark, folder, "stream_messages").where(~F.col("disposition").eqNullSafe(F.lit("invalid"))), "event_time", "received_at"), "mean_seconds")
 
 
 @MORE.add("load_audit", EV + "select count(*) as rows, sum(repo_id)::double as repo_sum, sum(event_hour)::bigint as hour_sum from ev")
@@ -385,35 +384,34 @@ def replay_order(spark, folder):
     return hour.select("event_id", F.row_number().over(W.partitionBy("event_date", "event_hour").orderBy("event_time", "event_id")).alias("place"), "event_date", "event_hour").select("event_id", "place")
 
 
-# ---------------------------------------------------------------- models: six periods of two days
+# ---------------------------------------------------------------- models: seven periods of two days, all 14 days of the data
 
-HORIZON = le.Horizon(datetime(2026, 1, 5), days=2, first_days=1, min_events=5, min_future=2)
+HORIZON = le.Horizon(datetime(2026, 1, 5), days=2, first_days=1, min_events=5, min_future=2, splits=(("train", 0, 3), ("validation", 4, 4), ("test", 5, 5), ("forecast", 6, 6)))
 _P = "floor((epoch(date_trunc('second', source_archive_start))::bigint - 1767571200) / 172800)::int"
 _FEATURES = EV + f""", framed as (select *, {_P} as period from ev),
 inside as (select *, floor((epoch(source_archive_start)::bigint - (1767571200 + period * 172800)) / 86400) as d from framed where epoch_us(event_time) >= (1767571200 + period * 172800) * 1000000::bigint and epoch_us(event_time) < (1767571200 + (period + 1) * 172800) * 1000000::bigint),
 features as (select period, repo_id, count(*) as total_events, {', '.join(f'count(*) filter ({MEASURES[m]}) as {m}' for m in ('star_events', 'fork_events', 'push_events', 'pull_requests_opened', 'issues_opened'))},
   count(*) filter ({MEASURES['star_events']} and d < 1) as stars_first, count(*) filter ({MEASURES['star_events']} and d >= 1) as stars_last, count(distinct actor_id) as active_accounts,
   count(distinct actor_id) filter (event_type = 'PushEvent' or event_type = 'PullRequestEvent' and payload_action = 'opened') as code_accounts, count(distinct event_date) as active_days, 1767571200 + (period + 1) * 172800 as as_of_seconds from inside group by 1, 2),
-ex as (select f.*, case when f.period <= 2 then 'train' when f.period = 3 then 'validation' when f.period = 4 then 'test' else 'forecast' end as split,
-  case when f.period < 5 then coalesce(n.star_events, 0) end as future_stars, case when f.period < 5 then coalesce(n.star_events, 0) end - f.star_events as star_delta
-  from features f left join features n on n.repo_id = f.repo_id and n.period = f.period + 1 where f.total_events >= 5 and f.period between 0 and 5),
-th as (select greatest(1, quantile_disc(star_delta, 0.9)) as t from ex where split = 'train' and star_delta > 0),
+ex as (select f.*, case when f.period <= 3 then 'train' when f.period = 4 then 'validation' when f.period = 5 then 'test' else 'forecast' end as split,
+  case when f.period < 6 then coalesce(n.star_events, 0) end as future_stars, case when f.period < 6 then coalesce(n.star_events, 0) end - f.star_events as star_delta
+  from features f left join features n on n.repo_id = f.repo_id and n.period = f.period + 1 where f.total_events >= 5 and f.period between 0 and 6),
+th as (select case when count(*) > 0 then greatest(1, quantile_disc(star_delta, 0.9)) end as t from ex where split = 'train' and star_delta > 0),
 lab as (select ex.*, case when split <> 'forecast' then (future_stars >= 2 and star_delta >= t)::int::double end as label from ex, th),
 sc as (select *, star_events / (star_events + 1.0) as score from lab where split = 'validation')
 """
 _COLUMNS = ["period", "repo_id", "total_events", "star_events", "fork_events", "push_events", "pull_requests_opened", "issues_opened", "stars_first", "stars_last", "active_accounts", "code_accounts", "active_days"]
 
 
-@MORE.add("weekly_features", _FEATURES + f"select {', '.join(_COLUMNS)}, round((stars_last / 1 + 1) / (stars_first / 1 + 1), 6) as star_growth_rate, round(ln(1 + total_events), 6) as log_total_events from features")
+@MORE.add("weekly_features", _FEATURES + f"select {', '.join(_COLUMNS)}, round((stars_last / 1 + 1) / (stars_first / 1 + 1), 6) as star_growth_rate, {', '.join(f'round(ln(1 + {c}), 6) as log_{c}' for c in le.COUNTS)} from features")
 def weekly_features(spark, folder):
-    out = le.period_features(events(spark, folder), HORIZON).select(*_COLUMNS, "star_growth_rate", "log_total_events")
-    return rounded(out, "star_growth_rate", "log_total_events")
+    made = ["star_growth_rate", *[f"log_{c}" for c in le.COUNTS]]
+    return rounded(le.period_features(events(spark, folder), HORIZON).select(*_COLUMNS, *made), *made)
 
 
 def labelled(spark, folder):
-    ex_ = le.examples(le.period_features(events(spark, folder), HORIZON), HORIZON)
-    threshold = le.growth_threshold(ex_).first()["threshold"]
-    return le.labelled(ex_, threshold if threshold is not None else 1, HORIZON)
+    ex_ = materialize(le.examples(le.period_features(events(spark, folder), HORIZON), HORIZON), "examples")
+    return le.labelled(ex_, le.growth_threshold(ex_).first()["threshold"], HORIZON)
 
 
 @MORE.add("weekly_labels", _FEATURES + "select period, repo_id, split, future_stars, star_delta, label from lab")
@@ -426,9 +424,9 @@ def growth_threshold(spark, folder):
     return le.growth_threshold(le.examples(le.period_features(events(spark, folder), HORIZON), HORIZON))
 
 
-@MORE.add("split_audit", _FEATURES + "select split, count(*) as rows, sum(label)::bigint as positives, min(as_of_seconds)::bigint as first_as_of, max(as_of_seconds)::bigint as last_as_of from lab group by 1")
+@MORE.add("split_audit", _FEATURES + "select split, count(*) as rows, sum(label)::bigint as positives, min(as_of_seconds)::bigint as first_as_of, max(as_of_seconds)::bigint as last_as_of, max(as_of_seconds)::bigint + 172800 as last_label_end from lab group by 1")
 def split_audit(spark, folder):
-    return le.split_audit(labelled(spark, folder))
+    return le.split_audit(labelled(spark, folder), HORIZON)
 
 
 def _scored(spark, folder):
@@ -450,21 +448,43 @@ def reliability_bins(spark, folder):
     return rounded(le.reliability_bins(_scored(spark, folder)), "mean_score", "observed_positive_fraction")
 
 
-def _fitted(spark, folder):
-    from tidemark.session import materialize
+def _baseline(spark, folder):
+    rows = labelled(spark, folder)
+    return rows, le.baseline_score(rows)
+
+
+@MORE.add("baseline_forecasts", _FEATURES.replace("count(*) as total_events, ", "arg_max(repo_name, (event_time, source_archive_start, raw_record_sha256)) as repo_name, count(*) as total_events, ", 1) + "select repo_id, repo_name, as_of_seconds::bigint as as_of_seconds, 2 as horizon_days, round(star_events / (star_events + 1.0), 6) as predicted_probability, star_events as recent_stars, fork_events as recent_forks, push_events as recent_pushes, total_events as recent_events, active_accounts from lab where split = 'forecast' and contains(lower(repo_name), 'or') order by star_events / (star_events + 1.0) desc, repo_id limit 20")
+def baseline_forecasts(spark, folder):
+    """Forecasts of the baseline joined with their context, searched by name."""
+    rows, scored = _baseline(spark, folder)
+    out = le.serve_forecasts(le.predictions(scored, "baseline", HORIZON), le.forecast_context(rows, "baseline"), "baseline", "OR")
+    return rounded(out.withColumn("as_of_seconds", F.unix_seconds("as_of_utc")).drop("as_of_utc"), "predicted_probability")
+
 
-    rows = materialize(labelled(spark, folder), "examples")
-    return rows, le.fit_and_choose(rows)
+@MORE.add("baseline_heldout", _FEATURES.replace("count(*) as total_events, ", "arg_max(repo_name, (event_time, source_archive_start, raw_record_sha256)) as repo_name, count(*) as total_events, ", 1) + "select repo_id, repo_name, as_of_seconds::bigint as as_of_seconds, star_events as past_stars, future_stars, label = 1 as actual_label, round(star_events / (star_events + 1.0), 6) as predicted_probability from lab where split = 'test' order by star_events / (star_events + 1.0) desc, repo_id limit 100")
+def baseline_heldout(spark, folder):
+    out = le.serve_heldout(le.heldout(_baseline(spark, folder)[1], "baseline"), "baseline")
+    return rounded(out.withColumn("as_of_seconds", F.unix_seconds("as_of_utc")).drop("as_of_utc"), "predicted_probability")
+
+
+def _fitted(spark, folder):
+    rows = labelled(spark, folder)
+    le.check_splits(rows, HORIZON, ("train", "validation"))  # the test split of small tables may have no positive
+    name, model, metrics = le.fit_and_choose(rows)
+    return rows, name, metrics, materialize(le.with_score(model, rows.where("split in ('test', 'forecast')")), "scores")
 
 
 @MORE.add("model_forecasts")
 def model_forecasts(spark, folder):
-    """Forecast scores of a fitted model, best first."""
-    rows, (_, model, _) = _fitted(spark, folder)
-    return le.with_score(model, rows.where("split = 'forecast'")).select("repo_id", "repo_name", "score").orderBy(F.desc("score"), "repo_id").limit(50)
+    """Forecasts of the model chosen among all three, published with their context, most likely first."""
+    rows, name, metrics, scored = _fitted(spark, folder)
+    recipe = {"data": folder, "start": HORIZON.start.isoformat(), "days": HORIZON.days}
+    place, _ = le.publish_model(spark, scratch(spark, "models"), recipe, name, metrics, rows, scored, HORIZON)
+    model_id = snapshots.verify(spark, place)["facts"]["model_id"]
+    return le.serve_forecasts(*(spark.read.parquet(f"{place}/{t}") for t in ("predictions", "forecast_context")), model_id, limit=50)
 
 
 @MORE.add("heldout_top")
 def heldout_top(spark, folder):
-    rows, (_, model, _) = _fitted(spark, folder)
-    return le.with_score(model, rows.where("split = 'test'")).select("repo_id", "label", "score").orderBy(F.desc("score"), "repo_id").limit(50)
+    """Held-out scores of the chosen model with what came true, most likely first."""
+    return le.serve_heldout(le.heldout(_fitted(spark, folder)[3], "chosen"), "chosen", 50)
