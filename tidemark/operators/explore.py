@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize, send_by_value
 
+UNREADABLE = "unreadable"
 FIELDS = ["id", "type", "actor.id", "actor.login", "repo.id", "repo.name", "created_at", "public", "payload"]
 
 
@@ -39,6 +40,22 @@ def duplicate_ids(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.count("*").alias("occurrences")).where("occurrences > 1")
 
 
+def type_counts(events: DataFrame, missing: str = "<missing>") -> DataFrame:
+    """Events per type, those without a type under a name of their own."""
+    return events.groupBy(F.coalesce("event_type", F.lit(missing)).alias("event_type")).agg(F.count("*").alias("events"))
+
+
+def unique_ids(events: DataFrame, public: Column | None = None) -> DataFrame:
+    """One row: different ids of events, repositories and accounts, and of public events only, one reduction per id."""
+    told = F.coalesce(public, F.lit(False)) if public is not None else F.lit(True)
+    out = None
+    for name, c in (("events", "event_id"), ("repositories", "repo_id"), ("accounts", "actor_id")):
+        ids = events.where(F.col(c).isNotNull()).groupBy(c).agg(F.max(told.cast("int")).alias("_p"))
+        one = ids.agg(F.count("*").alias(f"unique_{name}"), F.count_if(F.col("_p") == 1).alias(f"public_{name}")).withColumn("_one", F.lit(1))
+        out = one if out is None else out.join(one, "_one")
+    return out.drop("_one")
+
+
 def overview(events: DataFrame) -> DataFrame:
     """Records, ids that repeat, records with repeated ids and excess records."""
     ids = events.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.count("*").alias("n"))
@@ -82,6 +99,7 @@ def _walk(value: object, path: str, found: dict[str, set[str]]) -> None:
 
 def json_paths(lines: DataFrame, text: str = "raw_json") -> DataFrame:
     """(event_type, path, types, records): every path of valid JSON records, with the set of types it takes in a record.
+    Records that cannot be read are counted under an empty path with the type 'unreadable'.
 
     The depth is open, so records are walked in Python, in Arrow batches; a batch is counted before it leaves Python.
     """
@@ -93,6 +111,7 @@ def json_paths(lines: DataFrame, text: str = "raw_json") -> DataFrame:
                 try:
                     record = json.loads(s, parse_int=lambda _: 0)
                 except (ValueError, TypeError, RecursionError):
+                    counts["", "", UNREADABLE] = counts.get(("", "", UNREADABLE), 0) + 1
                     continue
                 found: dict[str, set[str]] = {}
                 _walk(record, "", found)
@@ -128,9 +147,6 @@ def read_stats(lines: DataFrame, text: str = "raw_json", max_bytes: int = 8 << 2
     return parsed.agg(F.count("*").alias("lines"), F.count_if(blank).alias("blank"), F.count_if(long).alias("too_long"), F.count_if(~blank & ~F.coalesce(long, F.lit(False)) & (F.col("_p.record") != "true")).alias("invalid"))
 
 
-send_by_value(__name__)
-
-
 def delays(rows: DataFrame, begun: str, done: str) -> DataFrame:
     """One row: mean, 95th percentile (a delay that occurs) and greatest delay in seconds, from a histogram of whole seconds."""
     from tidemark.operators.learn import exact_quantile
@@ -139,3 +155,6 @@ def delays(rows: DataFrame, begun: str, done: str) -> DataFrame:
     histogram = materialize(d.groupBy("d").agg(F.count("*").alias("n")), "delays")
     p95 = exact_quantile(histogram, "d", "n", 0.95)
     return histogram.agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean_seconds"), F.lit(None if p95 is None else float(p95)).cast("double").alias("p95_seconds"), F.max("d").cast("double").alias("max_seconds"))
+
+
+send_by_value(__name__)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from tidemark.model import EVENT_TYPES
 from tidemark.operators import explore as ex
 from tidemark.operators import learn as le
-from tidemark.operators import raw_lines, silver
+from tidemark.operators import corpus, raw_lines, silver
 from tidemark.operators.skew import rank_in_blocks
 from tidemark.plans.activity_queries import EV, MEASURES, events, rounded
+from tidemark.plans.pipeline_queries import P1_SQL
 from tidemark.plans.registry import Registry
 from tidemark.session import materialize, scratch
 from tidemark.sources import readers, snapshots, storage
@@ -30,13 +31,12 @@ def src_text_lines(spark, folder):
     return readers.text_lines(spark, [place]).select("raw_json")
 
 
-@MORE.add("src_json_infer")
+@MORE.add("src_json_infer", P1_SQL + "select id, type, t as created_at from c where record")
 def src_json_infer(spark, folder):
+    """The usable lines, read back with an inferred schema; a damaged line would fail the read (tested)."""
     place = scratch(spark, "good-lines")
-    lines = table(spark, folder, "raw_lines")
-    good = raw_lines.parse_json_lines(lines, "raw_json").where("_p.record = 'true'").select("raw_json")
-    good.write.text(place)
-    return readers.json_strict(spark, place).select("id", "type", "created_at")
+    readers.usable_lines(table(spark, folder, "raw_lines").select("raw_json")).write.text(place)
+    return readers.json_strict(spark, place).select(F.col("id").cast("string").alias("id"), "type", F.col("created_at").cast("string").alias("created_at"))
 
 
 @MORE.add("src_parquet_projection", "select event_id, repo_id from silver_events where event_type = 'ForkEvent'")
@@ -191,14 +191,41 @@ def silver_summary(spark, folder):
     return silver.summary(table(spark, folder, "silver_events"))
 
 
-@MORE.add("corpus_project")
+_CORPUS = P1_SQL + """, rows as (select v[1] as event_id, v[2]::bigint as repo_id, v[3] as repo_name, v[4]::bigint as actor_id, v[5] as event_type, nullif(v[6], '') as payload_action, v[8] as started, v[9] as source_filename, v[10]::bigint as source_row, v[11] as raw_record_sha256
+  from f join g using (line_id) where reason is null)
+"""
+
+
+@MORE.add("corpus_project", _CORPUS + "select event_id, repo_id, repo_name, actor_id, event_type, payload_action, source_filename, source_row, raw_record_sha256 from rows")
 def corpus_project(spark, folder):
-    return raw_lines.load_lines(table(spark, folder, "raw_corpus_lines"), "csv")[0].drop("line_id")
+    return raw_lines.load_lines(table(spark, folder, "raw_corpus_lines"), "csv")[0].select("event_id", "repo_id", "repo_name", "actor_id", "event_type", "payload_action", "source_filename", "source_row", "raw_record_sha256")
 
 
-@MORE.add("corpus_dedup", EV + "select event_id, repo_id, actor_id, event_type from ev")
+@MORE.add("corpus_dedup", _CORPUS + "select event_id, repo_id, source_filename, source_row from rows qualify row_number() over (partition by event_id order by started::timestamptz, source_filename, source_row, raw_record_sha256) = 1")
 def corpus_dedup(spark, folder):
-    return events(spark, folder).select("event_id", "repo_id", "actor_id", "event_type")
+    return corpus.first_rows(raw_lines.load_lines(table(spark, folder, "raw_corpus_lines"), "csv")[0]).select("event_id", "repo_id", "source_filename", "source_row")
+
+
+@MORE.add("corpus_write", P1_SQL + "select count(*) filter (reason is null) as events, count(*) filter (reason is not null) as quarantine from g")
+def corpus_write(spark, folder):
+    """The corpus as zstd Parquet with its quarantine; up to a tenth of these lines may be damaged."""
+    n = corpus.write_corpus(spark, table(spark, folder, "raw_corpus_lines"), scratch(spark, "corpus"), most_rejected=0.1)
+    return spark.createDataFrame([(n["events"], n["quarantine"])], "events long, quarantine long")
+
+
+@MORE.add("collection_roll_up", "select count(*) as wanted, count(*) filter (n > 0) as completed, count(*) filter (not coalesce(n > 0, false)) as missing, coalesce(sum(b) filter (n > 0), 0)::bigint as compressed_bytes, coalesce(sum(n) filter (n > 0), 0)::bigint as validated_records from (select event_date, event_hour, sum(n_rows) as n, sum(n_bytes) as b from event_files group by 1, 2)")
+def collection_roll_up(spark, folder):
+    """Hours of the file listing as a collection: those with records are complete."""
+    hours = table(spark, folder, "event_files").groupBy("event_date", "event_hour").agg(F.sum("n_rows").alias("records"), F.sum("n_bytes").alias("compressed_bytes"))
+    some = hours.withColumns({"status": F.when(F.col("records") > 0, "complete").otherwise("missing"), **{f"reused_{x}": F.lit(False) for x in ("download", "validation", "publication")}})
+    return corpus.roll_up(some).select("wanted", "completed", "missing", "compressed_bytes", "validated_records")
+
+
+@MORE.add("snk_csv_round_trip", "select event_id, actor_login, payload_action from silver_events where event_type = 'IssuesEvent'")
+def snk_csv_round_trip(spark, folder):
+    place = scratch(spark, "csv")
+    readers.write_csv(table(spark, folder, "silver_events").where("event_type = 'IssuesEvent'").select("event_id", "actor_login", "payload_action"), place)
+    return readers.read_csv(spark, place, "event_id string, actor_login string, payload_action string")
 
 
 # ---------------------------------------------------------------- exploration
@@ -224,10 +251,26 @@ def eda_top_accounts(spark, folder):
     return ex.ranking(table(spark, folder, "silver_events"), "actor_id", "actor_login", F.struct("event_time", "raw_record_sha256"))
 
 
-@MORE.add("eda_missing_fields")
+_FIELD_SQL = " union all ".join(
+    f"select '{f}' as field, count(*) filter (t is null) as absent, count(*) filter (t = 'NULL') as null, count(*) filter (t not in ('NULL', 'OBJECT', 'ARRAY') and trim(x, ' ') = '') as blank from (select json_type(o, '$.{f}') as t, o->>'$.{f}' as x from j join c using (line_id) where record)" for f in ex.FIELDS
+)
+
+
+@MORE.add("eda_missing_fields", P1_SQL + _FIELD_SQL)
 def eda_missing_fields(spark, folder):
-    good = raw_lines.parse_json_lines(table(spark, folder, "raw_lines"), "raw_json").where("_p.record = 'true'")
-    return ex.field_quality(good)
+    return ex.field_quality(readers.usable_lines(table(spark, folder, "raw_lines"))).select("field", "absent", "null", "blank")
+
+
+@MORE.add("eda_type_counts", "select coalesce(event_type, '<missing>') as event_type, count(*) as events from silver_events group by 1")
+def eda_type_counts(spark, folder):
+    return ex.type_counts(table(spark, folder, "silver_events"))
+
+
+@MORE.add("eda_unique_ids", P1_SQL + "select count(distinct id) as unique_events, count(distinct id) filter (public = 'true') as public_events, count(distinct repo) as unique_repositories, count(distinct repo) filter (public = 'true') as public_repositories, count(distinct actor) as unique_accounts, count(distinct actor) filter (public = 'true') as public_accounts from c where record")
+def eda_unique_ids(spark, folder):
+    parsed = raw_lines.parse_json_lines(table(spark, folder, "raw_lines"), "raw_json").where("_p.record = 'true'")
+    rows = parsed.select("_p.event_id", "_p.repo_id", "_p.actor_id", (F.col("_p.public") == "true").alias("public"))
+    return ex.unique_ids(rows, F.col("public"))
 
 
 @MORE.add("eda_events_per_minute", "with c as (select date_trunc('minute', event_time) as m, count(*) as n from silver_events group by 1), g as (select unnest(generate_series(min(m), max(m), interval 1 minute)) as m from c) select strftime(m at time zone 'UTC', '%Y-%m-%d %H:%M') as utc_minute, coalesce(n, 0) as events from g left join c using (m)")
@@ -250,7 +293,7 @@ def eda_json_paths(spark, folder):
     return ex.json_paths(table(spark, folder, "raw_lines"))
 
 
-@MORE.add("eda_read_stats")
+@MORE.add("eda_read_stats", P1_SQL + "select count(*) as lines, count(*) filter (coalesce(trim(raw_json, ' ') = '', true)) as blank, count(*) filter (strlen(raw_json) > 8388608) as too_long, count(*) filter (trim(raw_json, ' ') <> '' and strlen(raw_json) <= 8388608 and not record) as invalid from j join c using (line_id)")
 def eda_read_stats(spark, folder):
     return ex.read_stats(table(spark, folder, "raw_lines"))
 
@@ -378,10 +421,7 @@ def stream_offset_conflict(spark, folder):
 
 @MORE.add("replay_order", EV + "select event_id, row_number() over (order by event_time, event_id) as place from ev where event_hour = 12 and event_date = date '2026-01-08'")
 def replay_order(spark, folder):
-    from pyspark.sql import Window as W
-
-    hour = events(spark, folder).where("event_hour = 12 and event_date = date'2026-01-08'")  # one hour of events is one replay
-    return hour.select("event_id", F.row_number().over(W.partitionBy("event_date", "event_hour").orderBy("event_time", "event_id")).alias("place"), "event_date", "event_hour").select("event_id", "place")
+    return readers.replay_hour(events(spark, folder), date(2026, 1, 8), 12).select("event_id", "place")
 
 
 # ---------------------------------------------------------------- models: seven periods of two days, all 14 days of the data

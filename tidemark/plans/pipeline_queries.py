@@ -21,7 +21,7 @@ _INSTANT = lambda c: f"coalesce(regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0
 _MATCH = lambda c, pattern: f"coalesce(regexp_full_match({c}, '{pattern}'), false)"
 _REPO, _TYPE, _EVENT = r"[^\s\pZ/]+/[^\s\pZ/]+", "[A-Z][A-Za-z0-9]*Event", "[1-9][0-9]*"
 _FIELD = '("([^"]|"")*"|[^",]*)'
-_P1 = (
+P1_SQL = (
     """with j as (select line_id, raw_json, case when json_valid(raw_json) and not regexp_matches(raw_json, ',\\s*[}\\]]|[:,\\[]\\s*-?(?i:nan|inf|infinity)\\s*[,}\\]]') then case when json_type(raw_json) = 'OBJECT' then raw_json::json end end as o from raw_lines),
 c as (select line_id, o is not null and """
     + " and ".join(f"coalesce(json_type(o, '$.{x}'), 'NULL') in ('OBJECT', 'NULL')" for x in ("actor", "repo", "payload", "org"))
@@ -39,23 +39,23 @@ g as (select line_id, case when not sound then 'broken_quoting' when len(v) <> 1
 )
 
 
-@PIPELINE.add("p1_found", _P1 + "select line_id, reason from r where reason is not null union all select line_id, reason from g where reason is not null")
+@PIPELINE.add("p1_found", P1_SQL + "select line_id, reason from r where reason is not null union all select line_id, reason from g where reason is not null")
 def p1_found(spark, folder):
     return raw_lines.first_reasons(table(spark, folder, "raw_lines"), "json").unionByName(raw_lines.first_reasons(table(spark, folder, "raw_corpus_lines"), "csv"))
 
 
-@PIPELINE.add("p1_events", _P1 + "select c.line_id, c.id as event_id, c.type as event_type, c.actor::bigint as actor_id, c.repo::bigint as repo_id, c.name as repo_name, c.login as actor_login from c join r using (line_id) where r.reason is null")
+@PIPELINE.add("p1_events", P1_SQL + "select c.line_id, c.id as event_id, c.type as event_type, c.actor::bigint as actor_id, c.repo::bigint as repo_id, c.name as repo_name, c.login as actor_login from c join r using (line_id) where r.reason is null")
 def p1_events(spark, folder):
     good = raw_lines.load_lines(table(spark, folder, "raw_lines"), "json")[0]
     return good.select("line_id", "event_id", "event_type", "actor_id", "repo_id", "repo_name", "actor_login")
 
 
-@PIPELINE.add("p1_corpus_rows", _P1 + "select f.line_id, v[1] as event_id, v[2]::bigint as repo_id, v[3] as repo_name, v[4]::bigint as actor_id, v[5] as event_type, nullif(v[6], '') as payload_action, v[9] as source_filename, v[10]::bigint as source_row, v[11] as raw_record_sha256 from f join g using (line_id) where reason is null")
+@PIPELINE.add("p1_corpus_rows", P1_SQL + "select f.line_id, v[1] as event_id, v[2]::bigint as repo_id, v[3] as repo_name, v[4]::bigint as actor_id, v[5] as event_type, nullif(v[6], '') as payload_action, v[9] as source_filename, v[10]::bigint as source_row, v[11] as raw_record_sha256 from f join g using (line_id) where reason is null")
 def p1_corpus_rows(spark, folder):
     return raw_lines.load_lines(table(spark, folder, "raw_corpus_lines"), "csv")[0].drop("event_time", "source_archive_start", "source_uri")
 
 
-@PIPELINE.add("p1_corrupt", _P1 + "select line_id, raw_json as _corrupt_record, source_uri, reason from r join raw_lines using (line_id) where reason is not null union all select line_id, raw_csv, source_uri, reason from g join raw_corpus_lines using (line_id) where reason is not null")
+@PIPELINE.add("p1_corrupt", P1_SQL + "select line_id, raw_json as _corrupt_record, source_uri, reason from r join raw_lines using (line_id) where reason is not null union all select line_id, raw_csv, source_uri, reason from g join raw_corpus_lines using (line_id) where reason is not null")
 def p1_corrupt(spark, folder):
     bad = [raw_lines.load_lines(table(spark, folder, t), kind)[1] for t, kind in (("raw_lines", "json"), ("raw_corpus_lines", "csv"))]
     return bad[0].unionByName(bad[1]).drop("errors")

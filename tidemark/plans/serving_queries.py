@@ -18,7 +18,7 @@ from tidemark.operators import serving as sv
 from tidemark.plans.activity_queries import BUNDLE, END, EV, LATEST, MEASURES, REPOS, WINDOW, events, repos, rounded
 from tidemark.plans.registry import Registry
 from tidemark.session import materialize, scratch
-from tidemark.sources import snapshots
+from tidemark.sources import readers, snapshots
 
 SERVING = Registry()
 
@@ -304,3 +304,13 @@ def stream_batches_latest(spark, folder):
 
     batches = table(spark, folder, "stream_messages").groupBy("stream_id", "batch_id").agg(F.count("*").alias("messages"))
     return sv.latest_runs(batches, "batch_id", "stream_id").select("stream_id", "batch_id", "messages", "place")
+
+
+@SERVING.add("src_cached_metadata", EV + META + "select repo_id, status, primary_language from meta")
+def src_cached_metadata(spark, folder):
+    """Metadata written as a cache of answers, with an older answer for each, and read back."""
+    place, rows = scratch(spark, "cache"), metadata(events(spark, folder))
+    new = rows.withColumn("fetched_at", F.lit("2026-01-20").cast("timestamp"))
+    old = rows.withColumns({"status": F.lit("not_found"), "fetched_at": F.lit("2026-01-02").cast("timestamp")})
+    new.unionByName(old).write.json(place)
+    return readers.cached_metadata(spark, place).select("repo_id", "status", "primary_language")
