@@ -89,7 +89,7 @@ def usable_lines(lines: DataFrame, text: str = "raw_json", max_bytes: int = 8 <<
         raise ValueError("on_invalid is 'skip' or 'raise'")
     from tidemark.operators.raw_lines import parse_json_lines
 
-    there = lines.where(F.trim(F.col(text)) != "")
+    there = lines.where(F.coalesce(F.trim(F.col(text)) != "", F.lit(False)))
     judged = parse_json_lines(there, text).withColumn("_good", (F.col("_p.record") == "true") & (F.octet_length(text) <= max_bytes)).drop("_p")
     if on_invalid == "raise":
         judged = judged.withColumn("_good", F.when(F.col("_good"), True).otherwise(F.raise_error(F.concat(F.lit("damaged line: "), F.substring(F.col(text), 1, 80))).cast("boolean")))
