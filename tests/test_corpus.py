@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import corpus, explore
-from tidemark.sources import readers, storage
+from tidemark.session import is_small
+from tidemark.sources import bronze, readers, storage
 from tidemark.sources.state import StateLedger
 
 LINE = "7,1,o/r,2,PushEvent,,2026-01-05T00:00:01Z,2026-01-05T{h:02d}:00:00Z,f{h},{row}," + "a" * 64
@@ -90,3 +91,25 @@ def test_unreadable_records_and_missing_types_are_counted(spark):
     events = spark.createDataFrame([("1", "A", 1, 1), ("1", None, 1, 2), ("2", None, None, 1)], "event_id string, event_type string, repo_id long, actor_id long")
     assert {r.event_type: r.events for r in explore.type_counts(events).collect()} == {"A": 1, "<missing>": 2}
     assert explore.unique_ids(events, F.col("repo_id") == 1).first().asDict() == {"unique_events": 2, "public_events": 1, "unique_repositories": 1, "public_repositories": 1, "unique_accounts": 2, "public_accounts": 2}
+
+
+def test_trials_and_small_tables(spark):
+    df = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 2.0), ("b", 5.0)], "name string, seconds double")
+    assert sorted(map(tuple, explore.trial_stats(df, ["name"]).collect())) == [("a", 3, 1.0, 2.0, 3.0), ("b", 1, 5.0, 5.0, 5.0)]
+    assert is_small(df) and not is_small(df, max_rows=3) and not is_small(df, max_bytes=50) and is_small(df.limit(0))
+    wide = df.withColumn("m", F.create_map(F.lit("k"), F.repeat(F.lit("x"), 1000)))
+    assert not is_small(wide, max_bytes=2000) and is_small(wide)
+
+
+def test_files_are_stored_once_by_content(spark, tmp_path):
+    for name, text in (("a", "one"), ("b", "two"), ("c", "one")):
+        (tmp_path / name).write_text(text)
+    paths = [f"file://{tmp_path}/{n}" for n in "abc"]
+    root = f"file://{tmp_path}/bronze"
+    with pytest.raises(ValueError):
+        bronze.store_files(spark, paths, root, {paths[1]: "0" * 64})
+    got = bronze.store_files(spark, paths, root).orderBy("path").collect()
+    assert [r.reused for r in got] == [False, False, True] and got[0].stored_path == got[2].stored_path
+    assert all(r.reused for r in bronze.store_files(spark, paths, root, {paths[0]: got[0].sha256}).collect())
+    assert spark.read.text(got[1].stored_path).first()[0] == "two"
+    assert bronze.store_files(spark, [], root).count() == 0

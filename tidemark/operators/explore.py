@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -157,4 +157,9 @@ def delays(rows: DataFrame, begun: str, done: str) -> DataFrame:
     return histogram.agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean_seconds"), F.lit(None if p95 is None else float(p95)).cast("double").alias("p95_seconds"), F.max("d").cast("double").alias("max_seconds"))
 
 
+def trial_stats(trials: DataFrame, keys: Sequence[str], seconds: str = "seconds") -> DataFrame:
+    """Trials and their least, median and greatest time per configuration; a configuration has few trials."""
+    return trials.groupBy(*keys).agg(F.count(seconds).alias("trials"), F.min(seconds).alias("least"), F.median(seconds).alias("median"), F.max(seconds).alias("greatest"))
+
+
 send_by_value(__name__)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import is_small, materialize
 
 HASH_BUCKETS = 1 << 14
 
@@ -29,7 +29,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Se
 
 def lookup_join(left: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner", max_rows: int = 20_000) -> DataFrame:
     """Join with a table that is small by nature: broadcast if a count says so, else salted, never trusted to be small."""
-    if table.limit(max_rows + 1).count() <= max_rows:
+    if is_small(table, max_rows):
         return left.join(F.broadcast(table), list(on), how)
     return salted_join(left, table, on, spread, how)
 

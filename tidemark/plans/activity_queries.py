@@ -11,6 +11,7 @@ from tidemark.functions.measures import bundle, predicates
 from tidemark.operators import activity as ac
 from tidemark.plans.registry import Registry
 from tidemark.session import scratch
+from tidemark.sources import storage
 from tidemark.sources.tables import table
 
 ACTIVITY = Registry()
@@ -46,7 +47,7 @@ def events(spark, folder):
     Not bucketed: a bucket would hold all rows of a hot repository or account.
     """
     at = (spark.sparkContext.applicationId, folder)
-    if at not in _published:
+    if at not in _published or not storage.exists(spark, _published[at][0]):
         place = scratch(spark, "clean-events")
         once = ac.clean(table(spark, folder, "silver_events").select(*GOLD_COLUMNS))
         once.write.parquet(place)

@@ -10,6 +10,7 @@ from tidemark.model import EVENT_TYPES
 from tidemark.operators import explore as ex
 from tidemark.operators import learn as le
 from tidemark.operators import corpus, raw_lines, silver
+from tidemark.operators import serving as sv
 from tidemark.operators.skew import rank_in_blocks
 from tidemark.plans.activity_queries import EV, MEASURES, events, rounded
 from tidemark.plans.pipeline_queries import P1_SQL
@@ -41,7 +42,8 @@ def src_json_infer(spark, folder):
 
 @MORE.add("src_parquet_projection", "select event_id, repo_id from silver_events where event_type = 'ForkEvent'")
 def src_parquet_projection(spark, folder):
-    return table(spark, folder, "silver_events").where("event_type = 'ForkEvent'").select("event_id", "repo_id")
+    """A narrow scan of the hive-partitioned table."""
+    return _by_hour(spark, folder).where("event_type = 'ForkEvent'").select("event_id", "repo_id")
 
 
 @MORE.add("src_multi_path", "select event_type, count(*) * 2 as n from silver_events group by 1")
@@ -52,7 +54,7 @@ def src_multi_path(spark, folder):
 
 def _by_hour(spark, folder):
     place = scratch(spark, "by-hour")
-    readers.write_events(table(spark, folder, "silver_events").select("event_id", "event_type", "event_date", "event_hour"), place)
+    readers.write_events(table(spark, folder, "silver_events").select("event_id", "event_type", "repo_id", "event_date", "event_hour"), place)
     return spark.read.parquet(place)
 
 
@@ -408,6 +410,26 @@ def stream_commit_counters(spark, folder):
     return spark.createDataFrame([tuple(sum(r[n] for r in out) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
+@MORE.add("stream_commit_parity", "select 0 as minutes_off, 0 as repo_minutes_off")
+def stream_commit_parity(spark, folder):
+    """Minutes of a replay in several batches against those recomputed from all its events: none differs."""
+    return replayed_commits(spark, folder).parity()
+
+
+@MORE.add("stream_recent_spikes", _LEDGER + f""", t as (select *, epoch_us(max(event_time) over ()) - epoch_us(event_time) as age from kept),
+w as (select repo_id, count(*) filter (age < 600000000) as recent_events, count(*) filter (age < 600000000 and {MEASURES['star_events']}) as recent_stars, count(*) filter (age < 600000000 and event_type = 'ForkEvent') as recent_forks, count(*) filter (age >= 600000000) as previous_events, arg_max(repo_name, (event_time, event_id)) as repo_name from t where age < 1200000000 group by 1)
+select *, recent_events >= 10 and (recent_events + 1.0) / (previous_events + 1.0) >= 2 as activity_spike, round((recent_events + 1.0)::double / (previous_events + 1.0), 2)::double as activity_ratio from w order by recent_events desc, repo_id limit 20""")
+def stream_recent_spikes(spark, folder):
+    """The last ten minutes of the ledger against the ten before."""
+    return sv.recent_repositories(replayed(spark, folder).table("events"))
+
+
+@MORE.add("sql_with_parameters", EV + "select event_type, count(*) as n from ev where event_hour between 3 and 5 and contains(lower(repo_name), 'or') group by 1")
+def sql_with_parameters(spark, folder):
+    """Parameterized SQL over a table: values are bound, never pasted into the text."""
+    return spark.sql("select event_type, count(*) as n from {ev} where event_hour between :first and :last and contains(lower(repo_name), :part) group by 1", args={"first": 3, "last": 5, "part": "or"}, ev=events(spark, folder))
+
+
 @MORE.add("stream_offset_ranges", "select topic, partition_id, min(offset_id) as first_offset, max(offset_id) + 1 as end_offset, count(*) as rows from stream_messages group by 1, 2")
 def stream_offset_ranges(spark, folder):
     return ledger.offset_ranges(table(spark, folder, "stream_messages"))

@@ -76,10 +76,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Broadcast hint only for a table that was counted and found to have at most ``max_rows`` rows.
+def is_small(df: DataFrame, max_rows: int = 20_000, max_bytes: int = 32 << 20) -> bool:
+    """Whether a table was counted and measured and may be broadcast: few rows, and few bytes in them.
 
-    ``df`` should be a materialized (or otherwise cheap) table: the count reads it.  A larger table comes back
-    without a hint, so the join shuffles.
+    ``df`` should be a materialized (or otherwise cheap) table: the count reads it, though not beyond ``max_rows``.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    texts = [F.octet_length(F.col(f"`{n}`") if t in ("string", "binary") else F.to_json(F.struct(F.col(f"`{n}`")))) for n, t in df.dtypes if t in ("string", "binary") or t.startswith(("array", "map", "struct"))]
+    size = sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(8 * len(df.columns)))
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(size.cast("long")).alias("b")).first()
+    return found["n"] <= max_rows and (found["b"] or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """Broadcast hint only for a table that is small (see ``is_small``).  A larger one comes back without a hint, so the
+    join shuffles."""
+    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -39,6 +39,16 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not move {source} to {target}")
 
 
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """Copy one file; the target must not exist."""
+    fs, where, jvm = _fs(spark, source)
+    to_fs, to, _ = _fs(spark, target)
+    if to_fs.exists(to):
+        raise FileExistsError(target)
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(fs, where, to_fs, to, False, spark.sparkContext._jsc.hadoopConfiguration()):
+        raise OSError(f"could not copy {source}")
+
+
 def mark(spark: SparkSession, path: str) -> None:
     """Create an empty marker file (and its folders)."""
     fs, where, _ = _fs(spark, path)

@@ -264,6 +264,18 @@ class Ledger:
             raise InjectedFailure("after the commit, before the checkpoint")
         return self._receipt(receipt)
 
+    def parity(self) -> DataFrame:
+        """One row: minutes and repository minutes that differ from those recomputed from all retained events."""
+        events = self.table("events")
+        out = None
+        for name, make in (("minutes", self._aggregates), ("repo_minutes", self._repo_minutes)):
+            if events is None:
+                return self.spark.createDataFrame([(0, 0)], "minutes_off long, repo_minutes_off long")
+            now, again = self.table(name), make(events)
+            off = now.select(*again.columns).exceptAll(again).unionByName(again.exceptAll(now.select(*again.columns))).agg(F.count("*").alias(f"{name}_off")).withColumn("_one", F.lit(1))
+            out = off if out is None else out.join(off, "_one")
+        return out.drop("_one")
+
     def _first_copies(self, m: dict) -> DataFrame | None:
         """Identifier and fingerprint of every first message so far, dropped ones too: a later copy of these is a copy."""
         own = ["stream_id", "event_id", "_fp1", "_fp2"]
