@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidemark.operators import activity, explore, feature_table, gold, heavy_results, language, learn, serving, skew, small_files
@@ -85,10 +86,16 @@ def test_a_differing_copy_is_not_published(spark, events, monkeypatch):
         small_files.compact_rows(events, spark.createDataFrame([], "file_id long, event_hour int, n_bytes long"), ["event_hour"])
 
 
-def test_packing_plans_have_no_exchange(spark, events, tmp_path):
+def test_packing_plans_have_no_exchange(spark, events, tmp_path, monkeypatch):
     small_files.cut_by_folder(events, f"file://{tmp_path}/in", ["event_hour"])
-    rows = spark.read.schema(events.schema).parquet(f"file://{tmp_path}/in/_p_event_hour=3").coalesce(2)
-    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = storage.folders(spark, f"file://{tmp_path}/in")
+    plans = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, path))
+    small_files.pack_folders(spark, found, storage.qualified(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out", events.schema, small_files.Packing(), folders_a_job=10)
+    assert len(plans) == -(-len(found) // 10) and not any("Exchange" in p or "Sort" in p for p in plans)
+    after = storage.folders(spark, f"file://{tmp_path}/out")
+    assert [n for _, n, _ in after] == [1] * len(found)
 
 
 def test_directories_are_compacted_without_a_shuffle(spark, events, tmp_path):
@@ -128,6 +135,9 @@ def test_dominant_keys_and_results(spark, events):
         mine = [e for e in once if e[3] == r.actor_id]
         assert (r.total_events, r.active_repositories, r.active_days) == (len(mine), len({e[5] for e in mine} - {None}), len({e[8] for e in mine}))
     assert heavy_results.dominant_keys(events.limit(0), ["repo_id"], 0.02).count() == 0
+    for n in (50, 150, 350, 1150):  # a key with exactly the share
+        df = spark.range(n).selectExpr(f"if(id < {n // 50}, -1, id) as k")
+        assert [tuple(r) for r in heavy_results.dominant_keys(df, ["k"], 0.02).collect() if r.key_value == -1] == [("k", -1)], n
 
 
 def test_eager_join_equals_the_join(spark, events):

@@ -59,12 +59,11 @@ class IdentifierStore:
         new = [r for r in runs if not storage.exists(self.spark, f"{self.root}/runs/{r}")]
         if not new:
             return []
-        writer = rows.where(F.col(RUN).isin(*new)).repartition(self.buckets, *self.keys).write.format("parquet")
+        some = rows.where(F.col(RUN).isin(*new)).repartition(self.buckets, *self.keys)
         if self.spark.catalog.tableExists(self.name):
-            columns = self.spark.table(self.name).columns
-            rows.where(F.col(RUN).isin(*new)).select(*columns).repartition(self.buckets, *self.keys).write.insertInto(self.name)
+            some.select(*self.spark.table(self.name).columns).write.insertInto(self.name)
         else:
-            writer.partitionBy(RUN).bucketBy(self.buckets, *self.keys).sortBy(*self.keys, *self.order).option("path", f"{self.root}/data-{self.compactions}").saveAsTable(self.name)
+            some.write.format("parquet").partitionBy(RUN).bucketBy(self.buckets, *self.keys).sortBy(*self.keys, *self.order).option("path", f"{self.root}/data-{self.compactions}").saveAsTable(self.name)
         for r in new:
             storage.mark(self.spark, f"{self.root}/runs/{r}")
         return new

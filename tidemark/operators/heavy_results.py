@@ -7,7 +7,7 @@ Exact distinct counts go through (key, member) states: the member spreads a hot
 from __future__ import annotations
 
 from collections.abc import Sequence
-
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -39,7 +39,9 @@ def dominant_keys(events: DataFrame, fields: Sequence[str], share: float) -> Dat
     """
     states = materialize(key_states(events, fields), "key-states")
     joined = eager_join(states, states, ["key_field"], ["key_value"], left_rows="n", right_rows="n", small_right=len(fields))
-    held = F.col("rows") >= F.lit(share) * F.col("right_rows").cast("decimal(38,0)") * F.col("right_rows")
+    part = Fraction(str(share))  # whole numbers on both sides, so a key that holds exactly the share is never lost
+    whole = F.col("right_rows").cast("decimal(18,0)") * F.col("right_rows").cast("decimal(18,0)")
+    held = F.col("rows") * F.lit(part.denominator).cast("decimal(10,0)") >= whole * F.lit(part.numerator).cast("decimal(10,0)")
     return joined.where(held & F.col("key_value").isNotNull()).select("key_field", "key_value")
 
 

@@ -83,7 +83,7 @@ def eager_join(left: DataFrame, right: DataFrame, on: Sequence[str], keep: Seque
     return l.join(r if small_right is None else F.broadcast(r), list(on)).select(
         *on,
         *keep,
-        (F.col("_l").cast("decimal(38,0)") * F.col("_r")).cast("decimal(38,0)").alias("rows"),
+        (F.col("_l").cast("decimal(18,0)") * F.col("_r").cast("decimal(18,0)")).alias("rows"),
         F.col("_r").alias("right_rows"),
         *[(F.col(f"_l_{c}") * F.col("_r")).alias(f"left_{c}") for c in left_sums],
         *[(F.col(f"_r_{c}") * F.col("_l")).alias(f"right_{c}") for c in right_sums],

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,22 +76,34 @@ def cut_by_folder(table: DataFrame, place: str, keys: Sequence[str]) -> None:
     table.withColumns({v: F.col(k) for k, v in hidden.items()}).write.partitionBy(*hidden.values()).parquet(place)
 
 
-def pack_folders(spark: SparkSession, found: Sequence[tuple[str, int, int]], root: str, staged: str, schema: StructType, packing: Packing, threads: int = 8) -> None:
+def pack_folders(spark: SparkSession, found: Sequence[tuple[str, int, int]], root: str, staged: str, schema: StructType, packing: Packing, folders_a_job: int = 48) -> None:
     """Write each folder of ``found`` (folder, files, bytes) anew below ``staged``, packed into few files.
 
-    Folders run side by side, in a session of its own, so that the split sizes concern nothing else.
+    A job takes many folders: every task reads combined splits of one folder only and writes one file there, so nothing is
+    shuffled or sorted.  It runs in a session of its own, so that the split sizes concern nothing else.
     """
     own = spark.newSession()
     own.conf.set("spark.sql.files.maxPartitionBytes", str(packing.split_bytes))
     own.conf.set("spark.sql.files.openCostInBytes", str(packing.open_cost))
+    own.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")  # a task has one folder: no sort by folder is needed
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-
-    def one(folder: str, size: int) -> None:
-        out = f"{staged}/{folder[len(root) :].strip('/')}".rstrip("/")
-        own.read.schema(schema).parquet(folder).coalesce(packing.files(size)).write.parquet(out)
-
-    with ThreadPoolExecutor(threads) as pool:
-        list(pool.map(lambda x: one(x[0], x[2]), sorted(found, key=lambda x: -x[2])))
+    number = "_folder"
+    while number.lower() in {n.lower() for n in schema.names}:
+        number = f"_{number}"
+    ordered = sorted(found, key=lambda x: -x[2])  # folders of like size in one job
+    for start in range(0, len(ordered), folders_a_job):
+        job = list(enumerate(ordered[start : start + folders_a_job]))
+        parts = [own.read.schema(schema).parquet(folder).coalesce(packing.files(size)).withColumn(number, F.lit(i)) for i, (folder, _, size) in job]
+        place = f"{staged}/.job-{start}"
+        reduce(DataFrame.unionByName, parts).write.partitionBy(number).parquet(place)
+        written = set(storage.children(spark, place))
+        for i, (folder, _, _) in job:
+            out = f"{staged}/{folder[len(root) :].strip('/')}".rstrip("/")
+            if f"{number}={i}" in written:
+                storage.rename(spark, f"{place}/{number}={i}", out)
+            else:  # only empty files: one keeps the columns
+                spark.createDataFrame([], schema).coalesce(1).write.parquet(out)
+        storage.delete(spark, place)
 
 
 def compact_rows(table: DataFrame, files: DataFrame, keys: Sequence[str] = ("event_date", "event_hour"), packing: Packing = Packing(), out: str | None = None) -> tuple[str, DataFrame]:
@@ -146,7 +158,7 @@ def _checked(spark: SparkSession, staged: str, source: DataFrame, keys: list[str
     return after.drop("checksum")
 
 
-def compact_directories(spark: SparkSession, source: str, target: str, packing: Packing = Packing(), threads: int = 8) -> DataFrame:
+def compact_directories(spark: SparkSession, source: str, target: str, packing: Packing = Packing()) -> DataFrame:
     """Compact each folder below ``source`` that holds Parquet files; (folder, rows, files_before, files_after).
 
     A folder is published whole, by rename, after all its rows were compared; one that was published before is skipped, so
@@ -162,7 +174,7 @@ def compact_directories(spark: SparkSession, source: str, target: str, packing:
     storage.delete(spark, staged)
     whole = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true")
     schema = whole.parquet(*[f for f, _, _ in found]).schema
-    pack_folders(spark, found, root, staged, schema, packing, threads)
+    pack_folders(spark, found, root, staged, schema, packing)
     name = lambda where: F.regexp_replace(F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]*$", 1), f"^{re.escape(storage.qualified(spark, where))}/?", "").alias("_folder")
     sides = []
     for where, paths in ((source, [f for f, _, _ in found]), (staged, [f for f, _, _ in storage.folders(spark, staged)])):

@@ -99,14 +99,3 @@ def folders(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     by_folder = listing.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n"), F.sum("length").alias("b"))
     return sorted((r["folder"], r["n"], r["b"]) for r in by_folder.collect())
-
-
-def data_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """(path, bytes) of every data file below a folder, hidden files left out."""
-    fs, where, _ = _fs(spark, path)
-    found, it = [], fs.listFiles(where, True)
-    while it.hasNext():
-        s = it.next()
-        if not s.getPath().getName().startswith(("_", ".")):
-            found.append((s.getPath().toString(), s.getLen()))
-    return found
