@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_batch_operators import EVENTS, make_events
+from test_entry import DATA, compare
 
 from tidemark.llm import distinct_sketch
 
@@ -106,3 +107,9 @@ def test_empty_events(spark, events):
     none = events.limit(0)
     assert distinct_sketch.cube_estimates(none, ["event_date", "repo_id"], "actor_id").count() == 0
     assert distinct_sketch.compare(distinct_sketch.sketch(none, ["event_date", "event_type"], "actor_id"), ["event_date"], "event_type").count() == 0
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's test data")
+@pytest.mark.parametrize("name", ["p3_found", "p8_found", "p9_found"])
+def test_queries_equal_their_sql(spark, name):
+    compare(spark, name)
