@@ -203,6 +203,14 @@ def test_states(text, state):
     assert truncation.tail_state(text or "") == state
 
 
+def test_the_automaton_may_begin_after_the_last_empty_stack():
+    rng = random.Random(6)
+    bits = ["```", "~~~", "\n", "\n\n", "`", "(", ")", '"', "**x", "x ", "- a", "{", "}", " ", "“", "”", "1) "]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert truncation.open_at_end(text) == truncation.run_automaton(text.splitlines()), repr(text)
+
+
 @pytest.mark.parametrize("text", ["." * 100_000 + "x", "a.." * 40_000, "_" * 100_000, "(" * 60_000 + "]" * 60_000, "`" * 100_001, "\n" * 100_000 + "x", "字" * 60_000, '"' * 60_001, "&" * 100_000, "<b>" * 40_000 + "</i>" * 40_000, "**x " * 50_000, "<a " + "=" * 100_000 + ">", "<" * 100_000])
 def test_hostile_texts_take_linear_time(text):
     import time
