@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.model import EVENT_TYPES
 from tidemark.operators import explore as ex
 from tidemark.operators import learn as le
-from tidemark.operators import corpus, raw_lines, silver
+from tidemark.operators import corpus, language, raw_lines, silver
 from tidemark.operators import serving as sv
 from tidemark.operators.skew import rank_in_blocks
 from tidemark.plans.activity_queries import EV, MEASURES, events, rounded
@@ -70,6 +70,37 @@ def bench_storage_json(spark, folder):
     return readers.json_typed(spark, place, "event_id string, event_type string, event_hour int").where("event_hour = 12").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@MORE.add("snk_formats", "select f as format, n from (values ('jsonl'), ('jsonl_gzip'), ('parquet'), ('parquet_by_hour')) t(f), (select count(*) as n from silver_events where event_hour = 12)")
+def snk_formats(spark, folder):
+    """The same rows in four formats, each read back with the hour filter."""
+    out = readers.write_formats(table(spark, folder, "silver_events").select("event_id", "event_type", "event_hour"), scratch(spark, "formats"))
+    schema = "event_id string, event_type string, event_hour int"
+    counts = None
+    for name, path in out.items():
+        rows = readers.json_typed(spark, path, schema) if name.startswith("json") else spark.read.parquet(path)
+        one = rows.where("event_hour = 12").agg(F.count("*").alias("n")).select(F.lit(name).alias("format"), "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+@MORE.add("src_driver_rows", "select repo_id::bigint as repo_id, language, language_bytes::bigint as language_bytes, byte_share::double as byte_share from (values (1, 'C', 30, 0.75), (1, 'Go', 10, 0.25), (2, 'No language reported', 0, 1.0), (3, 'Metadata unavailable', 0, 1.0)) t(repo_id, language, language_bytes, byte_share)")
+def src_driver_rows(spark, folder):
+    """Rows made of objects on the driver, with a fixed schema, and their language shares."""
+    entries = [{"repo_id": 1, "status": "ok", "language_bytes": {"Go": 10, "C": 30, "Vim": 0}}, {"repo_id": 2, "status": "ok"}, {"repo_id": 3, "status": "not_found"}]
+    return language.language_shares(language.metadata_frame(spark, entries))
+
+
+@MORE.add("result_digest", EV + "select count(*) as rows, sum(n)::bigint as total, true as equal from (select repo_id, count(*) as n from ev group by 1)")
+def result_digest(spark, folder):
+    """The flagship counts by two plans, with and without a reduction by account first: their digests agree."""
+    ev = events(spark, folder)
+    plain = ev.groupBy("repo_id").agg(F.count("*").alias("n"))
+    by_account = ev.groupBy("repo_id", "actor_id").agg(F.count("*").alias("k")).groupBy("repo_id").agg(F.sum("k").alias("n"))
+    a, b = (ex.result_digest(df, "n").withColumnsRenamed({c: f"{c}_{i}" for c in ("rows", "total", "checksum")}).withColumn("_one", F.lit(1)) for i, df in enumerate((plain, by_account)))
+    same = (F.col("rows_0") == F.col("rows_1")) & (F.col("total_0") == F.col("total_1")) & (F.col("checksum_0") == F.col("checksum_1"))
+    return a.join(b, "_one").select(F.col("rows_0").alias("rows"), F.col("total_0").alias("total"), same.alias("equal"))
+
+
 @MORE.add("hour_range_plan", "select strftime(timestamp '2026-01-05' + to_hours(i), '%Y-%m-%d-') || hour(timestamp '2026-01-05' + to_hours(i)) as archive from range(49) t(i)")
 def hour_range_plan(spark, folder):
     hours = readers.hour_range(datetime(2026, 1, 5), datetime(2026, 1, 7))
@@ -495,6 +526,11 @@ def _scored(spark, folder):
     return le.baseline_score(labelled(spark, folder).where("split = 'validation'"))
 
 
+@MORE.add("predicted_flags", _FEATURES + "select repo_id, label, score >= 0.7 as predicted from sc")
+def predicted_flags(spark, folder):
+    return le.predicted(_scored(spark, folder), 0.7).select("repo_id", "label", "predicted")
+
+
 @MORE.add("confusion_curve", _FEATURES + ", g as (select unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7])::double as t), c as (select g.t as decision_threshold, count(*) filter (score >= g.t and label = 1) as tp, count(*) filter (score >= g.t and label = 0) as fp, count(*) filter (score < g.t and label = 1) as fn, count(*) filter (score < g.t and label = 0) as tn from sc, g group by 1), p as (select *, coalesce(tp / nullif(tp + fp, 0), 0.0) as precision, coalesce(tp / nullif(tp + fn, 0), 0.0) as recall from c) select decision_threshold, tp, fp, fn, tn, round(precision, 6) as precision, round(recall, 6) as recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0), 6) as f1 from p")
 def confusion_curve(spark, folder):
     return rounded(le.confusion_curve(_scored(spark, folder)), "precision", "recall", "f1")
