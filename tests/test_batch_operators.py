@@ -92,8 +92,8 @@ def test_packing_plans_have_no_exchange(spark, events, tmp_path, monkeypatch):
     plans = []
     write = DataFrameWriter.parquet
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, path))
-    small_files.pack_folders(spark, found, storage.qualified(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out", events.schema, small_files.Packing(), folders_a_job=10)
-    assert len(plans) == -(-len(found) // 10) and not any("Exchange" in p or "Sort" in p for p in plans)
+    small_files.pack_folders(spark, found, storage.qualified(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out", events.schema, small_files.Packing())
+    assert len(plans) == len(found) and not any("Exchange" in p or "Sort" in p for p in plans)
     after = storage.folders(spark, f"file://{tmp_path}/out")
     assert [n for _, n, _ in after] == [1] * len(found)
 
