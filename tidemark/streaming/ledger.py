@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import EVENT_TYPES, is_star, is_type
 from tidemark.operators.deliveries import CONTENT, fingerprint
-from tidemark.operators.skew import lookup_join, running_max
+from tidemark.operators.skew import first_of_each, lookup_join, running_max
 from tidemark.session import materialize
 from tidemark.sources import storage
 
@@ -187,19 +187,21 @@ class Ledger:
         spark = self.spark
         earlier = ["batch_id"] if self.by_commit else []
         given = [c for c in ("public", "source_snapshot", "minute_us") if c in batch.columns]
+        work = f"{self.root}/data/{uuid.uuid4().hex[:12]}"
         rows = batch.select(*columns(COMMITTED if self.by_commit else MESSAGE), *given)
+        rows.write.parquet(f"{work}/batch")  # the source is read once
+        rows = spark.read.schema(rows.schema).parquet(f"{work}/batch")
         digest = batch_digest(rows)
         size = int(digest.split("-")[0])
         if self.max_rows is not None and size > self.max_rows:
             raise ValueError(f"a micro-batch of {size} rows is beyond the bound of {self.max_rows}")
         old = m["batches"].get(digest) or self._receipt_of(digest)
         if old:
+            storage.delete(spark, work)
             return self._receipt({**old, "reused": True})
         near = (lambda df: F.broadcast(df)) if size <= ADMITTED else (lambda df: df)
-        work = f"{self.root}/data/{uuid.uuid4().hex[:12]}"
         spot = ["stream_id", "topic", "partition_id", "offset_id"]
-        first = W.partitionBy(*spot).orderBy(*earlier, "delivery_id")
-        staged = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        staged = first_of_each(rows, spot, [*earlier, "delivery_id"], ["delivery_id"])
         if self.require_contract:
             known = self.contracts(m).select("stream_id", F.col("topic").alias("_topic"), F.col("source_snapshot").alias("_snapshot"), F.col("start_utc").alias("_start"), F.col("end_utc").alias("_end"))
             staged = lookup_join(staged, known, ["stream_id"], ["delivery_id"], "left")
@@ -220,8 +222,7 @@ class Ledger:
         hour = F.date_format("event_time", "yyyy-MM-dd-HH")
         state = spark.createDataFrame([(s, datetime.fromtimestamp(t / 1e6, timezone.utc)) for s, t in m["state"].items()], "stream_id string, seen timestamp")
         own = ["stream_id", "event_id"]
-        best = W.partitionBy(*own).orderBy(*earlier, "topic", "partition_id", "offset_id")
-        candidates = fresh.where("reason is null").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+        candidates = first_of_each(fresh.where("reason is null"), own, [*earlier, "topic", "partition_id", "offset_id"], ["delivery_id"])
         kept = self._first_copies(m)
         if kept is not None:
             kept = materialize(kept.join(near(fresh.where("reason is null").select(*own).distinct()), own, "left_semi"), "known-ids")
@@ -260,6 +261,8 @@ class Ledger:
         if self.fail == "before_commit":
             raise InjectedFailure("before the commit")
         self._publish(m)
+        for done in ("batch", "staged", "added"):  # only the committed files are read again
+            storage.delete(spark, f"{work}/{done}")
         if self.fail == "after_commit":
             raise InjectedFailure("after the commit, before the checkpoint")
         return self._receipt(receipt)
@@ -288,8 +291,8 @@ class Ledger:
         if not self.by_commit:
             return known
         commits = candidates.groupBy("stream_id", "batch_id").agg(F.max("event_time").alias("_latest"))
-        earlier = running_max(commits, "stream_id", "batch_id", "_latest", "_earlier").select("stream_id", "batch_id", "_earlier")
-        return known.join(earlier, ["stream_id", "batch_id"], "left").withColumn("seen", F.greatest("seen", "_earlier")).drop("_earlier")
+        earlier = materialize(running_max(commits, "stream_id", "batch_id", "_latest", "_earlier").select("stream_id", "batch_id", "_earlier"), "commits")
+        return lookup_join(known, earlier, ["stream_id", "batch_id"], ["delivery_id"], "left").withColumn("seen", F.greatest("seen", "_earlier")).drop("_earlier")
 
     def _with_limits(self, rows: DataFrame) -> DataFrame:
         """Adds _late_after and _cutoff; a null limit never applies.  A stream listed twice has its greater limits."""
