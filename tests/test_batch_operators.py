@@ -155,18 +155,6 @@ def test_heavy_keys_and_salted_join(spark):
     assert skew.salted_join(df, right, ["k"], ["v"]).where("w = 2 * k").count() == 9000
 
 
-def test_first_rows_with_nulls_and_ties(spark):
-    rng = random.Random(9)
-    rows = [(rng.choice([None, 1, 2, 3, *range(10, 60)]), rng.choice([None, "a", "b"]), i) for i in range(200)]
-    df = skew.materialize(spark.createDataFrame(rows, "k int, g string, o int"), "rows")
-    got = sorted((str(r.k), str(r.g), r.o) for r in skew.first_of_each(df, ["k", "g"], ["o"], ["o"]).collect())
-    want = {}
-    for k, g, o in rows:
-        want.setdefault((str(k), str(g)), o)
-    assert got == sorted((*k, o) for k, o in want.items())
-    assert skew.first_of_each(df.limit(0), ["k"], ["o"], ["o"]).count() == 0
-
-
 # ---------------------------------------------------------------- activity, serving, language, models
 
 

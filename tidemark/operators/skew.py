@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -121,17 +120,3 @@ def rank_in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     shifts = counts.select(*keys, *spot, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_shift"))
     inside = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys, *spot).orderBy("_place")))
     return inside.join(shifts, [*keys, *spot]).withColumn(out, (F.col("_r") + F.col("_shift")).cast("long")).select(*df.columns, out)
-
-
-def first_of_each(rows: DataFrame, keys: Sequence[str], order: Sequence[str], spread: Sequence[str]) -> DataFrame:
-    """The first row of every key (null equal to null).  ``rows`` is a written table in which few keys repeat.
-
-    Keys that occur more than once are found by a narrow count; only their rows, and rows with a null in the key, are moved
-    whole and ranked.
-    """
-    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
-    twice = materialize(rows.where(known).groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias("_twice")), "repeated-keys")
-    marked = lookup_join(rows, twice, keys, spread, "left").select(*rows.columns, (F.col("_twice").isNotNull() | ~known).alias("_more"))
-    best = W.partitionBy(*keys).orderBy(*order)
-    ranked = marked.where("_more").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
-    return marked.where("not _more").unionByName(ranked).drop("_more")
